@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, shared, token_store
+from . import chat, packing, pieces, quality, shared, simhash, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -23,9 +27,26 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder, manifest).select("doc_id", "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return chat.digests(chat.format_chats(turns.unionByName(own)))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests_only=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_cost_balanced_packing, op5_token_files, op7_sentencepiece)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.workspace(spark, "warc")
+    index = warc.write(_table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_cost_balanced_packing, op3_chat_format, op5_token_files, op6_quality_rules, op7_sentencepiece, op8_warc)}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat.ORACLE, "op8_warc": warc.ORACLE}
