@@ -17,36 +17,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textids import ChunkTable, _packed
+from .textids import Table, _packed
 
 MARK = "▁"
 SCHEMA = "doc_id long, ids binary, id_text string, decoded string"
 _tables: dict = {}
 
 
-class PieceTable(ChunkTable):
+class PieceTable:
     """Values are (ids as bytes, ids in decimals joined by spaces)."""
 
     def __init__(self, path: str, rows: int = 150_000):
         import sentencepiece
 
-        super().__init__(rows)
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.model.id_to_piece(i) for i in range(self.model.vocab_size()))
         self.independent = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         # the marker and nothing else must stand for a space, at the start of a text too
-        self.independent &= self.model.encode("a  b ", out_type=str) == [*self.model.encode("a", out_type=str), *self.model.encode(" b", out_type=str), *self.model.encode("", out_type=str), MARK]
+        self.independent &= self.model.encode("a  b ", out_type=str) == [f"{MARK}a", MARK, f"{MARK}b", MARK]
+        self.table = Table(self.value, rows)
 
-    def _value(self, ids: list[int]) -> tuple[bytes, str]:
+    def value(self, text: str) -> tuple[bytes, str]:
+        ids = self.model.encode(text)
         return _packed(ids), " ".join(map(str, ids))
 
-    def encode_many(self, chunks, first):
-        return [self._value(x) for x in self.model.encode(chunks, num_threads=1)] if chunks else []
+    def values(self, texts: list[str]):
+        """For each text the list of its marked words' values, or the value of the whole text in a list."""
+        table = self.table
+        for text in texts:
+            yield [table[w] for w in text.split(" ")] if self.splittable(text) else [self.value(text)]
 
-    def whole(self, text):
-        return self._value(self.model.encode(text))
-
-    def splittable(self, text):
+    def splittable(self, text: str) -> bool:
         # two markers side by side can form one piece; then the text is segmented whole
         return self.independent and text != "" and "  " not in text and MARK not in text and text[0] != " " and text[-1] != " "
 

@@ -4,118 +4,132 @@ A chunk is what stands between two spaces. Where a tokenizer never builds a
 token across the boundary, every distinct chunk is segmented once per worker and
 the ids of a text are joined back by position. Texts for which that does not
 hold are encoded whole, so the ids always equal the library's for the whole text.
-The table has a fixed size; when it is full it starts anew.
+The table has a fixed size: when it is full, it becomes the older generation and
+entries that are used again move to the new one.
 """
 
 from __future__ import annotations
 
 import os
+import struct
 
-import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct chunks kept per worker process (about 250 bytes each).
-TABLE_ROWS = 200_000
-#: Texts of a batch are looked up in groups of so many characters.
-GROUP_CHARS = 4_000_000
+#: Distinct chunks in one generation of a worker's table (about 180 bytes each; two generations are kept).
+TABLE_ROWS = 500_000
 #: A longer chunk is not kept.
 KEEP_CHARS = 200
+#: Chunks of these characters are cut into the model's words here; any others go through the library's whole chain.
+#: All of them are stable under NFC and have had their classes since the first versions of Unicode.
+PLAIN = regex.compile(r"[\n!-~¡-¬®-ɏ]+")
 
 
-def _packed(ids) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class ChunkTable:
-    """Maps chunks to values; ``encode_many`` gives the values of chunks, ``whole`` that of a whole text."""
+class Whole(Exception):
+    """The text must be encoded whole."""
 
-    def __init__(self, rows: int = TABLE_ROWS):
-        self.rows, self.first, self.rest = rows, {}, {}
 
-    def encode_many(self, chunks: list[str], first: bool) -> list:
-        raise NotImplementedError
+class Table(dict):
+    """Values by key, made by ``make`` where missing; at most two generations of ``rows`` entries."""
 
-    def whole(self, text: str):
-        raise NotImplementedError
+    def __init__(self, make, rows: int = TABLE_ROWS):
+        super().__init__()
+        self.make, self.rows, self.older = make, rows, {}
 
-    def splittable(self, text: str) -> bool:
-        return True
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= KEEP_CHARS:
+            if len(self) >= self.rows:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
-    def values(self, texts: list[str]):
-        """For each text the list of its chunks' values, or the value of the whole text in a list."""
-        todo, size = [], 0
-        for text in texts:
-            todo.append(text)
-            size += len(text)
-            if size >= GROUP_CHARS:
-                yield from self._group(todo)
-                todo, size = [], 0
-        yield from self._group(todo)
-
-    def _group(self, texts: list[str]):
-        if len(self.first) + len(self.rest) > self.rows:
-            self.first, self.rest = {}, {}
-        first, rest = self.first, self.rest
-        pieces = [t.split(" ") if self.splittable(t) else None for t in texts]
-        new_first = list({p[0] for p in pieces if p} - first.keys())
-        new_rest: set[str] = set()
-        for p in pieces:
-            if p:
-                new_rest.update(p[1:])
-        new_rest = list(new_rest - rest.keys())
-        now_first = dict(zip(new_first, self.encode_many(new_first, True), strict=True))
-        now_rest = dict(zip(new_rest, self.encode_many(new_rest, False), strict=True))
-        first.update(now_first)
-        rest.update(now_rest)
-        for text, p in zip(texts, pieces, strict=True):
-            if p is None:
-                yield [self.whole(text)]
-                continue
-            found = [first[p[0]]]
-            found += [rest[x] for x in p[1:]]
-            yield found if None not in found else [self.whole(text)]
-        for table, now in ((first, now_first), (rest, now_rest)):
-            for x in now:
-                if len(x) > KEEP_CHARS:
-                    del table[x]
 
-
-class LibraryTable(ChunkTable):
-    """Chunks through the tokenizers library; values are little-endian unsigned 32-bit ids."""
+class LibraryTable:
+    """Ids by the tokenizers library, as little-endian unsigned 32-bit integers in bytes."""
 
     def __init__(self, path: str, spaced: bool, rows: int = TABLE_ROWS):
-        """spaced: a chunk after the first keeps the space before it (byte-level vocabularies);
-        else white space is dropped and chunks are independent of it."""
+        """spaced: byte-level vocabulary whose chunks keep the space before them;
+        else white space is dropped and letters are lower-cased, and chunks are independent of both sides."""
         from tokenizers import Tokenizer
 
-        super().__init__(rows)
         self.spaced = spaced
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_many(self, chunks, first):
-        if not chunks:
-            return []
+        self.model = self.tokenizer.model
+        # the pre-tokenizers' own patterns (fixed values of the vocabularies' files)
+        if spaced:
+            self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        else:
+            self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        # byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
+        self.space = chr(self.alphabet[32])
+        self.words = Table(self._word, rows // 4)
+        self.first = Table(self._first, rows)
+        self.rest = Table(self._rest, rows) if spaced else self.first
+
+    def _word(self, word: str) -> bytes:
+        seen = word.encode().decode("latin-1").translate(self.alphabet)
+        return _packed([t.id for t in self.model.tokenize(seen)])
+
+    def _letters(self, word: str) -> bytes:
+        """As ``_word`` for ASCII letters, which stand for themselves."""
+        return _packed([t.id for t in self.model.tokenize(word)])
+
+    def _chunk(self, chunk: str, space: str) -> bytes:
+        if chunk.isascii() or PLAIN.fullmatch(chunk):
+            if chunk.isalpha():
+                return self._word(space + chunk)
+            words = self.words
+            if chunk[:-1].isalpha() and chunk[-1] in ".,":
+                return words[space + chunk[:-1]] + words[chunk[-1]]
+            if PLAIN.fullmatch(chunk):
+                return b"".join([words[w] for w in self.cut(space + chunk)])
+        return self.whole(space + chunk)
+
+    def _first(self, chunk: str) -> bytes:
         if not self.spaced:
-            return self._ids(chunks)
-        # white space at a chunk's edge joins the space beside it into one token: such texts are encoded whole
-        fit = [bool(c) and not c[0].isspace() and not c[-1].isspace() for c in chunks]
-        ids = iter(self._ids([c if first else " " + c for c, ok in zip(chunks, fit, strict=True) if ok]))
-        return [next(ids) if ok else None for ok in fit]
-
-    def whole(self, text):
-        return self._ids([text])[0]
-
-    def splittable(self, text):
-        return text != "" or not self.spaced
+            if chunk.isascii() and chunk.isalpha():
+                return self._letters(chunk.lower())
+            return self._chunk(chunk.lower() if chunk.isascii() or PLAIN.fullmatch(chunk) else chunk, "") if chunk else b""
+        # white space at a chunk's edge joins the space beside it into one token
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise Whole
+        return self._chunk(chunk, "")
+
+    def _rest(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._letters(self.space + chunk)
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise Whole
+        return self._chunk(chunk, " ")
+
+    def whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def ids(self, texts: list[str]):
         """For each text its ids as bytes."""
-        return (b"".join(v) for v in self.values(texts))
+        first, rest = self.first, self.rest
+        for text in texts:
+            if text == "":
+                yield b""
+                continue
+            head, *tail = text.split(" ")
+            try:
+                yield first[head] + b"".join([rest[c] for c in tail])
+            except Whole:
+                yield self.whole(text)
 
 
 _tables: dict = {}
