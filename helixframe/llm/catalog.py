@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, pieces, quality, shared, simhash, token_store, warc
+from . import chat, packing, pieces, pii, quality, shared, simhash, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,5 +48,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder, index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_cost_balanced_packing, op3_chat_format, op5_token_files, op6_quality_rules, op7_sentencepiece, op8_warc)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_cost_balanced_packing, op3_chat_format, op5_token_files, op6_quality_rules, op7_sentencepiece, op8_warc, op9_pii)}
 ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat.ORACLE, "op8_warc": warc.ORACLE}
