@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, pieces, pii, quality, shared, simhash, token_store, warc
+from . import ann, chat, packing, pieces, pii, quality, shared, simhash, substring, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return ann.search(table, table.where(F.col("vec_id") % 20 == 0))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.workspace(spark, "token-files")
     manifest = token_store.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -52,5 +57,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_cost_balanced_packing, op3_chat_format, op5_token_files, op6_quality_rules, op7_sentencepiece, op8_warc, op9_pii)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.duplicate_passages(_table(spark, sf_dir, "documents")).drop("tag")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_cost_balanced_packing, op3_chat_format, op4_ann, op5_token_files, op6_quality_rules, op7_sentencepiece, op8_warc, op9_pii, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat.ORACLE, "op8_warc": warc.ORACLE}
