@@ -156,9 +156,11 @@ def judge(docs: DataFrame, *, min_words: int = 10, repeat_percent: int = 20, min
 
 
 def keep_good(docs: DataFrame, **rules) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns. Rows are told apart by doc_id, lang, source and text."""
-    key = [F.col("doc_id"), F.col("lang"), F.col("source"), F.xxhash64("text")]
-    tagged = docs.withColumn("_key", F.xxhash64(*key))
-    source = tagged.select(F.col("_key").alias("doc_id"), "lang", "source", "text")
-    bad = judge(source, **rules).where(~F.col("kept")).select(F.col("doc_id").alias("_key")).distinct()
-    return tagged.join(bad, "_key", "left_anti").drop("_key")
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    Rows are told apart by doc_id and a hash of lang, source and text; rows equal in these share their fate.
+    """
+    tag = F.xxhash64("lang", "source", "text")
+    judged = judge(docs.select(F.struct(F.col("doc_id"), tag.alias("tag")).alias("doc_id"), "lang", "source", "text"), **rules)
+    bad = judged.where(~F.col("kept")).select(F.col("doc_id.doc_id").alias("_doc"), F.col("doc_id.tag").alias("_tag")).distinct()
+    return docs.withColumn("_own", tag).join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_tag")), "left_anti").drop("_own")
