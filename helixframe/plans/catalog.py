@@ -1,6 +1,325 @@
-"""Registered queries of the core engine and their SQL twins."""
+"""Registered queries of the core engine and their SQL twins.
+
+All work on the synthetic reads of the star tables (k = 15 unless said). Doubles
+are rounded where sums may differ in their last digits between runs.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.config import EngineConfig
+from helixframe.functions import bits, emitexpr
+from helixframe.operators import em, labels, mstep, oracle, spectrum
+from helixframe.plans import sql
+from helixframe.plans.storage import stored
+from helixframe.sources import reads as source
+from helixframe.streaming import counting
+
+K = sql.K
+GAMMA = 1e-20
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(text: str | None = None):
+    """Registers a query, with its SQL where SQL can express it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if text is not None:
+            ORACLE_SQL[f.__name__] = text
+        return f
+
+    return add
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.synthetic_reads(spark, sf_dir)
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectrum.nodes(spectrum.count_spectrum(_reads(spark, sf_dir), K))
+
+
+def _named(d: DataFrame, *cols, k: int = K) -> DataFrame:
+    return d.select(bits.kmer_string(F.col("kid"), k).alias("kmer"), *cols)
+
+
+# -- sources and scalars ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {sql.READS} SELECT read_id, identifier, seq, qual, CAST(len AS INTEGER) AS len FROM reads")
+def reads_scan(spark, sf_dir):
+    return _reads(spark, sf_dir).select("read_id", "identifier", "seq", "qual", "len")
+
+
+@query(f"""WITH {sql.READS}, c AS (SELECT len, list_transform(range(1, len + 1), lambda i: ascii(substr(qual, i, 1))) AS q FROM reads)
+SELECT count(*) AS n_reads, CAST(sum(len) AS BIGINT) AS n_bases, max(len) AS max_len, min(list_min(q)) AS least_char, max(list_max(q)) AS most_char,
+  CASE WHEN min(list_min(q)) <= 35 THEN 33 WHEN min(list_min(q)) <= 66 THEN 64 END AS phred_offset FROM c""")
+def read_stats(spark, sf_dir):
+    q = F.transform(F.split("qual", ""), lambda c: F.ascii(c))
+    d = _reads(spark, sf_dir).select("len", F.array_min(q).alias("low"), F.array_max(q).alias("high"))
+    low = F.min("low")
+    return d.agg(F.count(F.lit(1)).alias("n_reads"), F.sum("len").alias("n_bases"), F.max("len").alias("max_len"), low.alias("least_char"), F.max("high").alias("most_char"), F.when(low <= 35, 33).when(low <= 66, 64).alias("phred_offset"))
+
+
+@query(f"WITH {sql.READS} SELECT read_id, {sql.rc('seq')} AS seq, reverse(qual) AS qual FROM reads")
+def revcomp_reads(spark, sf_dir):
+    return _reads(spark, sf_dir).select("read_id", bits.reverse_complement(F.col("seq")).alias("seq"), F.reverse("qual").alias("qual"))
+
+
+@query(f"""WITH {sql.READS} SELECT read_id, CASE WHEN ep < 50 THEN truth_seq ELSE seq END AS seq FROM reads""")
+def truth_apply(spark, sf_dir):
+    r = _reads(spark, sf_dir)
+    return oracle.apply_truth(r, source.truth(r)).select("read_id", "seq")
+
+
+@query(f"""WITH {sql.READS}, f AS (SELECT substr(seq, 1, {K}) AS km, substr(seq, 2, {K}) AS k2, count(*) AS n FROM reads GROUP BY ALL), g AS (SELECT *, {sql.packed('km', K)} AS kid FROM f WHERE instr(km || k2, 'N') = 0)
+SELECT km AS kmer, k2 AS second, kid, {sql.packed(sql.rc('km'), K)} AS rc, kid >> 2 AS suffix, kid & {(1 << (2 * (K - 1))) - 1} AS prefix, CAST(kid & 3 AS INTEGER) AS first_base,
+  CAST(list_sum(list_transform(range(1, {K + 1}), lambda i: CASE WHEN substr(km, i, 1) <> substr(k2, i, 1) THEN 1 ELSE 0 END)) AS INTEGER) AS hamming, n FROM g""")
+def kmer_scalars(spark, sf_dir):
+    d = _reads(spark, sf_dir).groupBy(F.substr("seq", F.lit(1), F.lit(K)).alias("kmer"), F.substr("seq", F.lit(2), F.lit(K)).alias("second")).agg(F.count(F.lit(1)).alias("n"))
+    d = d.where(~F.contains(F.concat("kmer", "second"), F.lit("N"))).withColumns({"kid": bits.kmer_id(F.col("kmer")), "other": bits.kmer_id(F.col("second"))})
+    kid = F.col("kid")
+    return d.select("kmer", "second", "kid", bits.rc_id(kid, K).alias("rc"), bits.suffix(kid).alias("suffix"), bits.prefix(kid, K).alias("prefix"), bits.first_base(kid).alias("first_base"), bits.hamming(kid, F.col("other")).alias("hamming"), "n")
+
+
+# -- spectrum -----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {sql.kmers()} SELECT km AS kmer, count(*) AS n FROM fwd GROUP BY 1")
+def kmer_count(spark, sf_dir):
+    d = spectrum.explode_kmers(_reads(spark, sf_dir), K, both_strands=False).groupBy("kid").agg(F.count(F.lit(1)).alias("n"))
+    return _named(d, "n")
+
+
+@query(f"WITH {sql.kmers()} SELECT km AS kmer, count(*) AS n FROM fwd GROUP BY 1 ORDER BY n DESC, kmer LIMIT 100")
+def kmer_topk(spark, sf_dir):
+    return kmer_count(spark, sf_dir).orderBy(F.desc("n"), "kmer").limit(100)
+
+
+@query(f"WITH {sql.spectrum()} SELECT count(*) AS n_kmers, CAST(sum(n_trans) AS BIGINT) AS n_transitions FROM nodes")
+def kmer_distinct(spark, sf_dir):
+    return _nodes(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_kmers"), F.sum("n_trans").alias("n_transitions"))
+
+
+@query(f"WITH {sql.spectrum()} SELECT km AS kmer, cnt0, cnt1, cnt2, cnt3, rc_flag, status, n FROM nodes")
+def transition_count(spark, sf_dir):
+    return _named(_nodes(spark, sf_dir), *[F.col(f"cnt{b}").cast("long") for b in range(4)], "rc_flag", "status", "n")
+
+
+@query(f"WITH {sql.spectrum()} SELECT km AS kmer, own_flag, flag, n_trans, CAST(coverage AS BIGINT) AS coverage, (status & 4) <> 0 AS last_kmer FROM nodes")
+def trans_flag(spark, sf_dir):
+    return _named(_nodes(spark, sf_dir), "own_flag", "flag", "n_trans", F.col("coverage").cast("long"), "last_kmer")
+
+
+@query(f"WITH {sql.spectrum()}, {sql.EDGES} SELECT km AS kmer, {sql.BASE} AS base, CAST(cnt AS BIGINT) AS cnt, CASE WHEN total > 0 THEN cnt / total END AS p FROM edges")
+def trans_prob(spark, sf_dir):
+    d = spectrum.transition_probabilities(_nodes(spark, sf_dir))
+    return _named(d, F.substr(F.lit(bits.BASES), F.col("base") + 1, F.lit(1)).alias("base"), F.col("cnt").cast("long"), "p")
+
+
+@query(f"WITH {sql.spectrum()}, {sql.PAIRS} SELECT canon, CAST(joint AS BIGINT) AS joint, single_stranded FROM pairs")
+def canonical_pair(spark, sf_dir):
+    return spectrum.canonical_pairs(_nodes(spark, sf_dir), K).select("canon", F.col("joint").cast("long"), "single_stranded")
+
+
+@query(f"WITH {sql.spectrum()}, {sql.PAIRS}, {sql.HIST} SELECT bin, n, CAST(n_single AS BIGINT) AS n_single FROM hist")
+def kmer_histogram(spark, sf_dir):
+    return spectrum.histogram(spectrum.canonical_pairs(_nodes(spark, sf_dir), K))
+
+
+@query(f"WITH {sql.spectrum()}, {sql.PAIRS}, {sql.HIST}, {sql.ETA} SELECT CAST(t AS DOUBLE) AS threshold, CAST(ceil((t + 0.1) * {sql.LOG_GAMMA} + 0.5) AS INTEGER) AS eta FROM thr")
+def threshold_eta(spark, sf_dir):
+    thr, eta = spectrum.threshold_eta(kmer_histogram(spark, sf_dir), GAMMA)
+    return spark.range(1).select(F.lit(float(thr)).alias("threshold"), F.lit(eta).alias("eta"))
+
+
+@query(f"WITH {sql.READS}, {sql.WEIGHTS} SELECT km AS kmer, nx AS base, round(weight, 6) AS weight FROM weights")
+def weighted_transitions(spark, sf_dir):
+    d = spectrum.weighted_transitions(_reads(spark, sf_dir), K)
+    return _named(d, F.substr(F.lit(bits.BASES), F.col("base") + 1, F.lit(1)).alias("base"), F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {sql.spectrum()} SELECT read_id, round(avg(coverage), 6) AS mean_coverage, CAST(min(coverage) AS BIGINT) AS least_coverage FROM fwd JOIN nodes USING (km) GROUP BY read_id")
+def read_coverage(spark, sf_dir):
+    r = _reads(spark, sf_dir)
+    return spectrum.read_coverage(r, _nodes(spark, sf_dir), K).select("read_id", F.round("mean_coverage", 6).alias("mean_coverage"), F.col("least_coverage").cast("long"))
+
+
+@query(f"""WITH {sql.spectrum()}, c AS (SELECT min(coverage) AS least FROM fwd JOIN nodes USING (km) GROUP BY read_id), o AS (SELECT least, row_number() OVER (ORDER BY least) - 1 AS r, count(*) OVER () AS n FROM c)
+SELECT CAST(max(least) FILTER (r = floor(0.75 * n)) AS BIGINT) AS q75, CAST(max(least) FILTER (r = floor(0.9 * n)) AS BIGINT) AS q90 FROM o""")
+def coverage_quantile(spark, sf_dir):
+    c = stored(read_coverage(spark, sf_dir).select("least_coverage"), "coverage")
+    a, b = (spectrum.order_statistic(c, "least_coverage", s) for s in (0.75, 0.9))
+    return spark.range(1).select(F.lit(a).cast("long").alias("q75"), F.lit(b).cast("long").alias("q90"))
+
+
+@query(f"WITH {sql.READS} SELECT read_id FROM reads WHERE list_sum(list_transform(range(1, len + 1), lambda i: ascii(substr(qual, i, 1)) - 33)) >= 30 * len")
+def read_selector(spark, sf_dir):
+    return spectrum.select_reads(_reads(spark, sf_dir)).select("read_id")
+
+
+@query(f"""WITH {sql.spectrum()}, {sql.EDGES} SELECT km AS kmer, {sql.BASE} AS base, {sql.rc(f"substr(km, 2) || {sql.BASE}")} AS rkmer, translate(substr(km, 1, 1), 'ACGT', 'TGCA') AS rbase FROM edges""")
+def reciprocal_edges(spark, sf_dir):
+    e = spectrum.reciprocal_edges(_nodes(spark, sf_dir), K)
+    base = lambda c: F.substr(F.lit(bits.BASES), F.col(c) + 1, F.lit(1))
+    return e.select(bits.kmer_string(F.col("kid"), K).alias("kmer"), base("base").alias("base"), bits.kmer_string(F.col("rkid"), K).alias("rkmer"), base("rbase").alias("rbase"))
+
+
+@query(f"""WITH {sql.spectrum()}, m AS (SELECT km, i AS pos, substr(km, 1, CAST(i AS INTEGER)) || '.' || substr(km, CAST(i AS INTEGER) + 2) AS rest, {sql.packed('km', K)} AS kid FROM nodes, range({K}) t(i))
+SELECT a.km AS kmer, b.km AS other, CAST(a.pos AS INTEGER) AS pos FROM m a JOIN m b ON a.pos = b.pos AND a.rest = b.rest AND a.kid < b.kid""")
+def hamming1_neighbours(spark, sf_dir):
+    d = spectrum.hamming1_neighbours(_nodes(spark, sf_dir), K)
+    return d.select(bits.kmer_string(F.col("kid"), K).alias("kmer"), bits.kmer_string(F.col("other"), K).alias("other"), "pos")
+
+
+@query(f"""WITH {sql.spectrum()}, t AS (SELECT substr(q, i, {K}) AS km FROM (SELECT CASE WHEN ep < 50 THEN truth_seq ELSE seq END AS q, unnest(range(1, len - {K} + 2)) AS i FROM reads)), u AS (SELECT km, count(*) AS n FROM t WHERE instr(km, 'N') = 0 GROUP BY km)
+SELECT km AS kmer, n FROM u WHERE km NOT IN (SELECT km FROM nodes)""")
+def truth_missing_kmers(spark, sf_dir):
+    r = _reads(spark, sf_dir)
+    return _named(oracle.missing_kmers(r, oracle.apply_truth(r, source.truth(r)), K), "n")
+
+
+# -- labels and M-step --------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {sql.spectrum()}, s AS (SELECT km, substr(km, 2) AS w, {sql.rc('substr(km, 2)')} AS rw, {sql.packed('substr(km, 2)', K - 1)} AS wi, {sql.packed(sql.rc('substr(km, 2)'), K - 1)} AS ri, instr('ACTG', substr(km, 1, 1)) - 1 AS place, flag, total,
+   CAST(((flag & 1) = 1 AND cnt0 = 0) AS INTEGER) + CAST(((flag & 2) = 2 AND cnt1 = 0) AS INTEGER) + CAST(((flag & 4) = 4 AND cnt2 = 0) AS INTEGER) + CAST(((flag & 8) = 8 AND cnt3 = 0) AS INTEGER) AS phantom FROM nodes),
+g AS (SELECT *, least(wi, ri) AS grp, CASE WHEN wi = ri THEN 2 WHEN wi < ri THEN 0 ELSE 1 END AS side FROM s),
+arc AS (SELECT u.km AS a, v.km AS b FROM g u JOIN g v ON u.grp = v.grp AND u.side = 0 AND v.side = 1 AND ((u.flag >> xor(v.place, 2)) & 1 = 1 OR (v.flag >> xor(u.place, 2)) & 1 = 1)),
+both_ways AS (SELECT a, b FROM arc UNION ALL SELECT b, a FROM arc),
+reach(km, r, d) AS (SELECT km, km, 0 FROM g WHERE side < 2 UNION SELECT reach.km, e.b, d + 1 FROM reach JOIN both_ways e ON e.a = reach.r WHERE d < 7),
+comp AS (SELECT km, min(r) AS c FROM reach GROUP BY km),
+j AS (SELECT c, side, sum(CAST(n_trans_own > 1 AS INTEGER)) AS many, count(*) AS n, sum(total) AS cov, sum(phantom) AS ph FROM (SELECT comp.c, g.*, bit_count(g.flag) AS n_trans_own FROM g JOIN comp USING (km)) GROUP BY c, side),
+k AS (SELECT c, coalesce(max(many) FILTER (side = 0), 0) AS mu, coalesce(max(many) FILTER (side = 1), 0) AS mv, coalesce(max(n) FILTER (side = 0), 0) AS nu, coalesce(max(n) FILTER (side = 1), 0) AS nv,
+   coalesce(max(cov) FILTER (side = 0), 0) AS cu, coalesce(max(cov) FILTER (side = 1), 0) AS cv, coalesce(max(ph) FILTER (side = 0), 0) AS pu, coalesce(max(ph) FILTER (side = 1), 0) AS pv FROM j GROUP BY c),
+d AS (SELECT c, mu > 0 AND mv > 0 AS ambiguous, CASE WHEN mu <> mv THEN mu < mv WHEN nu <> nv THEN nu > nv WHEN nu = 1 AND pu <> pv THEN pu < pv ELSE cu > cv END AS first FROM k)
+SELECT g.km AS kmer, CASE WHEN side = 2 THEN 0 WHEN side = 0 THEN CAST(first AS INTEGER) ELSE 1 - CAST(first AS INTEGER) END AS label, coalesce(ambiguous, false) AS ambiguous FROM g LEFT JOIN comp ON comp.km = g.km LEFT JOIN d ON d.c = comp.c""")
+def kmer_labels(spark, sf_dir):
+    return _named(labels.labels(_nodes(spark, sf_dir), K), "label", "ambiguous")
+
+
+def _xi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _nodes(spark, sf_dir).select("kid", F.explode(bits.flag_bases(F.col("flag"))).alias("base"))
+    w = spectrum.weighted_transitions(_reads(spark, sf_dir), K).withColumn("xi", F.col("weight"))
+    return n.join(w.select("kid", "base", "xi"), ["kid", "base"], "left").fillna(0.0, ["xi"])
+
+
+@query(f"WITH {sql.spectrum()}, {sql.EDGES}, {sql.WEIGHTS}, {sql.XI}, {sql.SOFT} SELECT km AS kmer, {sql.BASE} AS base, round(p, 6) AS p FROM soft WHERE p >= 1e-6")
+def mstep_soft(spark, sf_dir):
+    """Transitions of at least 1e-6: residues below depend on the last digits of the weights."""
+    p = mstep.penalised_transitions(_xi(spark, sf_dir), EngineConfig().rho(26), GAMMA)
+    return _named(p.where("p >= 1e-6"), F.substr(F.lit(bits.BASES), F.col("base") + 1, F.lit(1)).alias("base"), F.round("p", 6).alias("p"))
+
+
+_CANON = f"""mass AS (SELECT km, sum(xi) AS mass, CAST(sum(1 << CAST(b AS INTEGER)) AS INTEGER) AS flag FROM xi GROUP BY km),
+every AS (SELECT nodes.km, coalesce(mass, 0.0) AS mass, coalesce(mass.flag, 0) AS flag, {sql.packed('nodes.km', K)} AS kid, {sql.packed(sql.rc('nodes.km'), K)} AS rid FROM nodes LEFT JOIN mass ON mass.km = nodes.km),
+pair AS (SELECT least(kid, rid) AS canon, CASE WHEN bool_or(kid = rid) THEN sum(mass) WHEN sum(mass) / 2 < {sql.RHO} AND (min(flag) = 0 OR count(*) < 2) THEN 1e-20 ELSE sum(mass) / 2 END AS value FROM every GROUP BY 1),
+whole AS (SELECT sum(mass) AS whole FROM every)"""
+
+
+@query(f"WITH {sql.spectrum()}, {sql.EDGES}, {sql.WEIGHTS}, {sql.XI}, {_CANON} SELECT e.km AS kmer, round(value / whole * 1e6, 6) AS init_ppm FROM every e JOIN pair ON canon = least(kid, rid), whole")
+def init_dist(spark, sf_dir):
+    xi = _xi(spark, sf_dir)
+    mass = xi.groupBy("kid").agg(F.sum("xi").alias("mass"), F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("base"))).alias("flag"))
+    every = _nodes(spark, sf_dir).select("kid").join(mass, "kid", "left").fillna({"mass": 0.0, "flag": 0})
+    return _named(mstep.initial_distribution(stored(every, "mass"), EngineConfig().rho(26), GAMMA, K), F.round(F.col("init") * 1e6, 6).alias("init_ppm"))
+
+
+@query(f"""WITH {sql.spectrum()}, {sql.EDGES}, pr AS (SELECT km, b, total, cnt / total AS p FROM edges WHERE total > 0 AND cnt > 0),
+back AS (SELECT {sql.rc(f"substr(km, 2) || {sql.BASE}")} AS km, translate(substr(km, 1, 1), 'ACGT', 'TGCA') AS base, total * p AS w FROM pr),
+inside AS (SELECT back.* FROM back JOIN nodes ON nodes.km = back.km WHERE {sql.packed('back.km', K)} > {sql.packed(sql.rc('back.km'), K)})
+SELECT km AS kmer, base, round(w / sum(w) OVER (PARTITION BY km), 6) AS p FROM inside""")
+def reverse_trans(spark, sf_dir):
+    """Transitions by reciprocity for the larger k-mer of each strand pair, from the counted shares of all others."""
+    n = stored(_nodes(spark, sf_dir), "nodes")
+    p = spectrum.transition_probabilities(n).where("cnt > 0")
+    side = n.select("kid", (F.col("kid") > bits.rc_id(F.col("kid"), K)).cast("int").alias("label"))
+    tied = mstep.reverse_transitions(p.select("kid", "base", "p"), n.select("kid", F.col("total").cast("double").alias("mass")), side.select("kid", F.lit(0).alias("label")).unionByName(side.where("label = 1")), K)
+    return _named(tied, F.substr(F.lit(bits.BASES), F.col("base") + 1, F.lit(1)).alias("base"), F.round("p", 6).alias("p"))
+
+
+@query(f"""WITH {sql.READS}, e AS (SELECT i AS slot, substr(truth_seq, i, 1) AS tb, substr(seq, i, 1) AS ob, ascii(substr(qual, i, 1)) - 33 AS q FROM (SELECT *, unnest(range(1, 51)) AS i FROM reads)),
+x AS (SELECT 'base' AS kind, CAST((slot - 1) // 10 AS BIGINT) AS slot, CAST(instr('ACTG', tb) - 1 AS INTEGER) AS ctx, CAST(instr('ACTGN', ob) - 1 AS INTEGER) AS obs, count(*) AS value FROM e GROUP BY ALL
+  UNION ALL SELECT 'qual', CAST((slot - 1) // 10 AS BIGINT), CAST(tb = ob AS INTEGER), q, count(*) FROM e GROUP BY ALL)
+SELECT kind, slot, ctx, obs, round(value / sum(value) OVER (PARTITION BY kind, slot, ctx), 9) AS p FROM x""")
+def emission_shares(spark, sf_dir):
+    """Emission tables counted against the truth, by windows of ten places."""
+    r = _reads(spark, sf_dir)
+    places = F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.struct(((i - 1) / 10).cast("long").alias("slot"), F.substr("truth_seq", i, F.lit(1)).alias("t"), F.substr("seq", i, F.lit(1)).alias("o"), (F.ascii(F.substr("qual", i, F.lit(1))) - 33).alias("q")))
+    e = r.select(F.explode(places).alias("e")).select("e.*")
+    base = e.groupBy(F.lit("base").alias("kind"), "slot", bits.base_to_bits(F.col("t")).alias("ctx"), bits.effective_base(F.col("o")).alias("obs")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    qual = e.groupBy(F.lit("qual").alias("kind"), "slot", (F.col("t") == F.col("o")).cast("int").alias("ctx"), F.col("q").alias("obs")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return mstep.emission(base.unionByName(qual)).withColumn("p", F.round("p", 9))
+
+
+@query(f"""WITH {sql.READS} SELECT read_id, CAST(4 * CAST(list_sum(list_transform(range(1, 11), lambda i: CAST(ascii(substr(qual, i, 1)) - 33 = 2 AS INTEGER))) = 0 AS INTEGER)
+  + 2 * CAST(list_sum(list_transform(range(11, 51), lambda i: CAST(ascii(substr(qual, i, 1)) - 33 < 20 AS INTEGER))) > 0 AS INTEGER)
+  + CAST(substr(seq, 50, 1) = substr(truth_seq, 50, 1) AS INTEGER) AS INTEGER) AS ctx FROM reads""")
+def emission_context(spark, sf_dir):
+    """Contexts by the expression language: no quality 2 in the first ten, any below 20 after, last base right."""
+    r = _reads(spark, sf_dir).withColumns({"y": bits.qualities(F.col("qual"), 33), "x": F.transform(F.split("seq", ""), bits.effective_base), "s": F.transform(F.split("truth_seq", ""), bits.effective_base)})
+    ctx = emitexpr.compile_context("all y[0..9] != 2, any y[10..49] < 20, x[49] = s[49]", {"x": "x", "s": "s", "y": "y"}, k=K)
+    return r.select("read_id", ctx.alias("ctx"))
+
+
+# -- fitting and decoding (not expressible in SQL) ----------------------------------------------------------
+
+
+CONFIG = EngineConfig(k=K, max_iterations=3)
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, em.Fit]:
+    r = stored(_reads(spark, sf_dir), "reads")
+    return r, em.fit(r, CONFIG)
+
+
+@query()
+def em_fit(spark, sf_dir):
+    _, f = _fitted(spark, sf_dir)
+    return _named(f.table, "label", "flag", "mass", "log_init", "lp0", "lp1", "lp2", "lp3")
+
+
+@query()
+def correct_reads(spark, sf_dir):
+    r, f = _fitted(spark, sf_dir)
+    return em.decode(r, f, CONFIG)
+
+
+@query()
+def oracle_gain(spark, sf_dir):
+    r, f = _fitted(spark, sf_dir)
+    return em.gain(r, em.decode(r, f, CONFIG.with_(update_quality=False)), r.select("read_id", "truth_seq"))
+
+
+@query()
+def read_loglik(spark, sf_dir):
+    r = stored(_reads(spark, sf_dir), "reads")
+    return em.read_scores(r, em.start(r, CONFIG), CONFIG)
+
+
+@query()
+def perfect_oracle(spark, sf_dir):
+    r = stored(_reads(spark, sf_dir), "reads")
+    return oracle.perfect_oracle(r, source.truth(r), CONFIG)
+
+
+@query()
+def oracle_em(spark, sf_dir):
+    r = stored(_reads(spark, sf_dir), "reads")
+    f = oracle.oracle_em(r, source.truth(r), CONFIG)
+    return _named(f.table, "mass", "flag", "log_init", "lp0", "lp1", "lp2", "lp3")
+
+
+@query()
+def auto_k(spark, sf_dir):
+    k, tried = em.auto_k(stored(_reads(spark, sf_dir), "reads"), CONFIG, share=0.05, least=11, most=19)
+    return spark.createDataFrame([(t["k"], int(t["complexity"]), float(t["non_unique"]), t["k"] == k) for t in tried], "k int, complexity long, non_unique double, chosen boolean")
+
+
+@query(f"WITH {sql.kmers()} SELECT km AS kmer, count(*) AS n FROM fwd GROUP BY 1")
+def stream_kmer_count(spark, sf_dir):
+    return _named(counting.count_stream(spark, stored(_reads(spark, sf_dir).select("read_id", "seq"), "stream-reads"), K), "n")
