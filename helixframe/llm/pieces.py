@@ -27,7 +27,7 @@ _tables: dict = {}
 class PieceTable:
     """Values are (ids as bytes, ids in decimals joined by spaces)."""
 
-    def __init__(self, path: str, rows: int = 150_000):
+    def __init__(self, path: str, rows: int = 100_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
