@@ -19,6 +19,7 @@ class EngineConfig:
     max_states: int = 256  # of a neighbourhood before its Hamming cap is lowered
     max_states_q2: int = 32768  # the same where a whole window has quality 2
     approx_states: int | None = None  # keep so many states of the largest alpha; None: all
+    thin_nats: float | None = None  # drop states whose score lies farther below the read's best; None: keep
     partial_decoding: int = 0  # 1, 2: decode what a dead trellis reached
     update_quality: bool = True
     use_init_prob: bool = False

@@ -236,3 +236,26 @@ def hamming_neighbours(node_table: DataFrame, ids: DataFrame, k: int, d: int) ->
         masks += [sum(x << (2 * i) for i, x in zip(at, xs, strict=True)) for xs in product((1, 2, 3), repeat=d)]
     probes = ids.select("kid", F.explode(F.transform(F.lit(masks), lambda m: F.col("kid").bitwiseXOR(m.cast("long")))).alias("other"))
     return probes.join(node_table.select(F.col("kid").alias("other")), "other", "left_semi").select("kid", "other")
+
+
+def low_coverage_runs(reads: DataFrame, node_table: DataFrame, k: int, least: int) -> DataFrame:
+    """read_id, start, n: maximal runs of places whose k-mers have a coverage below ``least`` (absent ones count as 0)."""
+    seen = explode_kmers(reads, k, both_strands=False, places=True).select("read_id", "pos", "kid")
+    low = seen.join(node_table.select("kid", "coverage"), "kid", "left").where(F.coalesce("coverage", F.lit(0)) < least)
+    island = F.col("pos") - F.row_number().over(Window.partitionBy("read_id").orderBy("pos"))
+    return low.select("read_id", "pos", island.alias("island")).groupBy("read_id", "island").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n")).drop("island")
+
+
+def describe_kmer(node_table: DataFrame, kmer: str) -> DataFrame:
+    """Everything known of one k-mer and its reverse complement."""
+    k = len(kmer)
+    kid = bits.kmer_id(F.lit(kmer))
+    return node_table.where((F.col("kid") == kid) | (F.col("kid") == bits.rc_id(kid, k))).withColumn("kmer", bits.kmer_string(F.col("kid"), k))
+
+
+def draw_transitions(p: DataFrame, seed: int) -> DataFrame:
+    """kid, base: one transition per k-mer drawn with its probability ``p``; the draw depends on the k-mer and the seed alone."""
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("kid")), F.lit(1 << 40)) / float(1 << 40)
+    g = p.groupBy("kid").agg(F.sort_array(F.collect_list(F.struct("base", "p"))).alias("t"))  # at most four
+    upto = F.aggregate("t", F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("base")), lambda a, x: F.struct((a["sum"] + x["p"]).alias("sum"), F.when(a["base"].isNull() & (a["sum"] + x["p"] > u), x["base"]).otherwise(a["base"]).alias("base")), lambda a: a["base"])
+    return g.select("kid", F.coalesce(upto, F.element_at("t", -1)["base"]).alias("base"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.config import EngineConfig
 from helixframe.functions import bits, emitexpr
-from helixframe.operators import em, labels, mstep, oracle, spectrum
+from helixframe.operators import context, em, labels, mstep, oracle, spectrum
 from helixframe.plans import sql
 from helixframe.plans.storage import stored
 from helixframe.sources import reads as source
@@ -266,6 +266,51 @@ def emission_context(spark, sf_dir):
     return r.select("read_id", ctx.alias("ctx"))
 
 
+D = 2
+_WIDE = f"""w AS (SELECT substr(seq, i, {D}) AS ctx, substr(seq, i + {D}, {K}) AS km, substr(seq, i + {D + K}, 1) AS nx FROM (SELECT seq, unnest(range(1, len - {K + D} + 1)) AS i FROM reads WHERE len > {K + D})),
+ctxs AS (SELECT km, ctx, nx, count(*) AS n FROM w WHERE instr(ctx || km || nx, 'N') = 0 GROUP BY ALL)"""
+
+
+@query(f"WITH {sql.READS}, {_WIDE} SELECT km AS kmer, ctx, nx AS base, n FROM ctxs")
+def context_count(spark, sf_dir):
+    c = context.context_counts(_reads(spark, sf_dir), K, D)
+    return _named(c, bits.kmer_string(F.col("ctx"), D).alias("ctx"), F.substr(F.lit(bits.BASES), F.col("base") + 1, F.lit(1)).alias("base"), "n")
+
+
+@query(f"""WITH {sql.spectrum()}, {_WIDE}, br AS (SELECT km, total FROM nodes WHERE n_trans > 1), s AS (SELECT km, ctx, CAST(sum(n) AS BIGINT) AS n, any_value(total) AS total FROM ctxs JOIN br USING (km) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY km ORDER BY n DESC, {sql.packed('ctx', D)}) AS rank FROM s)
+SELECT km AS kmer, ctx, n FROM r WHERE rank <= greatest(least(127, floor(total / 2 / {sql.RHO})), 1)""")
+def upstream_contexts(spark, sf_dir):
+    r = _reads(spark, sf_dir)
+    c = context.upstream_contexts(context.context_counts(r, K, D), _nodes(spark, sf_dir), EngineConfig().rho(26))
+    return _named(c, bits.kmer_string(F.col("ctx"), D).alias("ctx"), "n")
+
+
+@query()
+def context_transitions(spark, sf_dir):
+    r, rho = _reads(spark, sf_dir), EngineConfig().rho(26)
+    counts = stored(context.context_counts(r, K, D), "context-counts")
+    kept = stored(context.upstream_contexts(counts, _nodes(spark, sf_dir), rho), "contexts")
+    return _named(context.context_transitions(counts, kept, rho, GAMMA, D), "ctx", "base", "p")
+
+
+@query(f"""WITH {sql.spectrum()}, {sql.EDGES}, pr AS (SELECT km, substr(km, 2) || {sql.BASE} AS nx, cnt / total AS p FROM edges WHERE total > 0 AND cnt > 0),
+e1 AS (SELECT km, sum(p) AS p FROM pr GROUP BY km), e2 AS (SELECT pr.km, sum(pr.p * coalesce(e1.p, 0)) AS p FROM pr LEFT JOIN e1 ON e1.km = pr.nx GROUP BY 1),
+e3 AS (SELECT pr.km, sum(pr.p * coalesce(e2.p, 0)) AS p FROM pr LEFT JOIN e2 ON e2.km = pr.nx GROUP BY 1)
+SELECT km AS kmer, round(p, 6) AS p_ext FROM e3""")
+def extension_probability(spark, sf_dir):
+    p = spectrum.transition_probabilities(_nodes(spark, sf_dir)).where("cnt > 0")
+    return _named(context.extension_probability(p, K, 3), F.round("p_ext", 6).alias("p_ext"))
+
+
+@query(f"""WITH {sql.spectrum()}, l AS (SELECT read_id, pos - 1 AS pos, coalesce(coverage, 0) < 5 AS low FROM fwd LEFT JOIN nodes USING (km)),
+g AS (SELECT read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS island FROM l WHERE low)
+SELECT read_id, CAST(min(pos) AS INTEGER) AS start, count(*) AS n FROM g GROUP BY read_id, island""")
+def low_coverage_runs(spark, sf_dir):
+    r = _reads(spark, sf_dir)
+    return spectrum.low_coverage_runs(r, _nodes(spark, sf_dir), K, 5).select("read_id", "start", "n")
+
+
 # -- fitting and decoding (not expressible in SQL) ----------------------------------------------------------
 
 

@@ -46,6 +46,20 @@ def test_fit_and_correct(spark, reads):
     assert em.decode(reads.where("false"), f, CONFIG).count() == 0
 
 
+def test_save_load_and_inspect(spark, reads, tmp_path):
+    f = em.start(reads, CONFIG)
+    em.save(f, f"file://{tmp_path}/model")
+    g = em.load(spark, f"file://{tmp_path}/model")
+    few = reads.limit(20)
+    a, b = ({r.read_id: r.loglik for r in em.read_scores(few, x, CONFIG).collect()} for x in (f, g))
+    assert a == b and any(v is not None for v in a.values())
+    s = em.trellis_states(few, g, CONFIG).where("t = 3").groupBy("read_id").agg(F.sum("posterior").alias("p"))
+    assert all(r.p == pytest.approx(1) for r in s.collect())
+    thin = {r.read_id: r.n_states for r in em.read_scores(few, g, CONFIG.with_(thin_nats=1.0)).collect()}
+    wide = {r.read_id: r.n_states for r in em.read_scores(few, g, CONFIG).collect()}
+    assert all(thin[i] <= wide[i] for i in wide)
+
+
 def test_oracles(spark, reads):
     truth = reads.where("ep < 40").select("identifier", (F.col("ep") + 1).alias("pos"), F.substr("truth_seq", F.col("ep") + 1, F.lit(1)).alias("base"))
     fixed = oracle.apply_truth(reads, truth)

@@ -129,6 +129,63 @@ def test_hamming_neighbours(reads, d):
         assert {(r.kid, r.other) for r in spectrum.hamming1_neighbours(nodes, K).collect()} == {(a, b) for a, b in want if a < b}
 
 
+def label_group(side: list[int], place: list[int], flag: list[int], phantom: list[int], coverage: list[float]) -> tuple[list[int], list[bool]]:
+    """Labels and ambiguity of one group.
+
+    side: 0 for suffix w, 1 for its reverse complement; place: the code of the k-mer's first base; flag: its
+    transitions. A k-mer u of side 0 meets v of side 1 where u's flag has the base that leads to v's reverse
+    complement, which is the complement of v's first base.
+    """
+    n = len(side)
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(n):
+        for j in range(n):
+            if side[i] == 0 and side[j] == 1 and (flag[i] >> (place[j] ^ 2) & 1 or flag[j] >> (place[i] ^ 2) & 1):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    label, ambiguous = [0] * n, [False] * n
+    for r in {root(i) for i in range(n)}:
+        own = [i for i in range(n) if root(i) == r]
+        u, v = [i for i in own if side[i] == 0], [i for i in own if side[i] == 1]
+        many = lambda s: sum(flag[i].bit_count() > 1 for i in s)
+        if many(u) != many(v):
+            first = many(u) < many(v)
+        elif len(u) != len(v):
+            first = len(u) > len(v)
+        elif len(u) == 1 and phantom[u[0]] != phantom[v[0]]:
+            first = phantom[u[0]] < phantom[v[0]]
+        else:
+            first = sum(coverage[i] for i in u) > sum(coverage[i] for i in v)
+        both = many(u) > 0 and many(v) > 0
+        for s, value in ((u, int(first)), (v, 1 - int(first))):
+            for i in s:
+                label[i], ambiguous[i] = value, both
+    return label, ambiguous
+
+
+def test_label_groups_against_plain_search():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    group, members = [], []
+    for g in range(400):
+        for slot in range(8):
+            if rng.random() < 0.5:
+                group.append(g)
+                members.append((slot // 4, slot % 4, int(rng.integers(0, 16)), int(rng.integers(0, 3)), float(rng.integers(0, 4))))
+    cols = [np.array(c) for c in zip(*members, strict=True)]
+    label, ambiguous = labels.label_groups(np.array(group), 400, *cols)
+    for g in range(400):
+        own = [i for i, x in enumerate(group) if x == g]
+        want = label_group(*[[members[i][j] for i in own] for j in range(5)])
+        assert (label[own].tolist(), ambiguous[own].tolist()) == want
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_labels_are_opposite_across_edges(spark, reads, k):
     nodes = spectrum.nodes(spectrum.count_spectrum(reads, k))
@@ -225,3 +282,30 @@ def test_stream_counts(spark, reads, tmp_path):
     d = stored(reads.select("read_id", "seq").repartition(6), "reads")
     got = {r.kid: r.n for r in counting.count_stream(spark, d, K, files_per_batch=2).collect()}
     assert got == {pack(s): n for s, n in brute(K)[3].items() if n}
+
+
+def test_low_coverage_runs(spark, reads):
+    nodes = spectrum.nodes(spectrum.count_spectrum(reads, K))
+    coverage = {r.kid: r.coverage for r in nodes.collect()}
+    want = set()
+    for i, _, s, _ in READS:
+        low = [p for p in range(len(s) - K + 1) if len(s) > K and "N" not in s[p : p + K] and coverage[pack(s[p : p + K])] < 3]
+        runs = []
+        for p in low:
+            if runs and runs[-1][1] == p:
+                runs[-1][1] += 1
+            else:
+                runs.append([p, p + 1])
+        want |= {(i, a, b - a) for a, b in runs}
+    assert {tuple(r) for r in spectrum.low_coverage_runs(reads, nodes, K, 3).collect()} == want
+
+
+def test_draws_follow_probabilities(spark):
+    p = spark.range(4000).select(F.col("id").alias("kid"), F.explode(F.array(F.struct(F.lit(0).alias("base"), F.lit(0.25).alias("p")), F.struct(F.lit(3).alias("base"), F.lit(0.75).alias("p")))).alias("t")).select("kid", "t.*")
+    n = spectrum.draw_transitions(p, 1).where("base = 3").count()
+    assert 2900 < n < 3100
+
+
+def test_describe(reads):
+    nodes = spectrum.nodes(spectrum.count_spectrum(reads, K))
+    assert {r.kmer for r in spectrum.describe_kmer(nodes, "CGTA").collect()} == {"CGTA", "TACG"}
