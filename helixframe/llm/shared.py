@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -35,6 +36,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def divided(df: DataFrame, key: Column, keys: DataFrame, log2_bits: int = 23) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``key`` may be among ``keys`` (its one column), and rows whose key surely isn't.
+
+    A bitmap of 2**log2_bits hashed keys is broadcast, whatever their number, so that texts which no later join
+    concerns are not shuffled. With very many keys it only divides less. Null keys surely aren't there.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << log2_bits))
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))
+    b = bit(F.col(keys.columns[0]))
+    bitmap = written(keys.groupBy(F.shiftright(b, 6).alias("_cell")).agg(F.bit_or(one(b)).alias("_bits")), "bitmap")
+    marked = df.withColumn("_bit", F.when(key.isNotNull(), bit(key))).withColumn("_cell", F.shiftright("_bit", 6))
+    marked = marked.join(F.broadcast(bitmap), "_cell", "left")  # at most 2**(log2_bits - 6) rows
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(one(F.col("_bit"))) != 0, F.lit(False))
+    return marked.where(maybe).select(df.columns), marked.where(~maybe).select(df.columns)
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and the path in it of a Hadoop-style URI."""
     uri = re.sub(r"^file:/+", "/", uri)
