@@ -116,12 +116,10 @@ def found_spans(docs: DataFrame, *, context: int = 60) -> DataFrame:
     return d.select("doc_id", F.xxhash64("text").alias("tag"), around.alias("spans"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, *, term_chars: int = 4, support: int = 2, disclosure: float = 0.8, small: int = 20_000) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, *, term_chars: int = 4, support: int = 2, disclosure: float = 0.8) -> DataFrame:
     """Spans of terms that disclose an identifier beside them: doc_id, tag, start, end.
 
-    Counts are of documents over the whole corpus. Candidate terms (those with enough
-    ``support``) are joined to the corpus' words directly where they are at most
-    ``small``; more of them meet the words after these have been counted.
+    Counts are of documents over the whole corpus; only terms with enough ``support`` are scored.
     """
     spans = found.where(F.size("spans") > 0).select("doc_id", "tag", F.explode("spans").alias("s"))
     mention = spans.select("doc_id", "tag", _entity(F.col("s.kind_no"), F.col("s.value")).alias("entity"), "s.start", "s.end", "s.before", "s.after", F.xxhash64("s.before", "s.after").alias("place"))
@@ -131,11 +129,8 @@ def disclosing(found: DataFrame, docs: DataFrame, *, term_chars: int = 4, suppor
     near = shared.written(mention.select("doc_id", "tag", "entity", "place", F.explode(F.concat(left, right)).alias("t")).select("doc_id", "tag", "entity", "place", "t.*"), "pii-near")
     pairs = near.groupBy("entity", "term").agg(F.countDistinct("place").alias("places"), F.countDistinct("tag").alias("texts"), F.countDistinct("doc_id", "tag").alias("n_et")).where((F.col("places") >= support) & (F.col("texts") >= support))
     pairs = shared.written(pairs, "pii-pairs")
-    terms = shared.written(pairs.select("term").distinct(), "pii-terms")
-    n_terms = terms.count()
+    # the corpus' words are counted where they are, and only their counts meet the candidates
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= term_chars)
-    if n_terms <= small:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     entities = mention.groupBy("entity").agg(F.countDistinct("doc_id", "tag").alias("n_e"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
