@@ -2,7 +2,8 @@
 
 A chunk is what stands between two spaces. Where a tokenizer never builds a
 token across the boundary, every distinct chunk is segmented once per worker and
-the ids of a text are joined back by position. Texts for which that does not
+the ids of a text are joined back by position. Within a slice of texts chunks are
+told apart by a 64-bit hash; the table itself is keyed by the chunk. Texts for which that does not
 hold are encoded whole, so the ids always equal the library's for the whole text.
 The table has a fixed size: when it is full, it becomes the older generation and
 entries that are used again move to the new one.
@@ -10,28 +11,38 @@ entries that are used again move to the new one.
 
 from __future__ import annotations
 
+import codecs
 import os
 import struct
 
+import numpy as np
+import pandas as pd
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct chunks in one generation of a worker's table (about 180 bytes each; two generations are kept).
-TABLE_ROWS = 500_000
+TABLE_ROWS = 200_000
 #: A longer chunk is not kept.
-KEEP_CHARS = 200
+KEEP_BYTES = 200
 #: Chunks of these characters are cut into the model's words here; any others go through the library's whole chain.
 #: All of them are stable under NFC and have had their classes since the first versions of Unicode.
 PLAIN = regex.compile(r"[\n!-~¡-¬®-ɏ]+")
+#: Letters before this one are in PLAIN.
+LATIN_END = "\u0250"
 
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+#: Characters of texts whose chunks are looked up together.
+SLICE_CHARS = 2_000_000
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 2**64)
+_powers: dict[int, np.ndarray] = {}
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
+_pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
-class Whole(Exception):
-    """The text must be encoded whole."""
+def _packed(ids: list[int]) -> bytes:
+    return _pack[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Table(dict):
@@ -42,10 +53,8 @@ class Table(dict):
         self.make, self.rows, self.older = make, rows, {}
 
     def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= KEEP_CHARS:
+        value = self.older.get(key) or self.make(key)
+        if len(key) <= KEEP_BYTES:
             if len(self) >= self.rows:
                 self.older = dict(self)
                 self.clear()
@@ -53,6 +62,29 @@ class Table(dict):
         return value
 
 
+#: Stands for the ids of a chunk whose text must be encoded whole.
+WHOLE = b"?"
+
+
+class Generations:
+    """Values by chunk (in UTF-8) in two generations of at most ``rows``; used entries of the older one move to the newer."""
+
+    def __init__(self, rows: int):
+        self.rows, self.new, self.old = rows, {}, {}
+
+    def get(self, keys: list[bytes]) -> tuple[list, dict]:
+        """The values of keys (None where missing), and the dict to put missing ones in."""
+        if len(self.new) > self.rows:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        values = list(map(new.get, keys))
+        if old:
+            for i, v in enumerate(values):
+                if v is None and (v := old.get(keys[i])) is not None:
+                    values[i] = new[keys[i]] = v
+        return values, new
+
+
 class LibraryTable:
     """Ids by the tokenizers library, as little-endian unsigned 32-bit integers in bytes."""
 
@@ -73,70 +105,160 @@ class LibraryTable:
         # byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
-        self.space = chr(self.alphabet[32])
-        self.words = Table(self._word, rows // 4)
-        self.first = Table(self._first, rows)
-        self.rest = Table(self._rest, rows) if spaced else self.first
+        codes = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(others)}
+        space = chr(codes[32])
+        self.alphabet = "".join(chr(codes[b]) for b in range(256))
+        self.tokenize, self.space, self.words = self.model.tokenize, space, Table(self._word, rows // 4)
+        self.first, self.rest = Generations(rows // 4 if spaced else rows), Generations(rows)
 
     def _word(self, word: str) -> bytes:
-        seen = word.encode().decode("latin-1").translate(self.alphabet)
-        return _packed([t.id for t in self.model.tokenize(seen)])
-
-    def _letters(self, word: str) -> bytes:
-        """As ``_word`` for ASCII letters, which stand for themselves."""
-        return _packed([t.id for t in self.model.tokenize(word)])
+        seen = codecs.charmap_decode(word.encode(), "strict", self.alphabet)[0]
+        return _packed([t.id for t in self.tokenize(seen)])
 
     def _chunk(self, chunk: str, space: str) -> bytes:
-        if chunk.isascii() or PLAIN.fullmatch(chunk):
-            if chunk.isalpha():
+        words = self.words
+        if chunk[-1] in ".," and (stem := chunk[:-1]).isalpha() and max(stem) < LATIN_END:
+            return words[space + stem] + words[chunk[-1]]
+        if chunk.isalpha():
+            if max(chunk) < LATIN_END:
                 return self._word(space + chunk)
-            words = self.words
-            if chunk[:-1].isalpha() and chunk[-1] in ".,":
-                return words[space + chunk[:-1]] + words[chunk[-1]]
-            if PLAIN.fullmatch(chunk):
-                return b"".join([words[w] for w in self.cut(space + chunk)])
+        elif PLAIN.fullmatch(chunk):
+            return b"".join([words[w] for w in self.cut(space + chunk)])
         return self.whole(space + chunk)
 
     def _first(self, chunk: str) -> bytes:
         if not self.spaced:
-            if chunk.isascii() and chunk.isalpha():
-                return self._letters(chunk.lower())
             return self._chunk(chunk.lower() if chunk.isascii() or PLAIN.fullmatch(chunk) else chunk, "") if chunk else b""
         # white space at a chunk's edge joins the space beside it into one token
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise Whole
+            return WHOLE
         return self._chunk(chunk, "")
 
     def _rest(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            return self._letters(self.space + chunk)
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise Whole
+            return WHOLE
         return self._chunk(chunk, " ")
 
+    def _values(self, chunks: list[bytes], head: bool) -> list[bytes]:
+        table = self.first if head else self.rest
+        make, tokenize = self._first if head else self._rest, self.tokenize
+        space = self.space if self.spaced and not head else ""
+        values, new = table.get(chunks)
+        for i, v in enumerate(values):
+            if v is None:
+                c = chunks[i]
+                if c.isalpha():  # ASCII letters stand for themselves in the byte-level alphabet
+                    ids = [t.id for t in tokenize(space + c.decode())]
+                    v = _pack[len(ids)](*ids) if len(ids) < 64 else _packed(ids)
+                else:
+                    v = make(c.decode())
+                values[i] = v
+                if len(c) <= KEEP_BYTES:
+                    new[c] = v
+        return values
+
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def ids(self, texts: list[str]):
         """For each text its ids as bytes."""
-        first, rest = self.first, self.rest
+        todo, size = [], 0
         for text in texts:
-            if text == "":
-                yield b""
-                continue
-            head, *tail = text.split(" ")
-            try:
-                yield first[head] + b"".join([rest[c] for c in tail])
-            except Whole:
-                yield self.whole(text)
+            todo.append(text)
+            size += len(text)
+            if size >= SLICE_CHARS:
+                yield from self._slice(todo)
+                todo, size = [], 0
+        if todo:
+            yield from self._slice(todo)
+
+    def _slice(self, texts: list[str]):
+        """Chunks of all texts by their hash, looked up once each, and their ids joined back by position."""
+        own = [t.encode() for t in texts]
+        last = np.cumsum([t.count(b" ") + 1 for t in own])  # chunks up to the end of each text
+        first = np.concatenate([[0], last[:-1]])
+        data = b" ".join(own)
+        if not self.spaced:
+            data = data.translate(LOWER)  # as the model's chain does to these letters
+        buf = np.frombuffer(data, np.uint8)
+        gaps = np.flatnonzero(buf == 32)
+        starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(buf)]])
+        # a full stop or comma after a letter is a word of its own: the chunk is looked up without it
+        end_byte = np.where(ends - starts >= 2, buf[np.maximum(ends, 1) - 1], 0) if len(buf) else np.zeros(len(starts), np.uint8)
+        mark = ((end_byte == 46) | (end_byte == 44)) & ends_in_letter(buf, ends - 1, starts)
+        ends = ends - mark
+        hashes = span_hashes(buf, starts, ends)
+        if self.spaced:
+            hashes[first] ^= np.uint64(0x5851F42D4C957F2D)  # without the space before it, a chunk is another one
+        code, distinct = pd.factorize(hashes)
+        one = np.empty(len(distinct), np.int64)
+        one[code[::-1]] = np.arange(len(code))[::-1]  # where each is met first
+        heads = np.isin(one, first) if self.spaced else np.ones(len(one), bool)
+        chunks = [data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        if heads.all():
+            values = self._values(chunks, True)
+        else:
+            values = [b""] * len(chunks)
+            for head in (True, False):
+                at = np.flatnonzero(heads == head).tolist()
+                for i, v in zip(at, self._values([chunks[i] for i in at], head), strict=True):
+                    values[i] = v
+        whole = np.array(list(map(len, values))) == len(WHOLE)
+        values = [*([v if v is not WHOLE else b"" for v in values] if whole.any() else values), self.words["."], self.words[","]]
+        table = np.frombuffer(b"".join(values), "<u4")
+        lengths = np.array(list(map(len, values))) // 4
+        offsets = np.cumsum(lengths) - lengths
+        # chunks and their marks in order
+        units = np.cumsum(1 + mark)
+        code_ = np.repeat(code, 1 + mark)
+        code_[units[mark] - 1] = len(distinct) + (end_byte[mark] == 44)
+        n = lengths[code_]
+        end = np.cumsum(n)
+        joined = table[np.repeat(offsets[code_] - end + n, n) + np.arange(end[-1])].tobytes()
+        stops = end[units[last - 1] - 1].tolist()
+        odd = np.add.reduceat(whole[code], first) > 0 if whole.any() else np.zeros(len(texts), bool)
+        at = 0
+        for text, stop, is_odd in zip(texts, stops, odd.tolist(), strict=True):
+            yield self.whole(text) if is_odd else joined[4 * at : 4 * stop]
+            at = stop
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1) modulo 2**64; kept as long as the longest slice."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, SLICE_CHARS), base, np.uint64)
+        have[0] = 1
+        np.cumprod(have, out=have)
+        if len(have) <= 4 * SLICE_CHARS:
+            _powers[base] = have
+    return have[:n]
+
+
+def ends_in_letter(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether the spans end in an ASCII letter or in one from U+00C0 to U+027F (lead bytes C3 to C9; not the signs
+    D7 and F7, and not 0130, whose lower case ends in a mark)."""
+    if len(buf) < 2:
+        return np.zeros(len(starts), bool)
+    last, lead = buf[np.maximum(ends, 1) - 1], buf[np.maximum(ends, 2) - 2]
+    latin = (lead >= 0xC3) & (lead <= 0xC9) & (last >= 0x80) & (last <= 0xBF) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)) | (lead == 0xC4) & (last == 0xB0))
+    return (ends > starts) & (LETTER[last] | latin & (ends - starts >= 2))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash per span of ``buf``: polynomials over the bytes and the length."""
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power(BASE, len(buf)), out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _power(INVERSE, len(buf) + 1)[starts] + (ends - starts).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(29))
 
 
 _tables: dict = {}
 
 
-def library_table(path: str, spaced: bool) -> LibraryTable:
+def library_table(path: str, spaced: bool, rows: int = TABLE_ROWS) -> LibraryTable:
     """This process's table for a vocabulary."""
     if (path, spaced) not in _tables:
-        _tables[path, spaced] = LibraryTable(path, spaced)
+        _tables[path, spaced] = LibraryTable(path, spaced, rows)
     return _tables[path, spaced]

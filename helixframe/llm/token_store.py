@@ -32,13 +32,15 @@ HEAD = struct.Struct("<8s32sQ")
 FOOT = struct.Struct("<Q8s")
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n_ids", "<u4")])
 DICTIONARY = "dictionary.zdict"
+#: Distinct chunks in one generation of a worker's table.
+TABLE_ROWS = 450_000
 
 
 def train_dictionary(source: DataFrame, tokenizer_path: str, *, sample_docs: int = 2000, sample_chars: int = 20_000, dict_bytes: int = 112_640) -> bytes:
     """A dictionary from the serialized ids of a bounded sample: at most ``sample_docs`` rows with
     texts of 1 to ``sample_chars`` characters. Only compression depends on it, never the stored ids. Empty if there is too little to train on."""
-    rows = source.select("text").where(F.length("text").between(1, sample_chars)).limit(sample_docs).toArrow()
-    samples = list(textids.library_table(tokenizer_path, True).ids(rows.column("text").to_pylist()))
+    rows = source.select("text").where(F.length("text").between(1, sample_chars)).limit(sample_docs).collect()
+    samples = list(textids.library_table(tokenizer_path, True, TABLE_ROWS).ids([r.text for r in rows]))
     if sum(map(len, samples)) < 10 * 4096 or len(samples) < 20:
         return b""
     return zstandard.train_dictionary(min(dict_bytes, sum(map(len, samples)) // 10), samples).as_bytes()
@@ -58,7 +60,7 @@ def _file(dictionary: bytes, frames: list[bytes], index: np.ndarray) -> list[byt
     return [HEAD.pack(MAGIC, hashlib.sha256(dictionary).digest(), len(index)), body, index.tobytes(), FOOT.pack(HEAD.size + len(body), MAGIC)]
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2, shard_docs: int = 16384, file_bytes: int = 128 << 20, **training) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2, shard_docs: int = 4096, file_bytes: int = 128 << 20, **training) -> DataFrame:
     """Encodes the texts of ``docs`` (doc_id, text), appends ``end_id`` and writes the shards to ``folder``.
 
     Returns the manifest, one row per file: shard, part, file, n_docs, n_ids; files in
@@ -82,7 +84,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2,
     cuts = np.array([int(c) for c in cuts], dtype="i8")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (packer, _) = textids.library_table(tokenizer_path, True), _codec(shipped.value)
+        table, (packer, _) = textids.library_table(tokenizer_path, True, TABLE_ROWS), _codec(shipped.value)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out, sizes = [], []
