@@ -109,14 +109,15 @@ def fit(rows: DataFrame, features: dict[str, float] = FEATURES, *, keep_share: f
     """
     names, p = list(features), len(features)
     floor = [features[f] ** 2 for f in names]
-    middle = rows.groupBy("grp").agg(*[F.percentile_approx(f, F.lit(0.5), F.lit(accuracy)).alias(f"m{i}") for i, f in enumerate(names)])
+    # estimates are written before they meet the rows: a join then knows their size and moves no rows for small ones
+    middle = shared.written(rows.groupBy("grp").agg(*[F.percentile_approx(f, F.lit(0.5), F.lit(accuracy)).alias(f"m{i}") for i, f in enumerate(names)]), "mcd-middle")
     spread = rows.join(middle, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), F.lit(0.5), F.lit(accuracy)).alias(f"s{i}") for i, f in enumerate(names)])
     start = {f"l{i}{j}": F.sqrt((F.col(f"s{i}") * 1.4826) ** 2 + F.lit(floor[i])) if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)}
     params = shared.written(spread.withColumns(start).drop(*[f"s{i}" for i in range(p)]), "mcd-start")
     scale = consistency(p, keep_share)
     for _ in range(steps):
         near = rows.join(params, "grp").withColumn("_d", _distance(names))
-        limit = near.groupBy("grp").agg(F.percentile_approx("_d", F.lit(keep_share), F.lit(accuracy)).alias("_most"))
+        limit = shared.written(near.groupBy("grp").agg(F.percentile_approx("_d", F.lit(keep_share), F.lit(accuracy)).alias("_most")), "mcd-limit")
         shifted = near.join(limit, "grp").where(F.col("_d") <= F.col("_most"))
         shifted = shifted.select("grp", *[f"m{i}" for i in range(p)], *[(F.col(f) - F.col(f"m{i}")).alias(f"z{i}") for i, f in enumerate(names)])
         sums = shifted.groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.avg(f"z{i}").alias(f"a{i}") for i in range(p)], *[F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
@@ -148,7 +149,7 @@ def judge(docs: DataFrame, *, min_words: int = 10, repeat_percent: int = 20, min
     level = shared.written(level, "quality-groups")
     rows = stats.where(~F.col("base_failed")).join(level, "_own").select("grp", *features)
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_rows"))
-    params = fit(rows, features, **fitting).join(sizes.where(F.col("_rows") >= min_group), "grp").drop("_rows")
+    params = shared.written(fit(rows, features, **fitting).join(sizes.where(F.col("_rows") >= min_group), "grp").drop("_rows"), "mcd-final")
     judged = stats.join(level, "_own", "left").join(params, "grp", "left")
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), _distance(list(features))))
     drop = ["grp", "_own", "_lang", *params.columns, *features]
@@ -163,4 +164,8 @@ def keep_good(docs: DataFrame, **rules) -> DataFrame:
     tag = F.xxhash64("lang", "source", "text")
     judged = judge(docs.select(F.struct(F.col("doc_id"), tag.alias("tag")).alias("doc_id"), "lang", "source", "text"), **rules)
     bad = judged.where(~F.col("kept")).select(F.col("doc_id.doc_id").alias("_doc"), F.col("doc_id.tag").alias("_tag")).distinct()
-    return docs.withColumn("_own", tag).join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_tag")), "left_anti").drop("_own")
+    bad = shared.written(bad, "quality-rejected")
+    own = shared.narrowed(docs, "doc_id", "text", "lang", "source").withColumn("_own", tag)
+    maybe, good = shared.divided(own, F.col("_own"), bad.select("_tag"))
+    kept = good.unionByName(maybe.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_tag")), "left_anti"))
+    return shared.widened(kept, docs.columns)

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The column that holds the columns an operator does not use.
+EXTRA = "extra columns"
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where it is unset (as in tests), a temporary folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -36,6 +40,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrowed(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with all columns but ``used`` in one struct, so that no name of theirs meets one of an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*[c for c in docs.columns if c in used], F.struct(*rest).alias(EXTRA) if rest else F.lit(None).alias(EXTRA))
+
+
+def widened(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Undoes ``narrowed``: the named columns in their order."""
+    held = getattr(df.schema[EXTRA].dataType, "names", [])
+    return df.select(*[F.col(EXTRA)[c].alias(c) if c in held else F.col(c) for c in columns])
+
+
 def divided(df: DataFrame, key: Column, keys: DataFrame, log2_bits: int = 23) -> tuple[DataFrame, DataFrame]:
     """``df`` in two: rows whose ``key`` may be among ``keys`` (its one column), and rows whose key surely isn't.
 

@@ -319,13 +319,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, **linking) -> DataFram
     Repeated rows and ids all stay. An empty table gives no rows; other columns are ignored.
     """
     rows = shared.written(fingerprints(docs, shingle), "fingerprints")
-    classes = shared.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = shared.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     linked = components(links(classes, **linking))
     named = linked.join(classes, linked.node == classes.fp).select("node", "component", "least")
     smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
     linked = named.join(smallest, "component").select("node", "smallest")
-    ids = classes.join(linked, classes.fp == linked.node, "left").select("fp", F.when(F.col("node").isNotNull(), F.col("smallest")).otherwise(F.col("least")).alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    ids = classes.join(linked, classes.fp == linked.node, "left").select("fp", "n", F.when(F.col("node").isNotNull(), F.col("smallest")).otherwise(F.col("least")).alias("component_id"))
+    ids = shared.written(ids, "class-components")
+    # at most 1000 classes can hold over a thousandth of the rows each: these are broadcast, so no task gets a hot class
+    often = F.col("n") * 1000 > rows.count()
+    hot = F.broadcast(ids.where(often).drop("n"))
+    named = rows.join(hot, "fp").unionByName(rows.join(hot, "fp", "left_anti").join(ids.where(~often).drop("n"), "fp"))
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
 def keep_one(docs: DataFrame, **linking) -> DataFrame:
@@ -333,5 +338,7 @@ def keep_one(docs: DataFrame, **linking) -> DataFrame:
 
     Rows that repeat a doc_id are one document and stay or go together; rows with a null doc_id stay.
     """
-    drop = near_duplicates(docs, **linking).where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    drop = shared.written(near_duplicates(docs, **linking).where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct(), "later-duplicates")
+    own = shared.narrowed(docs, "doc_id", "text")
+    maybe, unique = shared.divided(own, F.col("doc_id"), drop)
+    return shared.widened(unique.unionByName(maybe.join(drop, "doc_id", "left_anti").select(own.columns)), docs.columns)

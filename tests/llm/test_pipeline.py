@@ -44,12 +44,15 @@ def test_run_equals_the_stages(spark, stages):
 
 
 def test_empty_and_odd_documents(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
-    rows = [(1, None, None, None, None, "a"), (None, "", "en", "s", 0, "b"), (2, "word " * 5000, "en", "s", 25000, "c"), (3, "x", "en", None, 1, "d"), (3, "x", "en", None, 1, "d")]
+    schema = "doc_id long, _tag string, text string, lang string, source string, n_chars long, _doc string, _cuts int, _bit int, `a.b` int, kept boolean"
+    more = ("t", 1, 2, 3, True)
+    rows = [(1, "a", None, None, None, None, *more), (None, "b", "", "en", "s", 0, *more), (2, "c", "word " * 5000, "en", "s", 25000, *more), (3, "d", "x", "en", None, 1, *more), (3, "d", "x", "en", None, 1, *more)]
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
         for name, f in corpus_pipeline.STAGES:
             out = f(spark, docs, SF)
+            if name not in ("quality_rules", "packing"):
+                assert {(r["_tag"], r["_bit"], r["a.b"], r.kept) for r in out.collect()} <= {(x[1], 2, 3, True) for x in data}
             assert name == "packing" or out.columns == docs.columns
             assert out.count() >= (len(data) if name in ("passages", "personal_data", "packing") else 0)
 
