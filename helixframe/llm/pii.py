@@ -133,10 +133,10 @@ def disclosing(found: DataFrame, docs: DataFrame, *, term_chars: int = 4, suppor
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= term_chars)
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     entities = mention.groupBy("entity").agg(F.countDistinct("doc_id", "tag").alias("n_e"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    scored = pairs.join(counts, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
-    pmi = F.ln(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
-    telling = scored.where((F.col("n") > F.col("n_e")) & (pmi >= disclosure * F.ln(F.col("n") / F.col("n_e")))).select("entity", "term")
+    scored = pairs.join(counts, "term").join(entities, "entity")
+    n = F.lit(docs.count())
+    pmi = F.ln(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
+    telling = scored.where((n > F.col("n_e")) & (pmi >= disclosure * F.ln(n / F.col("n_e")))).select("entity", "term")
     return near.join(telling, ["entity", "term"], "left_semi").select("doc_id", "tag", "start", "end").distinct()
 
 
@@ -184,10 +184,11 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     found = shared.written(found_spans(docs), "pii-spans")
     terms = disclosing(found, docs, **options).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(F.struct("start", F.lit(len(PATTERNS)).alias("kind_no"), "end"))).alias("_terms"))
     terms = shared.written(terms.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "_terms"), "pii-terms")
-    d = docs.join(terms, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_tag")), "left")
+    d = shared.narrowed(docs, "doc_id", "text", "n_chars")
+    d = d.join(terms, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_tag")), "left")
     own = F.transform(base_spans(F.coalesce("text", F.lit(""))), lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end")))
     d = d.withColumn("_spans", F.when(F.col("_terms").isNull(), own).otherwise(F.array_sort(F.concat(own, "_terms"))))
     d = d.withColumn("text", F.when(F.size("_spans") > 0, _masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length("text").cast("long"))
-    return d.select(docs.columns)
+    return shared.widened(d, docs.columns)

@@ -79,13 +79,18 @@ def write(pages: DataFrame, folder: str, *, min_payload: int = 100, date: str =
     writes no file; other columns are ignored.
 
     One task writes one file. Payloads are shuffled once, by digest, to learn the
-    response of their group; a hot digest is split by the skew join.
+    response of their group; those of the commonest digests stay where they are.
     """
     spark = pages.sparkSession
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     source = source.withColumn("digest", F.sha2("html", 256))
-    first = source.where(F.octet_length("html") >= min_payload).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    marked = source.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    first = source.where(F.octet_length("html") >= min_payload).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    first = shared.written(first, "warc-payloads")
+    # at most 1000 payloads can belong to over a thousandth of the pages each: these are broadcast, so no task gets a hot payload
+    often = F.col("n") * 1000 > pages.count()
+    hot = F.broadcast(first.where(often).drop("n"))
+    marked = source.join(hot, "digest").unionByName(source.join(hot, "digest", "left_anti").join(first.where(~often & (F.col("n") > 1)).drop("n"), "digest", "left"))
+    marked = marked.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, index = TaskContext.get(), []
