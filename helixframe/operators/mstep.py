@@ -103,8 +103,8 @@ def initial_distribution(counts: DataFrame, rho: float, gamma: float, k: int) ->
     mean = F.col("both") / 2
     value = F.when(F.col("own"), F.col("both")).when((mean < rho) & ((F.col("least_flag") == 0) | (F.col("sides") < 2)), F.lit(gamma)).otherwise(mean)
     pair = pair.select("canon", value.alias("value"))
-    total = d.agg(F.sum("mass").alias("whole"))
-    return d.join(pair, "canon").crossJoin(F.broadcast(total)).select("kid", (F.col("value") / F.col("whole")).alias("init"))  # one row
+    whole = d.agg(F.sum("mass")).first()[0] or 1.0
+    return d.join(pair, "canon").select("kid", (F.col("value") / F.lit(whole)).alias("init"))
 
 
 def emission(expected: DataFrame) -> DataFrame:

@@ -45,8 +45,8 @@ def true_fit(reads: DataFrame, true_reads: DataFrame, config: EngineConfig) -> e
     model = p.groupBy("kid").agg(F.first("mass").cast("double").alias("mass"), F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("base"))).alias("flag"), *[F.max(F.when(F.col("base") == b, F.ln(F.col("n") / F.col("mass")))).alias(f"lp{b}") for b in range(4)])
     ends = t.select(bits.successor(F.col("kid"), F.col("base"), config.k).alias("kid")).distinct().join(model.select("kid"), "kid", "left_anti")
     model = model.unionByName(ends.select("kid", F.lit(0.0).alias("mass"), F.lit(0).alias("flag"), *[F.lit(None).cast("double").alias(f"lp{b}") for b in range(4)]))
-    total = model.agg(F.sum("mass").alias("whole"))
-    model = model.crossJoin(F.broadcast(total)).select("kid", F.lit(0).alias("label"), "flag", "mass", bits.safe_log(F.col("mass") / F.col("whole")).alias("log_init"), *[f"lp{b}" for b in range(4)])  # one row
+    whole = model.agg(F.sum("mass")).first()[0] or 1.0
+    model = model.select("kid", F.lit(0).alias("label"), "flag", "mass", bits.safe_log(F.col("mass") / whole).alias("log_init"), *[f"lp{b}" for b in range(4)])
     base, qual = kernel.first_emission(config.k, em.slots(config, max_len), q_max, config.error_rate, config.emission)
     return em.Fit(stored(model, "true-model"), base, qual, config.eta or 0.0, offset, config.slot, [])
 
