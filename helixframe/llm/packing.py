@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textids
+from . import shared, textids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -118,12 +118,13 @@ def pack(
         table = textids.library_table(tokenizer_path, False)
         packer = _Packer(TaskContext.get().partitionId() << 40, capacity, block_tokens, linear, quadratic, keep_ids)
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in shared.sliced(batches):
             for doc_id, ids in zip(b.column(0).to_pylist(), table.ids(b.column(1).to_pylist()), strict=True):
                 packer.add(doc_id, ids + end)
             yield packer.batch()
         packer.flush()
+        textids.forget()  # other operators' stages share the worker's memory
         yield packer.batch()
 
-    out = source.mapInArrow(run, SCHEMA)
+    out = source.mapInArrow(shared.releasing(run), SCHEMA)
     return out if keep_ids else out.drop("ids")

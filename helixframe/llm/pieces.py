@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .textids import Table, _packed
 
 MARK = "▁"
@@ -82,13 +83,13 @@ def encode_decode(docs: DataFrame, model_path: str, *, digests_only: bool = Fals
             yield ids, text, table.model.decode(np.frombuffer(ids, "<u4").tolist())
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in shared.sliced(batches):
             rows = list(encoded(b))
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "ids", "id_text", "decoded"])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in shared.sliced(batches):
             n, a, d = [], [], []
             for ids, text, decoded in encoded(b):
                 n.append(len(ids) // 4)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +72,27 @@ def divided(df: DataFrame, key: Column, keys: DataFrame, log2_bits: int = 23) ->
     return marked.where(maybe).select(df.columns), marked.where(~maybe).select(df.columns)
 
 
+def sliced(batches, rows: int = 1024):
+    """The batches in slices of at most ``rows``: Python objects are made for one slice at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def releasing(run):
+    """``run`` for mapInArrow, after which the worker gives memory that it no longer uses back to the system:
+    workers outlive their tasks and share an executor's memory with the stages that follow."""
+
+    def and_release(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return and_release
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and the path in it of a Hadoop-style URI."""
     uri = re.sub(r"^file:/+", "/", uri)

@@ -60,11 +60,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in shared.sliced(batches):
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype="u8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view("i8"))], ["doc_id", "fp"])
 
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(shared.releasing(run), "doc_id long, fp long")
 
 
 def bit_groups(correlation: np.ndarray, m: int) -> list[list[int]]:
@@ -305,8 +305,8 @@ def links(classes: DataFrame, *, tau: int = 3, partitions: int = 4, coarse: int
         return pa.RecordBatch.from_arrays([pa.array(fp[pairs[:, k]].view("i8")) for k in (0, 1)], ["u", "v"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = classes.select("fp").mapInArrow(deal, "key long, block long, role byte, fp long")
-    return dealt.repartition(n, "key", "block").sortWithinPartitions("key", "block", "fp").mapInArrow(verify, "u long, v long")
+    dealt = classes.select("fp").mapInArrow(shared.releasing(deal), "key long, block long, role byte, fp long")
+    return dealt.repartition(n, "key", "block").sortWithinPartitions("key", "block", "fp").mapInArrow(shared.releasing(verify), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, **linking) -> DataFrame:

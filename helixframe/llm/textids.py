@@ -16,13 +16,13 @@ import os
 import struct
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct chunks in one generation of a worker's table (about 180 bytes each; two generations are kept).
-TABLE_ROWS = 200_000
+TABLE_ROWS = 120_000
 #: A longer chunk is not kept.
 KEEP_BYTES = 200
 #: Chunks of these characters are cut into the model's words here; any others go through the library's whole chain.
@@ -32,7 +32,7 @@ PLAIN = regex.compile(r"[\n!-~¡-¬®-ɏ]+")
 LATIN_END = "\u0250"
 
 #: Characters of texts whose chunks are looked up together.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
@@ -190,8 +190,10 @@ class LibraryTable:
         hashes = span_hashes(buf, starts, ends)
         if self.spaced:
             hashes[first] ^= np.uint64(0x5851F42D4C957F2D)  # without the space before it, a chunk is another one
-        code, distinct = pd.factorize(hashes)
-        one = np.empty(len(distinct), np.int64)
+        coded = pa.array(hashes).dictionary_encode()
+        code = coded.indices.to_numpy()
+        n_distinct = len(coded.dictionary)
+        one = np.empty(n_distinct, np.int64)
         one[code[::-1]] = np.arange(len(code))[::-1]  # where each is met first
         heads = np.isin(one, first) if self.spaced else np.ones(len(one), bool)
         chunks = [data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
@@ -211,7 +213,7 @@ class LibraryTable:
         # chunks and their marks in order
         units = np.cumsum(1 + mark)
         code_ = np.repeat(code, 1 + mark)
-        code_[units[mark] - 1] = len(distinct) + (end_byte[mark] == 44)
+        code_[units[mark] - 1] = n_distinct + (end_byte[mark] == 44)
         n = lengths[code_]
         end = np.cumsum(n)
         joined = table[np.repeat(offsets[code_] - end + n, n) + np.arange(end[-1])].tobytes()
@@ -257,6 +259,13 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 _tables: dict = {}
 
 
+def forget() -> None:
+    """Gives the tables' memory back; the next task starts with empty ones."""
+    for t in _tables.values():
+        for g in (t.first, t.rest):
+            g.new, g.old = {}, {}
+
+
 def library_table(path: str, spaced: bool, rows: int = TABLE_ROWS) -> LibraryTable:
     """This process's table for a vocabulary."""
     if (path, spaced) not in _tables:

@@ -86,7 +86,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2,
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, (packer, _) = textids.library_table(tokenizer_path, True, TABLE_ROWS), _codec(shipped.value)
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in shared.sliced(batches, 4096):
             out, sizes = [], []
             for ids in table.ids(b.column(1).to_pylist()):
                 ids += end
