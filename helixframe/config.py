@@ -12,7 +12,7 @@ class EngineConfig:
     eta: float | None = None  # penalty; None: from the histogram
     gamma: float = 1e-20
     rel_tol: float = 1e-4
-    max_iterations: int = 10
+    max_iterations: int | None = None  # None: until rel_tol is met
     error_rate: float = 0.01
     max_hamming: int | None = None  # None: k // 2
     window: int | None = None  # emission and Hamming windows; None: k // 4

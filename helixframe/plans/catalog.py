@@ -314,7 +314,7 @@ def low_coverage_runs(spark, sf_dir):
 # -- fitting and decoding (not expressible in SQL) ----------------------------------------------------------
 
 
-CONFIG = EngineConfig(k=K, max_iterations=3)
+CONFIG = EngineConfig(k=K)
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, em.Fit]:
@@ -361,7 +361,7 @@ def oracle_em(spark, sf_dir):
 
 @query()
 def auto_k(spark, sf_dir):
-    k, tried = em.auto_k(stored(_reads(spark, sf_dir), "reads"), CONFIG, share=0.05, least=11, most=19)
+    k, tried = em.auto_k(stored(_reads(spark, sf_dir), "reads"), CONFIG, share=0.05, least=11, most=30)
     return spark.createDataFrame([(t["k"], int(t["complexity"]), float(t["non_unique"]), t["k"] == k) for t in tried], "k int, complexity long, non_unique double, chosen boolean")
 
 
