@@ -29,7 +29,7 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(smallest, "u")
         small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v"))).distinct()
-        links = shared.written(small, "links")
+        links = shared.written(small, "links", links)
         now = mark(links)
         if (now.n, now.h) == (before.n, before.h):
             break

@@ -2,8 +2,9 @@
 
 No piece of the vocabulary crosses from another character to a white-space
 marker (checked when the model is loaded), so a text's segmentation is that of
-its marked words, one after another. Each distinct marked word is segmented once
-per worker and the ids are joined back by position.
+its marked words, one after another; a run of spaces belongs to the word after
+it. Each distinct marked word is segmented once per worker and generation of its
+table, and the ids are joined back by position.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from . import shared
 from .textids import Table, _packed
 
-MARK = "▁"
+MARK = "\u2581"
 SCHEMA = "doc_id long, ids binary, id_text string, decoded string"
+#: A run of spaces with the word after it; a text's first word has the marker that the library puts before it.
+MARKED = re.compile(" +[^ ]*")
 _tables: dict = {}
 
 
@@ -36,21 +39,32 @@ class PieceTable:
         self.independent = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         # the marker and nothing else must stand for a space, at the start of a text too
         self.independent &= self.model.encode("a  b ", out_type=str) == [f"{MARK}a", MARK, f"{MARK}b", MARK]
+        self.independent &= self.model.encode(f"a{MARK}b") == self.model.encode("a b") and self.model.encode(" ") == self.model.encode(MARK)
+        alone = self.model.piece_to_id(MARK)
+        self.marker = (_packed([alone]), str(alone))
         self.table = Table(self.value, rows)
 
     def value(self, text: str) -> tuple[bytes, str]:
         ids = self.model.encode(text)
         return _packed(ids), " ".join(map(str, ids))
 
+    def marked(self, word: str) -> tuple[bytes, str]:
+        """The value of a run of spaces with the word after it: of its spaces one is the marker that the library adds."""
+        return self.table[word[1:]] if len(word) > 1 else self.marker
+
     def values(self, texts: list[str]):
         """For each text the list of its marked words' values, or the value of the whole text in a list."""
         table = self.table
         for text in texts:
-            yield [table[w] for w in text.split(" ")] if self.splittable(text) else [self.value(text)]
-
-    def splittable(self, text: str) -> bool:
-        # two markers side by side can form one piece; then the text is segmented whole
-        return self.independent and text != "" and "  " not in text and MARK not in text and text[0] != " " and text[-1] != " "
+            if text == "" or not self.independent:
+                yield [self.value(text)]
+                continue
+            if MARK in text:
+                text = text.replace(MARK, " ")
+            if "  " in text or text[0] == " " or text[-1] == " ":
+                yield [self.marked(w) for w in MARKED.findall(" " + text)]
+            else:
+                yield [table[w] for w in text.split(" ")]
 
 
 def piece_table(path: str) -> PieceTable:

@@ -20,11 +20,13 @@ EXTRA = "extra columns"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (as in tests), a temporary folder of this machine."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary folder if driver and executors are one process, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="helixframe-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -36,24 +38,44 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder and read back, which cuts the lineage."""
+def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder and read back, which cuts the lineage.
+
+    ``done``: tables that this function wrote and that nothing reads from now on; they are deleted.
+    """
     spark = df.sparkSession
     path = workspace(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in done:
+        delete(spark, old.shared_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder below the shared root."""
+    if not path.startswith(checkpoint_root(spark) + "/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def narrowed(docs: DataFrame, *used: str) -> DataFrame:
     """``docs`` with all columns but ``used`` in one struct, so that no name of theirs meets one of an operator's."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    rest = [quoted(c) for c in docs.columns if c not in used]
     return docs.select(*[c for c in docs.columns if c in used], F.struct(*rest).alias(EXTRA) if rest else F.lit(None).alias(EXTRA))
 
 
 def widened(df: DataFrame, columns: list[str]) -> DataFrame:
     """Undoes ``narrowed``: the named columns in their order."""
     held = getattr(df.schema[EXTRA].dataType, "names", [])
-    return df.select(*[F.col(EXTRA)[c].alias(c) if c in held else F.col(c) for c in columns])
+    return df.select(*[F.col(EXTRA).getField(c).alias(c) if c in held else quoted(c) for c in columns])
 
 
 def divided(df: DataFrame, key: Column, keys: DataFrame, log2_bits: int = 23) -> tuple[DataFrame, DataFrame]:
@@ -101,18 +123,18 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def write_file(folder: str, name: str, attempt: int, chunks) -> int:
-    """Writes ``chunks`` to ``folder/name`` so that only whole files get that name; returns the bytes.
+def write_file(folder: str, name: str, attempt: int, chunks) -> tuple[str, int]:
+    """Writes ``chunks`` to a file of ``folder`` whose name is ``name`` with the attempt's number before the first dot.
 
-    A task that runs twice writes equal bytes to a file of its own and renames
-    it, so a lost executor or a second attempt leaves one whole file.
+    Returns that name and the bytes. No two attempts share a file, so one that runs beside or after another
+    never changes what the other's index names; the rows that Spark commits name the files that count.
     """
     files, base = filesystem(folder)
     files.create_dir(base, recursive=True)
-    own, size = f"{base}/_{name}.{attempt}.{uuid.uuid4().hex}", 0
-    with files.open_output_stream(own, compression=None) as out:
+    stem, _, kind = name.partition(".")
+    own, size = f"{stem}-{attempt}.{kind}", 0
+    with files.open_output_stream(f"{base}/{own}", compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)
-    files.move(own, f"{base}/{name}")
-    return size
+    return own, size

@@ -3,7 +3,7 @@
 A chunk is what stands between two spaces. Where a tokenizer never builds a
 token across the boundary, every distinct chunk is segmented once per worker and
 the ids of a text are joined back by position. Within a slice of texts chunks are
-told apart by a 64-bit hash; the table itself is keyed by the chunk. Texts for which that does not
+grouped by a 64-bit hash and compared byte for byte; the table itself is keyed by the chunk. Texts for which that does not
 hold are encoded whole, so the ids always equal the library's for the whole text.
 The table has a fixed size: when it is full, it becomes the older generation and
 entries that are used again move to the new one.
@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from .spans import LOWER, Spans
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct chunks in one generation of a worker's table (about 180 bytes each; two generations are kept).
@@ -32,11 +34,7 @@ PLAIN = regex.compile(r"[\n!-~¡-¬®-ɏ]+")
 LATIN_END = "\u0250"
 
 #: Characters of texts whose chunks are looked up together.
-SLICE_CHARS = 500_000
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+SLICE_CHARS = 1_000_000
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 _pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
@@ -141,17 +139,22 @@ class LibraryTable:
 
     def _values(self, chunks: list[bytes], head: bool) -> list[bytes]:
         table = self.first if head else self.rest
-        make, tokenize = self._first if head else self._rest, self.tokenize
+        make, tokenize, decode, alphabet = self._first if head else self._rest, self.tokenize, codecs.charmap_decode, self.alphabet
         space = self.space if self.spaced and not head else ""
         values, new = table.get(chunks)
         for i, v in enumerate(values):
             if v is None:
                 c = chunks[i]
                 if c.isalpha():  # ASCII letters stand for themselves in the byte-level alphabet
-                    ids = [t.id for t in tokenize(space + c.decode())]
-                    v = _pack[len(ids)](*ids) if len(ids) < 64 else _packed(ids)
+                    seen = c.decode()
                 else:
+                    text = c.decode() if self.spaced else c.decode().lower()
+                    seen = decode(text.encode(), "strict", alphabet)[0] if text.isalpha() and max(text) < LATIN_END else None
+                if seen is None:
                     v = make(c.decode())
+                else:
+                    ids = [t.id for t in tokenize(space + seen)]
+                    v = _pack[len(ids)](*ids) if len(ids) < 64 else _packed(ids)
                 values[i] = v
                 if len(c) <= KEEP_BYTES:
                     new[c] = v
@@ -187,15 +190,22 @@ class LibraryTable:
         end_byte = np.where(ends - starts >= 2, buf[np.maximum(ends, 1) - 1], 0) if len(buf) else np.zeros(len(starts), np.uint8)
         mark = ((end_byte == 46) | (end_byte == 44)) & ends_in_letter(buf, ends - 1, starts)
         ends = ends - mark
-        hashes = span_hashes(buf, starts, ends)
+        spans = Spans(data, starts, ends)
+        hashes, head = spans.hashes(), np.zeros(len(starts), bool)
         if self.spaced:
-            hashes[first] ^= np.uint64(0x5851F42D4C957F2D)  # without the space before it, a chunk is another one
+            head[first] = True  # without the space before it, a chunk is another one
+            hashes[first] ^= np.uint64(0x5851F42D4C957F2D)
         coded = pa.array(hashes).dictionary_encode()
-        code = coded.indices.to_numpy()
-        n_distinct = len(coded.dictionary)
-        one = np.empty(n_distinct, np.int64)
+        code = coded.indices.to_numpy().astype(np.int64)
+        one = np.empty(len(coded.dictionary), np.int64)
         one[code[::-1]] = np.arange(len(code))[::-1]  # where each is met first
-        heads = np.isin(one, first) if self.spaced else np.ones(len(one), bool)
+        odd = spans.differ(one[code])  # equal hashes of different chunks: the later ones stand for themselves
+        if self.spaced:
+            odd = np.union1d(odd, np.flatnonzero(head != head[one[code]]))
+        code[odd] = len(one) + np.arange(len(odd))
+        one = np.concatenate([one, odd])
+        n_distinct = len(one)
+        heads = head[one] if self.spaced else np.ones(n_distinct, bool)
         chunks = [data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
         if heads.all():
             values = self._values(chunks, True)
@@ -225,18 +235,6 @@ class LibraryTable:
             at = stop
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64; kept as long as the longest slice."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_CHARS), base, np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if len(have) <= 4 * SLICE_CHARS:
-            _powers[base] = have
-    return have[:n]
-
-
 def ends_in_letter(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Whether the spans end in an ASCII letter or in one from U+00C0 to U+027F (lead bytes C3 to C9; not the signs
     D7 and F7, and not 0130, whose lower case ends in a mark)."""
@@ -247,15 +245,6 @@ def ends_in_letter(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> np.
     return (ends > starts) & (LETTER[last] | latin & (ends - starts >= 2))
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash per span of ``buf``: polynomials over the bytes and the length."""
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power(BASE, len(buf)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power(INVERSE, len(buf) + 1)[starts] + (ends - starts).astype(np.uint64)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(29))
-
-
 _tables: dict = {}
 
 

@@ -1,13 +1,13 @@
 """Token-id files: documents compressed one by one with a shared zstandard dictionary.
 
-File format (little-endian), files ``tokens-<shard>-<part>.zids``, documents in ascending doc_id::
+File format (little-endian), files ``tokens-<shard>-<part>-<attempt>.zids``, documents in ascending doc_id::
 
     magic b"ZIDS0001" | 32 bytes SHA-256 of the dictionary | u64 documents in the shard
     frames: per document one zstandard frame of its u32 ids
     index: per document i64 doc_id, u64 offset of its frame, u32 frame bytes, u32 ids
     footer: u64 offset of the index | magic
 
-The dictionary lies beside the shards as ``dictionary.zdict``. A document is read
+The dictionary lies beside the shards as ``dictionary-0.zdict``. A document is read
 by its index entry and one byte range, without touching its neighbours.
 """
 
@@ -31,16 +31,23 @@ MAGIC = b"ZIDS0001"
 HEAD = struct.Struct("<8s32sQ")
 FOOT = struct.Struct("<Q8s")
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n_ids", "<u4")])
-DICTIONARY = "dictionary.zdict"
+DICTIONARY = "dictionary-0.zdict"
 #: Distinct chunks in one generation of a worker's table.
 TABLE_ROWS = 450_000
 
 
 def train_dictionary(source: DataFrame, tokenizer_path: str, *, sample_docs: int = 2000, sample_chars: int = 20_000, dict_bytes: int = 112_640) -> bytes:
-    """A dictionary from the serialized ids of a bounded sample: at most ``sample_docs`` rows with
-    texts of 1 to ``sample_chars`` characters. Only compression depends on it, never the stored ids. Empty if there is too little to train on."""
-    rows = source.select("text").where(F.length("text").between(1, sample_chars)).limit(sample_docs).collect()
-    samples = list(textids.library_table(tokenizer_path, True, TABLE_ROWS).ids([r.text for r in rows]))
+    """A dictionary from the serialized ids of a bounded sample: of the ``sample_docs`` smallest doc_ids one text of
+    1 to ``sample_chars`` characters each, whatever the order of tasks. Only compression depends on it, never the
+    stored ids. Empty if there is too little to train on."""
+    known = source.where(F.col("doc_id").isNotNull())
+    last = known.select("doc_id").distinct().orderBy("doc_id").limit(sample_docs).agg(F.max("doc_id")).first()[0]
+    if last is None:
+        return b""
+    fit = known.where((F.col("doc_id") <= last) & F.length("text").between(1, sample_chars))
+    fit = fit.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    texts = [r.one.text for r in sorted(fit.collect())]  # at most sample_docs rows
+    samples = list(textids.library_table(tokenizer_path, True, TABLE_ROWS).ids(texts))
     if sum(map(len, samples)) < 10 * 4096 or len(samples) < 20:
         return b""
     return zstandard.train_dictionary(min(dict_bytes, sum(map(len, samples)) // 10), samples).as_bytes()
@@ -64,9 +71,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2,
     """Encodes the texts of ``docs`` (doc_id, text), appends ``end_id`` and writes the shards to ``folder``.
 
     Returns the manifest, one row per file: shard, part, file, n_docs, n_ids; files in
-    ascending doc_id. The doc_id ranges come from quantiles of the doc_id column;
-    only compressed frames are shuffled. A range that gets far more rows than others (a
-    doc_id repeated very often) goes on in further files, so no file or buffer exceeds
+    ascending doc_id. The doc_id ranges come from quantiles of the doc_id column, one
+    range for ``shard_docs`` rows but no more than shuffle partitions, so what the driver
+    merges does not grow with the rows; only compressed frames are shuffled. A range with
+    more rows (or a doc_id repeated very often) goes on in further files, so no file or buffer exceeds
     ``2 * shard_docs`` documents or ``file_bytes`` and one document.
 
     A null text counts as empty (the end id alone). Null doc_ids come first and are
@@ -76,10 +84,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2,
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     dictionary = train_dictionary(source, tokenizer_path, **training)
-    shared.write_file(folder, DICTIONARY, 0, [dictionary])
+    shared.write_file(folder, "dictionary.zdict", 0, [dictionary])
     shipped = spark.sparkContext.broadcast(dictionary)  # at most dict_bytes
     total = source.count()
-    n_shards = max(1, -(-total // shard_docs), min(total // 64, spark.sparkContext.defaultParallelism))
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n_shards = max(1, min(-(-total // shard_docs), n_tasks), min(total // 64, spark.sparkContext.defaultParallelism))
     cuts = sorted(set(source.approxQuantile("doc_id", [i / n_shards for i in range(1, n_shards)], 0.1 / n_shards))) if n_shards > 1 and total else []
     cuts = np.array([int(c) for c in cuts], dtype="i8")
 
@@ -101,7 +110,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2,
         def done(shard, part, parts, entries):
             index = np.array(entries, dtype=ENTRY)
             name = f"tokens-{shard:06d}-{part:04d}.zids"
-            shared.write_file(folder, name, attempt, _file(shipped.value, parts, index))
+            name, _ = shared.write_file(folder, name, attempt, _file(shipped.value, parts, index))
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int32()), "file": [name], "n_docs": pa.array([len(entries)], pa.int64()), "n_ids": pa.array([int(index["n_ids"].sum())], pa.int64())})
 
         now, part, parts, entries, at = None, 0, [], [], 0
@@ -119,7 +128,6 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2,
             yield done(now, part, parts, entries)
 
     rows = source.mapInArrow(frames, "shard int, doc_id long, n_ids int, frame binary")
-    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     manifest = rows.repartition(n_tasks, "shard").sortWithinPartitions("shard", "doc_id", "frame").mapInArrow(shards, "shard int, part int, file string, n_docs long, n_ids long")
     return shared.written(manifest, "token-manifest")
 

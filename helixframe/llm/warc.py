@@ -78,7 +78,7 @@ def write(pages: DataFrame, folder: str, *, min_payload: int = 100, date: str =
     and payloads that only null page_ids have are all responses. An empty table
     writes no file; other columns are ignored.
 
-    One task writes one file. Payloads are shuffled once, by digest, to learn the
+    One task attempt writes one file, which its rows of the index name. Payloads are shuffled once, by digest, to learn the
     response of their group; those of the commonest digests stay where they are.
     """
     spark = pages.sparkSession
@@ -101,17 +101,17 @@ def write(pages: DataFrame, folder: str, *, min_payload: int = 100, date: str =
             for b in batches:
                 for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     data = _packed(record(page_id, url, html.encode(), digest, refers_to, date))
-                    index.append((name, at, len(data), url, digest, page_id, "response" if refers_to is None else "revisit"))
+                    index.append((at, len(data), url, digest, page_id, "response" if refers_to is None else "revisit"))
                     at += len(data)
                     yield data
 
         ahead = records()
         if (one := next(ahead, None)) is not None:
-            shared.write_file(folder, name, context.taskAttemptId(), _chain(one, ahead))
+            name, _ = shared.write_file(folder, name, context.taskAttemptId(), _chain(one, ahead))
         for i in range(0, len(index), 10_000):
             cols = list(zip(*index[i : i + 10_000], strict=True))
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file", "offset", "length", "url", "digest", "page_id", "record_type"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(cols[0]), pa.string()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["file", "offset", "length", "url", "digest", "page_id", "record_type"])
 
     return shared.written(marked.mapInArrow(run, INDEX), "warc-index")
 
