@@ -346,16 +346,23 @@ def test_quality_counts(docs, texts):
     assert quality.keep_good(docs).count() == sum(r.kept for r in quality.judge(docs).collect())
 
 
-def brute_mcd(x, floors, share, steps):
-    m = np.sort(x, axis=0)[(len(x) + 1) // 2 - 1]
-    mad = np.sort(np.abs(x - m), axis=0)[(len(x) + 1) // 2 - 1]
-    cov = np.diag((1.4826 * mad) ** 2 + floors**2)
-    for _ in range(steps):
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-        own = x[d <= np.sort(d)[int(np.ceil(share * len(x))) - 1]]
-        m = own.mean(axis=0)
-        cov = np.cov(own.T, bias=True) * quality.consistency(x.shape[1], share) + np.diag(floors**2)
-    return m, cov
+def brute_mcd(x, floors, share, tolerance=1e-3):
+    """x: grid steps."""
+    x = np.asarray(x, float)
+    m = np.quantile(x, 0.5, axis=0)
+    mad = np.quantile(np.abs(x - m), 0.5, axis=0) / quality.GRID
+    m, cov, logdet = m / quality.GRID, np.diag((1.4826 * mad) ** 2 + floors**2), np.inf
+    while True:
+        y = x / quality.GRID
+        cell = np.floor(np.log1p(np.einsum("ij,jk,ik->i", y - m, np.linalg.inv(cov), y - m)) * quality.CELLS)
+        own = y[cell <= np.sort(cell)[int(np.ceil(share * len(x))) - 1]]
+        new_cov = np.cov(own.T, bias=True) * quality.consistency(x.shape[1], share) + np.diag(floors**2)
+        new = np.linalg.slogdet(new_cov)[1]
+        if new >= logdet:
+            return m, cov
+        fell, m, cov, logdet = logdet - new, own.mean(axis=0), new_cov, new
+        if fell <= tolerance:
+            return m, cov
 
 
 def test_minimum_covariance_determinant(spark):
@@ -363,18 +370,81 @@ def test_minimum_covariance_determinant(spark):
     names = {"f_word": 0.1, "f_symbol": 0.2, "f_line": 0.3, "f_repeat": 0.4}
     x = rng.normal(size=(400, 4)) @ rng.normal(size=(4, 4))
     x[:60] += 25  # a cluster of outliers
-    d = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"{n} double" for n in names))
-    p = quality.fit(d, names).first()
-    m, cov = brute_mcd(x, np.array(list(names.values())), 0.75, 4)
-    lower = np.zeros((4, 4))
-    for i in range(4):
-        for j in range(i + 1):
-            lower[i, j] = p[f"l{i}{j}"]
-    assert [p[f"m{i}"] for i in range(4)] == pytest.approx(m.tolist()) and lower @ lower.T == pytest.approx(cov)
-    assert np.abs(m).max() < 3  # the outliers do not pull
+    x = np.round(x * quality.GRID).astype(int)
+    other = np.round(rng.normal(size=(150, 4)) * quality.GRID).astype(int)
+    rows = [("g", *r) for r in x.tolist()] + [("h", *r) for r in other.tolist()] + [("one", 1, 2, 3, 4)]
+    d = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{n} long" for n in names)).repartition(3)
+    got = {r.grp: r for r in quality.fit(d, names).collect()}
+    for grp, own in (("g", x), ("h", other)):
+        p = got[grp]
+        m, cov = brute_mcd(own, np.array(list(names.values())), 0.75)
+        lower = np.zeros((4, 4))
+        for i in range(4):
+            for j in range(i + 1):
+                lower[i, j] = p[f"l{i}{j}"]
+        assert [p[f"m{i}"] for i in range(4)] == pytest.approx(m.tolist()) and lower @ lower.T == pytest.approx(cov)
+        assert p.logdet == pytest.approx(np.linalg.slogdet(cov)[1])
+        assert np.abs(m).max() < 3  # the outliers do not pull
+    assert [got["one"][f"l{i}{i}"] for i in range(4)] == pytest.approx(list(names.values()))
     assert quality.consistency(4, 0.75) == pytest.approx(0.75 / 0.5046, abs=1e-3)
 
 
+def brute_verdicts(rows, min_group=100, cutoff=28.0):
+    """kept of (lang, source, text) rows, pooled as documented."""
+    floors, share = np.array(list(quality.FEATURES.values())), lambda a, b: np.log1p(100 * a / (b + 1))
+    x, base = [], []
+    for _, _, t in rows:
+        n, chars, symbols, dup, repeat = brute_statistics(t)
+        lines = sum(bool(WORD.search(line)) for line in (t or "").split("\n")) if "\n" in (t or "") else min(n, 1)
+        x.append([np.log((chars + 1) / (n + 1)), share(symbols, chars), share(dup, lines), share(repeat, n)])
+        base.append(n < 10 or 100 * repeat > 20 * n)
+    x = np.floor(np.array(x) * quality.GRID + 0.5)
+    own = collections.Counter(r[:2] for r, b in zip(rows, base, strict=True) if not b)
+    rest = collections.Counter()
+    for (lang, _), n in own.items():
+        rest[lang] += n if n < min_group else 0
+    group = [r[:2] if own[r[:2]] >= min_group else r[0] if rest[r[0]] >= min_group else "all" for r in rows]
+    kept = [False] * len(rows)
+    for g in set(group):
+        mine = [i for i in range(len(rows)) if group[i] == g and not base[i]]
+        if mine:
+            m, cov = brute_mcd(x[mine], floors, 0.75)
+            for i in mine:
+                y = x[i] / quality.GRID - m
+                kept[i] = bool(y @ np.linalg.inv(cov) @ y <= cutoff)
+    return kept
+
+
+@pytest.mark.parametrize("broadcast_groups", [100_000, 0])
+def test_quality_verdicts_equal_brute_force(spark, broadcast_groups):
+    rng = random.Random(12)
+    rows = []
+    for lang, source, n in (("en", "web", 260), ("en", "a", 70), ("en", None, 45), ("de", "web", 110), ("fr", "a", 30), (None, "b", 20)):
+        vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 6 if lang == "en" else 11))) for _ in range(300)]
+        for i in range(n):
+            t = words(rng.randint(5, 300), rng, vocab)
+            if i % 9 == 0:
+                t = " ".join(w + rng.choice(["", "", "#", "$%"]) for w in t.split())
+            if i % 11 == 0:
+                t += "\nread more here\nx y" + "\nread more here" * rng.randint(1, 30)
+            if i % 13 == 0:
+                t += " " + " ".join(t.split()[: rng.randint(5, 40)])
+            if i % 17 == 0:
+                t = " ".join(w * rng.randint(1, 4) for w in t.split())
+            rows.append((lang, source, t))
+    rows += [("en", "web", None), ("en", "web", "")]
+    d = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string, kept string").repartition(3)
+    want = {i for i, k in enumerate(brute_verdicts(rows)) if k}
+    assert 0 < len(want) < len(rows) - 20
+    assert {r.doc_id for r in quality.judge(d, broadcast_groups=broadcast_groups).where("kept").collect()} == want
+    assert {r.doc_id for r in quality.keep_good(d, broadcast_groups=broadcast_groups).where("kept = 'x'").collect()} == want
+
+
+def test_each_statistic_can_reject():
+    most = {"f_word": 1e9, "f_symbol": np.log1p(100), "f_line": np.log1p(100), "f_repeat": np.log1p(20)}
+    assert all((most[f] / floor) ** 2 > 28 for f, floor in quality.FEATURES.items())
+
+
 def test_quality_rejects_outliers_of_their_group(spark):
     rng = random.Random(2)
     clean = [(i, words(rng.randint(20, 400), rng), "en", "web") for i in range(300)]
