@@ -102,6 +102,64 @@ def test_simhash_links_random_fingerprints(spark, partitions, block):
     assert all(found.get(s, s) == c for s, c in zip(signed, want, strict=True))
 
 
+def test_number_of_partitions_follows_the_cost():
+    few, many = simhash.partitions_for(100_000, 3, 200.0, 4096), simhash.partitions_for(10**10, 3, 200.0, 4096)
+    assert few == 4 and many == 2
+    assert simhash.partitions_for(1000, 10, 200.0, 4096) > simhash.partitions_for(10**8, 10, 200.0, 4096)
+
+
+def similar_pair(rng, n, share):
+    """Two texts of which single words differ, of about that Jaccard similarity of five-word shingles, and the similarity."""
+    a = [f"{rng.choice('bcdfghk')}{rng.randrange(10**5)}" for _ in range(n)]
+    b = list(a)
+    while True:
+        x, y = ({tuple(t[i : i + 5]) for i in range(n - 4)} for t in (a, b))
+        j = len(x & y) / len(x | y)
+        if j <= share:
+            return " ".join(a), " ".join(b), j
+        b[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+
+
+def test_similar_groups_equal_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for g in range(60):
+        a, b, _ = similar_pair(rng, rng.choice([60, 150, 400]), rng.choice([0.99, 0.9, 0.8, 0.6]))
+        rows += [(2 * g, a), (2 * g + 1, b)]
+    rows += [(500, rows[0][1]), (501, rows[8][1] + " "), (502, None), (503, ""), (504, "one"), (504, rows[10][1]), (None, rows[0][1]), (505, "a b c d"), (506, "A b c d")]
+    fps = {(d, t): simhash.wide_fingerprint(t or "", 5) for d, t in rows if d is not None}
+    parent = {d: d for d, _ in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (d, _), f in fps.items():
+        for (e, _), g in fps.items():
+            near = (f[0] ^ g[0]).bit_count()
+            if near <= 10 and near + (f[1] ^ g[1]).bit_count() <= 20:
+                parent[max(root(d), root(e))] = min(root(d), root(e))
+    d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp2 int").repartition(3)
+    for partitions in (None, 4):
+        got = simhash.similar_groups(d, partitions=partitions).collect()
+        assert ordered(got) == ordered((i, root(i)) for i, _ in rows if i is not None)
+    kept = sorted((r.doc_id or -1, r.text or "") for r in simhash.keep_one(d).collect())
+    assert kept == sorted((i or -1, t or "") for i, t in rows if i is None or root(i) == i)
+    assert simhash.similar_groups(d.where("false")).count() == 0
+
+
+def test_share_of_similar_pairs_that_are_linked():
+    rng, linked = random.Random(22), collections.defaultdict(list)
+    for _ in range(400):
+        a, b, j = similar_pair(rng, rng.choice([100, 200, 400]), rng.choice([0.99, 0.95, 0.9, 0.85, 0.4]))
+        f, g = simhash.wide_fingerprint(a, 5), simhash.wide_fingerprint(b, 5)
+        near = (f[0] ^ g[0]).bit_count()
+        linked[min(int(j * 10), 9)].append(near <= 10 and near + (f[1] ^ g[1]).bit_count() <= 20)
+    share = {k: np.mean(v) for k, v in linked.items()}
+    assert share[9] >= 0.9 and share[8] >= 0.5 and share[3] == 0, share
+
+
 def test_threshold_allocation():
     rng = np.random.default_rng(1)
     cost = np.cumsum(rng.random((20, 4, 5)), axis=2)
