@@ -2,17 +2,25 @@
 
 All in DataFrame expressions. Identifiers are found by pattern and checked
 (octets, Luhn, digit counts). Then, by information theory, terms that disclose an
-identifier are found too: over the corpus, a term t of an identifier's context
-has pointwise mutual information ln(n_et * N / (n_e * n_t)) with the identifier e
+identifier are found too: over the corpus, a term t (a word of the whole text) has
+pointwise mutual information ln(n_et * N / (n_e * n_t)) with the identifier e
 (n: documents that hold them; N: all), against the information ln(N / n_e) of e
-itself. Where the quotient reaches ``disclosure`` and at least ``support``
-different contexts in as many different texts show both, t tells as good as e who is meant, and its
-occurrences beside e are spans of kind "term". Sanitising replaces spans by what
-their kind generalises to, and removes terms.
+itself. t discloses e where
+
+* the quotient reaches ``disclosure``;
+* the information that all their common documents give, n_et times the mutual
+  information, pays for naming one of the pairs that were scored, ln(pairs);
+* ``support`` documents show both, one of which is no copy of the typical
+  document of e. Copies are told by a sketch of eight least word hashes.
+
+Every occurrence of such a term, in any document, is a span of kind "term".
+Sanitising replaces spans by what their kind generalises to, and removes terms.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +40,8 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 GENERAL = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": ""}
-TERM = r"\p{L}"
+#: Least hashes in a document's sketch, and how many may agree in documents that are no copies.
+SKETCH, ALIKE = 8, 3
 
 
 def _digits(s: Column) -> Column:
@@ -100,44 +109,97 @@ def _entity(kind_no: Column, value: Column) -> Column:
     return F.concat(kind_no.cast("string"), F.lit(":"), F.when(kind_no == 0, F.lower(value)).when(kind_no == 1, value).otherwise(_digits(value)))
 
 
-def found_spans(docs: DataFrame, *, context: int = 60) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, tag (hash of the text) and spans, with the
-    ``context`` code points of the same line on either side (before, after)."""
+def _term_pattern(term_chars: int) -> str:
+    return r"\p{L}{" + str(term_chars) + ",}+"
+
+
+def _terms(text: Column, term_chars: int) -> Column:
+    """The distinct words of at least ``term_chars`` letters, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_term_pattern(term_chars)), F.lit(0)), F.lower))
+
+
+def _least_hash(words: Column, no: int) -> Column:
+    return F.array_min(F.transform(words, lambda w: F.xxhash64(F.lit(no), w)))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    around = F.transform(
-        "spans",
-        lambda s: F.struct(
-            s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), s["value"].alias("value"),
-            F.substring_index(F.substr("text", F.greatest(s["start"] - context, F.lit(0)) + 1, F.least(s["start"], F.lit(context))), "\n", -1).alias("before"),
-            F.substring_index(F.substr("text", s["end"] + 1, F.lit(context)), "\n", 1).alias("after"),
-        ),
-    )
-    return d.select("doc_id", F.xxhash64("text").alias("tag"), around.alias("spans"))
-
-
-def disclosing(found: DataFrame, docs: DataFrame, *, term_chars: int = 4, support: int = 2, disclosure: float = 0.8) -> DataFrame:
-    """Spans of terms that disclose an identifier beside them: doc_id, tag, start, end.
-
-    Counts are of documents over the whole corpus; only terms with enough ``support`` are scored.
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
+
+
+def found_spans(docs: DataFrame, *, term_chars: int = 4) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, tag (hash of the text), spans, and for texts with spans the sketch of their words."""
+    d = _texts(docs).withColumn("spans", base_spans(F.col("text")))
+    d = d.select("doc_id", "tag", "spans", F.when(F.size("spans") > 0, _terms(F.col("text"), term_chars)).alias("words"))
+    return d.select("doc_id", "tag", "spans", F.when(F.col("words").isNotNull(), F.array(*[_least_hash(F.col("words"), i) for i in range(SKETCH)])).alias("sketch"))
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, *, term_chars: int = 4, support: int = 2, disclosure: float = 0.8) -> DataFrame | None:
+    """The pairs that are scored: entity, term, n_e, n_t, n_et, pmi and discloses. None where no identifier has two documents that are no copies.
+
+    Counts are of rows of the whole table. Only texts with such identifiers are moved, and only words that are a candidate with one are counted.
     """
-    spans = found.where(F.size("spans") > 0).select("doc_id", "tag", F.explode("spans").alias("s"))
-    mention = spans.select("doc_id", "tag", _entity(F.col("s.kind_no"), F.col("s.value")).alias("entity"), "s.start", "s.end", "s.before", "s.after", F.xxhash64("s.before", "s.after").alias("place"))
-    pattern = TERM + "{" + str(term_chars) + ",}+"
-    left = F.transform(matches(F.col("before"), pattern), lambda m: F.struct((F.col("start") - F.length("before") + m["start"]).alias("start"), (F.col("start") - F.length("before") + m["end"]).alias("end"), F.lower(m["value"]).alias("term")))
-    right = F.transform(matches(F.col("after"), pattern), lambda m: F.struct((F.col("end") + m["start"]).alias("start"), (F.col("end") + m["end"]).alias("end"), F.lower(m["value"]).alias("term")))
-    near = shared.written(mention.select("doc_id", "tag", "entity", "place", F.explode(F.concat(left, right)).alias("t")).select("doc_id", "tag", "entity", "place", "t.*"), "pii-near")
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("place").alias("places"), F.countDistinct("tag").alias("texts"), F.countDistinct("doc_id", "tag").alias("n_et")).where((F.col("places") >= support) & (F.col("texts") >= support))
+    entities = F.array_distinct(F.transform("spans", lambda s: _entity(s["kind_no"], s["value"])))
+    mention = found.where(F.size("spans") > 0).select("doc_id", "tag", "sketch", F.explode(entities).alias("entity"))
+    # the typical document of an identifier is one with the commonest first hash
+    typical = mention.groupBy("entity", F.col("sketch")[0].alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min("sketch").alias("s"))
+    typical = typical.groupBy("entity").agg(F.sum("n").alias("n_e"), F.max_by("s", F.struct("n", "h")).alias("typical")).where(F.col("n_e") >= support)
+    typical = shared.written(typical, "pii-identifiers")
+    alike = F.size(F.filter(F.zip_with("sketch", "typical", lambda x, y: x.eqNullSafe(y)), lambda x: x))
+    held = mention.join(typical, "entity").select("doc_id", "tag", "entity", "n_e", (alike <= ALIKE).alias("other"))
+    several = shared.written(held.groupBy("entity").agg(F.max("other").alias("other")).where("other").select("entity"), "pii-several")
+    if several.isEmpty():
+        return None
+    own = held.join(several, "entity", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("entity", "n_e", "other")).alias("held"))
+    own = shared.written(own.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "held"), "pii-holders", several)
+    some = shared.divided(_texts(docs), F.col("tag"), own.select("_tag").distinct())[0]
+    some = some.join(own, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")))
+    both = some.select("held", F.explode(_terms(F.col("text"), term_chars)).alias("term")).select("term", F.explode("held").alias("h")).select("term", "h.*")
+    pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.max("other").alias("other"), F.first("n_e").alias("n_e")).where((F.col("n_et") >= support) & F.col("other")).drop("other")
     pairs = shared.written(pairs, "pii-pairs")
-    # the corpus' words are counted where they are, and only their counts meet the candidates
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= term_chars)
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    entities = mention.groupBy("entity").agg(F.countDistinct("doc_id", "tag").alias("n_e"))
-    scored = pairs.join(counts, "term").join(entities, "entity")
-    n = F.lit(docs.count())
-    pmi = F.ln(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
-    telling = scored.where((n > F.col("n_e")) & (pmi >= disclosure * F.ln(n / F.col("n_e")))).select("entity", "term")
-    return near.join(telling, ["entity", "term"], "left_semi").select("doc_id", "tag", "start", "end").distinct()
+    words = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")), term_chars)).alias("term"))
+    counts = shared.divided(words, F.col("term"), pairs.select("term").distinct())[0].groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    rows, n_pairs = docs.count(), pairs.count()
+    scored = pairs.join(counts, "term").withColumn("pmi", F.ln(F.col("n_et") * F.lit(float(rows)) / F.col("n_e") / F.col("n_t")))
+    tells = (F.col("n_e") < rows) & (F.col("pmi") >= disclosure * F.ln(F.lit(float(rows)) / F.col("n_e"))) & (F.col("n_et") * F.col("pmi") >= F.lit(math.log(max(n_pairs, 1))))
+    return scored.withColumn("discloses", tells)
+
+
+def term_spans(found: DataFrame, docs: DataFrame, *, term_chars: int = 4, **options) -> DataFrame | None:
+    """Every occurrence of disclosing terms, per text that has some: _doc, _tag, _terms (array of start, kind_no, end). None where there are none."""
+    scored = disclosing_terms(found, docs, term_chars=term_chars, **options)
+    if scored is None:
+        return None
+    telling = shared.written(scored.where("discloses").select(F.col("term").alias("_term")).distinct(), "pii-terms")
+    if telling.isEmpty():
+        return None
+    words = _texts(docs).select("doc_id", "tag", F.explode(_terms(F.col("text"), term_chars)).alias("term"))
+    uses = shared.divided(words, F.col("term"), telling)[0].join(telling, F.col("term") == F.col("_term"), "left_semi")
+    uses = uses.groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_set("term").alias("_uses"))
+    uses = shared.written(uses, "pii-uses")
+    some = shared.divided(_texts(docs).distinct(), F.col("tag"), uses.select("_tag").distinct())[0]
+    some = some.join(uses, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")))
+    spans = F.filter(matches(F.col("text"), _term_pattern(term_chars)), lambda m: F.array_contains("_uses", F.lower(m["value"])))
+    no = F.lit(len(PATTERNS))
+    spans = F.transform(spans, lambda m: F.struct(m["start"].alias("start"), no.alias("kind_no"), m["end"].alias("end")))
+    return shared.written(some.select("_doc", "_tag", spans.alias("_terms")), "pii-term-spans", uses)
+
+
+def _all_spans(base: Column, terms: Column) -> Column:
+    """Identifiers and terms in order; what lies inside an identifier is generalised with it and no span."""
+    outside = F.filter(terms, lambda t: ~F.exists(base, lambda s: (s["start"] <= t["start"]) & (t["end"] <= s["end"])))
+    return F.when(terms.isNull(), base).otherwise(F.array_sort(F.concat(base, outside)))
+
+
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end")))
+
+
+def _with_terms(d: DataFrame, terms: DataFrame | None, tag: Column) -> DataFrame:
+    """``d`` (doc_id, ...) with _terms: null where a text has none."""
+    if terms is None:
+        return d.withColumn("_terms", F.lit(None).cast("array<struct<start:int,kind_no:int,end:int>>"))
+    return d.join(terms, F.col("doc_id").eqNullSafe(F.col("_doc")) & (tag == F.col("_tag")), "left")
 
 
 def _joined(spans: Column) -> Column:
@@ -154,13 +216,10 @@ def detect(docs: DataFrame, **options) -> DataFrame:
     equal doc_id and text get equal results. An empty table gives no rows; other columns are ignored.
     """
     found = shared.written(found_spans(docs), "pii-spans")
-    terms = disclosing(found, docs, **options).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(F.struct("start", F.lit(len(PATTERNS)).alias("kind_no"), "end"))).alias("terms"))
-    terms = terms.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "terms")
-    found = found.withColumn("spans", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"))))
-    both = found.join(terms, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left")
-    all_ = F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "terms")))
-    count = lambda no: F.size(F.filter("spans", lambda s: s["kind_no"] == no)).cast("long")
-    return both.select("doc_id", *[count(no).alias(f"n_{k}") for no, k in enumerate(PATTERNS)], F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"), F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(all_).alias("spans"))
+    d = _with_terms(found.withColumn("spans", _plain(F.col("spans"))), term_spans(found, docs, **options), F.col("tag"))
+    d = d.withColumn("all", _all_spans(F.col("spans"), F.col("_terms")))
+    count = lambda no: F.size(F.filter("all", lambda s: s["kind_no"] == no)).cast("long")
+    return d.select("doc_id", *[count(no).alias(f"n_{k}") for no, k in enumerate(KINDS)], F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
 
 
 def _masked(text: Column, spans: Column) -> Column:
@@ -179,16 +238,22 @@ def _masked(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the personal data of text replaced; all columns and rows stay, a null text stays null.
 
-    An n_chars column is set to the new length. Only documents with term spans need the join.
+    An n_chars column is set to the new length. Only documents that may have term spans take part in a join.
     """
     found = shared.written(found_spans(docs), "pii-spans")
-    terms = disclosing(found, docs, **options).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(F.struct("start", F.lit(len(PATTERNS)).alias("kind_no"), "end"))).alias("_terms"))
-    terms = shared.written(terms.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "_terms"), "pii-terms")
+    terms = term_spans(found, docs, **options)
     d = shared.narrowed(docs, "doc_id", "text", "n_chars")
-    d = d.join(terms, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_tag")), "left")
-    own = F.transform(base_spans(F.coalesce("text", F.lit(""))), lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end")))
-    d = d.withColumn("_spans", F.when(F.col("_terms").isNull(), own).otherwise(F.array_sort(F.concat(own, "_terms"))))
-    d = d.withColumn("text", F.when(F.size("_spans") > 0, _masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast("long"))
-    return shared.widened(d, docs.columns)
+    parts = [d]
+    if terms is not None:
+        changed, same = shared.divided(d.withColumn("_own", F.xxhash64("text")), F.col("_own"), terms.select("_tag").distinct())
+        parts = [_with_terms(changed, terms, F.col("_own")).select(*d.columns, "_terms"), same.select(d.columns)]
+    done = None
+    for part in parts:
+        own = _plain(base_spans(F.coalesce("text", F.lit(""))))
+        part = part.withColumn("_spans", _all_spans(own, F.col("_terms")) if "_terms" in part.columns else own)
+        part = part.withColumn("text", F.when(F.size("_spans") > 0, _masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+        if "n_chars" in docs.columns:
+            part = part.withColumn("n_chars", F.length("text").cast("long"))
+        part = part.select(d.columns)
+        done = part if done is None else done.unionByName(part)
+    return shared.widened(done, docs.columns)

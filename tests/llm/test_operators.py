@@ -2,14 +2,17 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -575,22 +578,92 @@ def test_personal_data(spark, docs, texts):
     assert pii.detect(docs.where("false")).count() == 0
 
 
-def test_disclosing_terms(spark):
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_terms(rows, support=2, disclosure=0.8):
+    """entity, term -> (n_e, n_t, n_et, pmi, discloses) of (doc_id, text) rows, by plain counting."""
+    words = [list(dict.fromkeys(w.lower() for w in regex.findall(r"\p{L}{4,}+", t or ""))) for _, t in rows]
+    held = []
+    for _, t in rows:
+        found = [(k, t[a:e]) for a, k, e in brute_pii(t)]
+        held.append({f"{k}:{v.lower() if k == 0 else v if k == 1 else re.sub('[^0-9]', '', v)}" for k, v in found})
+    sketch = []
+    for own, w in zip(held, words, strict=True):
+        sketch.append([min((signed(xxhash.xxh64_intdigest(x.encode(), xxhash.xxh64_intdigest(struct.pack("<i", i), 42))) for x in w), default=None) for i in range(8)] if own else None)
+    where = collections.defaultdict(list)
+    for i, own in enumerate(held):
+        for e in own:
+            where[e].append(i)
+    other, scored = {}, {}
+    for e, docs in where.items():
+        if len(docs) < support:
+            continue
+        by_hash = collections.defaultdict(list)
+        for i in docs:
+            by_hash[sketch[i][0]].append(sketch[i])
+        typical = min(max(by_hash.items(), key=lambda x: (len(x[1]), x[0]))[1])
+        flags = {i for i in docs if sum(x == y for x, y in zip(sketch[i], typical, strict=True)) <= 3}
+        if flags:
+            other[e] = flags
+    df = collections.Counter(w for own in words for w in own)
+    for e, flags in other.items():
+        for t in {w for i in where[e] for w in words[i]}:
+            both = [i for i in where[e] if t in words[i]]
+            if len(both) >= support and flags & set(both):
+                scored[e, t] = (len(where[e]), df[t], len(both))
+    n, out = len(rows), {}
+    for (e, t), (n_e, n_t, n_et) in scored.items():
+        pmi = math.log(n_et * n / n_e / n_t)
+        out[e, t] = (n_e, n_t, n_et, pmi, n_e < n and pmi >= disclosure * math.log(n / n_e) and n_et * pmi >= math.log(len(scored)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def letters():
     rng = random.Random(1)
-    vocab = [w for w in ("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))]
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
     rows = [(i, words(30, rng, vocab)) for i in range(200)]
-    rows += [(500 + i, f"{words(10, rng, vocab)} Zyxwvut jo@x.org {words(10, rng, vocab)}") for i in range(4)]
-    rows += [(600 + i, "lonely Qqqqqq ann@x.org end") for i in range(3)]  # one context only: no evidence
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.detect(d).where("n_term > 0").collect()}
-    assert set(got) == {500, 501, 502, 503}
-    text = dict(rows)
-    for i, r in got.items():
-        found = [text[i][int(s.split(":")[1]) : int(s.split(":")[2])] for s in r.spans.split(",") if s.startswith("term")]
-        assert found == ["Zyxwvut"]
-    clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
-    assert all("jo@x.org" not in t and "Zyxwvut" not in t for t in clean.values()) and "<EMAIL>" in clean[500]
-    assert all(clean[i] == text[i] for i in range(200))
+    rows += [(500 + i, f"{words(20, rng, vocab)} Zyxwvut\n{words(9, rng, vocab)} jo@x.org {words(10, rng, vocab)}") for i in range(5)]  # on another line
+    rows += [(600 + i, f"lonely qqqqqq ann@x.org {words(0, rng)} end") for i in range(3)]  # copies: no evidence
+    family = words(80, rng) + " +1 988 555 2485 " + words(80, rng)  # edited copies of one document: none either
+    for i in range(12):
+        w = family.split()
+        w[rng.randrange(60)] = f"edited{'abcdefghijkl'[i]}"
+        rows.append((700 + i, " ".join(w)))
+    rows += [(800 + i, f"{words(25, rng, vocab)}\nWrite to Tarquin Ostrander, 10.1.2.3\n{words(12, rng, vocab)}") for i in range(6)]  # a signature, word for word
+    rows += [(900, "somewhere else Zyxwvut is named, zyxwvut and Ostrander"), (901, None), (None, "Zyxwvut here jo@x.org too"), (902, "tarquinish")]
+    rows += [(500, rows[200][1])]
+    return rows
+
+
+def test_scored_terms_equal_brute_force(spark, letters):
+    d = spark.createDataFrame([(i, t, "x") for i, t in letters], "doc_id long, text string, term string").repartition(4)
+    got = {(r.entity, r.term): (r.n_e, r.n_t, r.n_et, r.pmi, r.discloses) for r in pii.disclosing_terms(pii.found_spans(d), d).collect()}
+    want = brute_terms(letters)
+    assert set(got) == set(want) and any(v[4] for v in want.values()) and not all(v[4] for v in want.values())
+    for k, v in want.items():
+        assert got[k][:3] == v[:3] and got[k][3] == pytest.approx(v[3]) and got[k][4] == v[4], k
+
+
+def test_disclosing_terms(spark, letters):
+    d = spark.createDataFrame([(i, t, 1) for i, t in letters], "doc_id long, text string, tag int").repartition(4)
+    telling = {t for (_, t), v in brute_terms(letters).items() if v[4]}
+    assert {"zyxwvut", "tarquin", "ostrander"} <= telling and not {"lonely", "qqqqqq"} & telling
+    want = []
+    for i, t in letters:
+        base = brute_pii(t)
+        found = [(m.start(), m.end()) for m in regex.finditer(r"\p{L}{4,}+", t or "") if m[0].lower() in telling]
+        found = [(a, 4, e) for a, e in found if not any(s <= a and e <= f for s, _, f in base)]
+        want.append((i, len(found), ",".join(f"{pii.KINDS[k]}:{a}:{e}" for a, k, e in sorted(base + found))))
+    assert ordered(pii.detect(d).select("doc_id", "n_term", "spans").collect()) == ordered(want)
+    by_id = {i: n for i, n, _ in want}
+    assert by_id[900] == 3 and by_id[902] == 0 and by_id[600] == 0 and by_id[700] == 0
+    clean = pii.sanitise(d).collect()
+    assert len(clean) == len(letters) and not any(re.search("jo@x.org|zyxwvut|tarquin |ostrander", r.text or "", re.I) for r in clean)
+    same = {r.doc_id: r.text for r in clean}
+    assert all(same[i] == t for i, t in letters if by_id[i] == 0 and not brute_pii(t))
 
 
 # -- 10 ---------------------------------------------------------------------------------------------------
