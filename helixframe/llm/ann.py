@@ -7,10 +7,11 @@ parallel part is what changes the score: codes are assigned by coordinate descen
 on that loss and centres solve its weighted least squares. Every row is encoded
 to four-bit codes.
 
-Search: queries in blocks of ``query_block`` meet rows in blocks of ``row_block``;
+Search: queries in blocks meet the codes of rows in blocks, never their vectors;
 in a cell a table of the queries' inner products with all pairs of centres is
-scanned by the code bytes, the best ``rerank`` rows of a query are scored exactly,
-and the best k of each cell go on to the final ranking.
+scanned by the code bytes and the best ``rerank`` rows of each query go on. The
+best ``rerank`` of all cells are then scored exactly: a block of queries gets each
+vector that any of its queries asks for once.
 """
 
 from __future__ import annotations
@@ -134,6 +135,12 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
     return part.groupBy("vector").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
 
 
+def blocks_of(rows: int, least: int, most: int, parallel: int) -> int:
+    """Into how many blocks ``rows`` go: enough for ``parallel`` tasks, of at least ``least`` and at most ``most`` rows."""
+    size = min(max(-(-rows // max(parallel, 1)), least), most)
+    return max(1, -(-rows // size))
+
+
 def search(
     table: DataFrame,
     queries: DataFrame,
@@ -142,8 +149,9 @@ def search(
     sub_dims: int = 2,
     eta: float = 4.0,
     rerank: int = 100,
-    query_block: int = 1024,
-    row_block: int = 8192,
+    query_block: int = 4096,
+    row_block: int = 262_144,
+    least_rows: int = 2048,
     train_rows: int = 10_000,
     train_rounds: int = 4,
     seed: int = 7,
@@ -155,41 +163,53 @@ def search(
     null vec_ids take no part, nor do vectors of another length than the commonest meet a query of it (lengths are kept
     apart). Repeated rows of a vec_id count once. An empty table or no queries give no rows; other columns are ignored.
 
-    The quantiser is fitted to at most ``train_rows`` distinct vectors; all rows are encoded and searched.
+    The quantiser is fitted to at most ``train_rows`` distinct vectors; all rows are encoded and searched. A cell holds at most
+    ``row_block`` codes and ``query_block`` queries, a block for reranking ``query_block / 4`` queries with the vectors they ask for.
     """
     spark = table.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = shared.written(_classes(_usable(table), k).withColumn("dims", F.size("vector")), "ann-rows")
-    asked = _usable(queries).dropDuplicates(["vec_id", "vector"]).withColumn("dims", F.size("vector"))
-    blocks = lambda m: F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))
+    rows = _classes(_usable(table), k).select(F.monotonically_increasing_id().alias("row"), "vector", "ids", F.size("vector").alias("dims"))
+    rows = shared.written(rows, "ann-rows")
+    asked = _usable(queries).dropDuplicates(["vec_id", "vector"]).select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("dims"))
+    asked = shared.written(asked, "ann-queries")
+    numbers = lambda m: F.sequence(F.lit(0).cast("int"), F.lit(m - 1).cast("int"))
+    none = F.lit(None)
     parts = []
     for size in sorted(r.dims for r in rows.select("dims").distinct().collect()):
         own, query = rows.where(F.col("dims") == size), asked.where(F.col("dims") == size)
         sample = own.orderBy(F.xxhash64("vector")).limit(train_rows).select("vector").toArrow().column(0)
         x = np.stack([np.asarray(v, np.float32) for v in sample.to_pylist()])
         quantiser = spark.sparkContext.broadcast(Quantiser(size, sub_dims, eta).train(x, train_rounds, seed))  # 16 centres a subspace
-        n_rows, n_query = own.count(), query.count()
-        row_blocks, query_blocks = max(1, -(-n_rows // row_block)), max(1, -(-n_query // query_block))
-        encoded = own.mapInArrow(_encoder(quantiser), "vector binary, code binary, ids array<long>")
-        empty = F.lit(None)
-        left = encoded.select(F.pmod(F.xxhash64("vector"), F.lit(row_blocks)).alias("rb"), "vector", "code", "ids", empty.cast("long").alias("query_id")).withColumn("qb", F.explode(blocks(query_blocks)))
-        wide = query.mapInArrow(_plain, "query_id long, vector binary")
-        right = wide.select(F.explode(blocks(row_blocks)).alias("rb"), "vector", empty.cast("binary").alias("code"), empty.cast("array<long>").alias("ids"), "query_id", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("qb"))
-        cells = left.select("rb", "qb", "vector", "code", "ids", "query_id").unionByName(right)
-        parts.append(cells.repartition(min(n * 4, row_blocks * query_blocks), "rb", "qb").sortWithinPartitions("rb", "qb", F.col("query_id").isNull()).mapInArrow(_cells(quantiser, k, rerank), "query_id long, vec_id long, score double"))
+        row_blocks, query_blocks = blocks_of(own.count(), least_rows, row_block, 2 * n), max(1, -(-query.count() // query_block))
+        code = own.select("row", "vector").mapInArrow(_encoder(quantiser), "row long, code binary")
+        left = code.select(F.pmod(F.xxhash64("row"), F.lit(row_blocks)).cast("int").alias("rb"), F.explode(numbers(query_blocks)).alias("qb"), F.col("row").alias("id"), "code", none.cast("array<double>").alias("vector"))
+        right = query.select(F.explode(numbers(row_blocks)).alias("rb"), F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int").alias("qb"), F.col("query").alias("id"), none.cast("binary").alias("code"), "vector")
+        cells = left.unionByName(right).repartition(min(4 * n, row_blocks * query_blocks), "rb", "qb").sortWithinPartitions("rb", "qb", "id")
+        near = cells.mapInArrow(_grouped(2, lambda t, q=quantiser: scan_cell(t, q.value, rerank)), "query long, row long, about float")
+        best = Window.partitionBy("query").orderBy(F.desc("about"), "row")
+        near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query", "row")
+        groups = max(1, -(-4 * query.count() // query_block), min(2 * n, query.count() // 64))
+        near = shared.written(near.withColumn("group", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")), "ann-near")
+        wanted = near.groupBy("group", "row").agg(F.lit(1).alias("one")).join(own, "row").select("group", "row", "vector", "ids", none.cast("long").alias("query"), none.cast("long").alias("query_id"), none.cast("array<long>").alias("near"))
+        lists = near.groupBy("query").agg(F.sort_array(F.collect_list("row")).alias("near"))  # at most rerank
+        asking = query.join(lists, "query").select(F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int").alias("group"), none.cast("long").alias("row"), "vector", none.cast("array<long>").alias("ids"), "query", "query_id", "near")
+        meeting = wanted.unionByName(asking).repartition(min(4 * n, groups), "group").sortWithinPartitions("group", "row", "query")
+        parts.append(meeting.mapInArrow(_grouped(1, lambda t, k=k: rerank_group(t, k)), "query_id long, rank int, vec_id long, score double"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    if len(parts) == 1 and not asked.groupBy("query_id").count().where("count > 1").limit(1).count():
+        return found
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # a query_id with several vectors
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        vectors = [np.asarray(v, np.float64).tobytes() for v in b.column("vector").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(vectors, pa.binary())], ["query_id", "vector"])
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """rows x dims of a list column without nulls."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(len(column), -1)
 
 
 def _encoder(quantiser):
@@ -197,64 +217,91 @@ def _encoder(quantiser):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column("vector").flatten().to_numpy().reshape(b.num_rows, -1)
+            x = _vectors(b.column("vector"))
             codes = np.concatenate([packed(quantiser.value.assign(x[i : i + 2048].astype(np.float32))) for i in range(0, len(x), 2048)])
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), b.column("ids")], ["vector", "code", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([c.tobytes() for c in codes], pa.binary())], ["row", "code"])
 
-    return run
+    return shared.releasing(run)
 
 
-def _cells(quantiser, k: int, rerank: int):
+def _grouped(keys: int, of):
+    """For mapInArrow: ``of`` applied to the table of each run of rows that are equal in the first ``keys`` columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            key = np.stack([b.column("rb").to_numpy(), b.column("qb").to_numpy()], axis=1)
+            key = np.stack([b.column(i).to_numpy() for i in range(keys)], axis=1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if now is not None and tuple(key[i]) != now:
-                    yield from scan_cell(held, quantiser.value, k, rerank)
+                    yield from of(pa.Table.from_batches(held))
                     held = []
                 now = tuple(key[i])
                 held.append(b.slice(i, j - i))
         if held:
-            yield from scan_cell(held, quantiser.value, k, rerank)
+            yield from of(pa.Table.from_batches(held))
+
+    return shared.releasing(run)
 
-    return run
 
+#: Scores that a scan holds at once.
+SCAN_SCORES = 4_000_000
 
-def scan_cell(held: list[pa.RecordBatch], quantiser: Quantiser, k: int, rerank: int, group: int = 128) -> Iterator[pa.RecordBatch]:
-    t = pa.Table.from_batches(held)
-    is_query = np.asarray(t.column("query_id").is_valid())
+
+def scan_cell(t: pa.Table, quantiser: Quantiser, rerank: int, group: int = 128) -> Iterator[pa.RecordBatch]:
+    """(query, row, approximate score) of the ``rerank`` rows with the largest table sums, per query of the cell."""
+    is_query = np.asarray(t.column("vector").is_valid())
     rows, queries = t.filter(pa.array(~is_query)), t.filter(pa.array(is_query))
     if not rows.num_rows or not queries.num_rows:
         return
-    x = np.frombuffer(b"".join(rows.column("vector").to_pylist())).reshape(rows.num_rows, -1)
-    codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-    ids = rows.column("ids").to_pylist()
-    q = np.frombuffer(b"".join(queries.column("vector").to_pylist())).reshape(queries.num_rows, -1)
-    names = queries.column("query_id").to_pylist()
+    codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1).T.copy()
+    row_ids, query_ids = rows.column("id").to_numpy(), queries.column("id").to_numpy()
+    q, step = _vectors(queries.column("vector")), max(rerank, SCAN_SCORES // group)
     for i in range(0, len(q), group):
-        part = q[i : i + group]
-        tables = quantiser.tables(part.astype(np.float32))
-        score = np.zeros((len(x), len(part)), np.float32)
-        for byte in range(codes.shape[1]):
-            score += tables[byte][codes[:, byte]]
-        most = min(rerank, len(x))
-        near = np.argpartition(-score, most - 1, axis=0)[:most] if most < len(x) else np.tile(np.arange(len(x))[:, None], len(part))
-        out: list[list] = [[], [], []]
-        for j, name in enumerate(names[i : i + group]):
-            chosen = near[:, j]
-            exact = (x[chosen] * part[j]).sum(axis=1)
-            order, taken = np.argsort(-exact, kind="stable"), 0
-            limit = None
-            for o in order.tolist():
-                if taken >= k and exact[o] != limit:
-                    break
-                for v in ids[chosen[o]]:
-                    if v != name:
-                        out[0].append(name), out[1].append(v), out[2].append(float(exact[o]))
-                        taken += 1
-                limit = exact[o]
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+        tables = quantiser.tables(q[i : i + group].astype(np.float32))
+        who = query_ids[i : i + group]
+        best = np.full((0, len(who)), 0, np.float32)
+        best_row = np.zeros((0, len(who)), np.int64)
+        for at in range(0, codes.shape[1], step):  # blocks of rows: what a scan holds does not grow with the cell
+            part = codes[:, at : at + step]
+            score = np.zeros((part.shape[1], len(who)), np.float32)
+            for byte in range(len(part)):
+                score += tables[byte][part[byte]]
+            most = min(rerank, len(score))
+            near = np.argpartition(-score, most - 1, axis=0)[:most] if most < len(score) else np.tile(np.arange(len(score))[:, None], len(who))
+            best = np.concatenate([best, np.take_along_axis(score, near, 0)])
+            best_row = np.concatenate([best_row, row_ids[at + near]])
+            if len(best) > rerank:
+                keep = np.argpartition(-best, rerank - 1, axis=0)[:rerank]
+                best, best_row = np.take_along_axis(best, keep, 0), np.take_along_axis(best_row, keep, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, len(best))), pa.array(best_row.T.ravel()), pa.array(best.T.ravel())], ["query", "row", "about"])
+
+
+def rerank_group(t: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    """The exact ranking of a block's queries among the rows they ask for."""
+    is_query = np.asarray(t.column("query").is_valid())
+    rows, queries = t.filter(pa.array(~is_query)), t.filter(pa.array(is_query))
+    if not rows.num_rows or not queries.num_rows:
+        return
+    x, q = _vectors(rows.column("vector")), _vectors(queries.column("vector"))
+    row_ids, ids = rows.column("row").to_numpy(), rows.column("ids").to_pylist()
+    out: list[list] = [[], [], [], []]
+    for vector, name, near in zip(q, queries.column("query_id").to_pylist(), queries.column("near").to_pylist(), strict=True):
+        chosen = np.searchsorted(row_ids, near)
+        exact = (x[chosen] * vector).sum(axis=1)
+        found, last = [], None
+        for o in np.argsort(-exact, kind="stable").tolist():
+            if len(found) >= k and exact[o] != last:
+                break
+            found += [(-float(exact[o]), v) for v in ids[chosen[o]] if v != name]
+            last = exact[o]
+        best = list(dict.fromkeys(v for _, v in sorted(found)))[:k]
+        score = {v: -s for s, v in sorted(found, reverse=True)}  # a vec_id with several vectors counts with its best
+        out[0] += [name] * len(best)
+        out[1] += range(1, len(best) + 1)
+        out[2] += best
+        out[3] += [score[v] for v in best]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], ["query_id", "rank", "vec_id", "score"])

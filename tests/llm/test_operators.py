@@ -355,7 +355,7 @@ def test_search(spark):
     rows = [(i, v.tolist(), "y") for i, v in enumerate(x)] + [(2000, None, "n"), (2001, [0.0] * 16, "z"), (2002, [float("nan")] + [1.0] * 15, "q"), (2003, [float("inf")] * 16, "w"), (None, [1.0] * 16, "v"), (2004, [], "e"), (2005, [None] * 16, "u"), (40, x[40].tolist(), "again")]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, vector string")
     got = collections.defaultdict(list)
-    for r in ann.search(d, d.where("vec_id % 20 = 0"), k=20, row_block=400, query_block=30, rerank=80).collect():
+    for r in ann.search(d, d.where("vec_id % 20 = 0"), k=20, row_block=400, least_rows=100, query_block=30, rerank=80).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     y, hits = x.astype(float), []
     assert set(got) == set(range(0, 1500, 20))
