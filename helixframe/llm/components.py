@@ -24,12 +24,13 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         if not before.n:
             break
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        # what is joined is written first: then a hub's rows can be split among tasks
+        least = shared.written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = shared.written(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star", least)
+        smallest = shared.written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(smallest, "u")
         small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v"))).distinct()
-        links = shared.written(small, "links", links)
+        links = shared.written(small, "links", links, large, smallest)
         now = mark(links)
         if (now.n, now.h) == (before.n, before.h):
             break

@@ -112,6 +112,7 @@ def pack(
     doc_id is kept: every row is packed for itself. An empty table gives no rows.
     Other columns are ignored. Memory: one block (``block_tokens`` ids) and one batch.
     """
+    shared.small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,6 +85,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, digests_only: bool = Fals
     Null and repeated doc_ids are kept, one row out per row in; an empty table
     gives no rows; other columns are ignored.
     """
+    shared.small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def encoded(b: pa.RecordBatch):

@@ -94,6 +94,14 @@ def divided(df: DataFrame, key: Column, keys: DataFrame, log2_bits: int = 23) ->
     return marked.where(maybe).select(df.columns), marked.where(~maybe).select(df.columns)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Spark hand at most ``rows`` rows at once to Python workers of this session, unless it is set already: texts are long,
+    and a batch stands in the memory of the JVM and of the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # the default
+        spark.conf.set(name, str(rows))
+
+
 def sliced(batches, rows: int = 1024):
     """The batches in slices of at most ``rows``: Python objects are made for one slice at a time."""
     for b in batches:

@@ -81,6 +81,7 @@ def wide_fingerprint(text: str, shingle: int) -> tuple[int, int]:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, wide: bool = False) -> DataFrame:
     """(doc_id, fp) per row of ``docs``; fp is the fingerprint as a signed long. A null text has no words. wide: and its next 64 bits, fp2."""
+    shared.small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +239,8 @@ def partitions_for(n: int, tau: int, row_cost: float, block: int) -> int:
 
 
 STORED, PROBE = 1, 2
+#: Rows whose buckets are compared together.
+VERIFY_ROWS = 16_384
 
 
 def _probes(fp: np.ndarray, plan: Plan, block: int) -> tuple[np.ndarray, ...]:
@@ -346,17 +349,20 @@ def links(classes: DataFrame, *, tau: int = 3, tau_all: int | None = None, parti
             yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(blk.astype("i4")), pa.array(role), *[b.column(i).take(taken) for i in range(len(own))]], ["key", "block", "role", *own])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, n = [], 0
         for b in batches:
-            now = [b.column(i).to_numpy() for i in range(3 + len(own))]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+            held.append([b.column(i).to_numpy() for i in range(3 + len(own))])
+            n += b.num_rows
+            if n < VERIFY_ROWS:
+                continue
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield found([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            yield found(held)
+                yield found([x[:cut] for x in rows])
+            held, n = [[x[cut:] for x in rows]], len(rows[0]) - cut
+        if n:
+            yield found([np.concatenate(x) for x in zip(*held, strict=True)])
 
     def found(rows):
         key, blk, role, fp, *more = rows

@@ -82,6 +82,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2,
     their compressed bytes. An empty table writes no shard. Other columns are ignored.
     """
     spark = docs.sparkSession
+    shared.small_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     dictionary = train_dictionary(source, tokenizer_path, **training)
     shared.write_file(folder, "dictionary.zdict", 0, [dictionary])
