@@ -20,6 +20,10 @@ class EngineConfig:
     max_states_q2: int = 32768  # the same where a whole window has quality 2
     approx_states: int | None = None  # keep so many states of the largest alpha; None: all
     thin_nats: float | None = None  # drop states whose score lies farther below the read's best; None: keep
+    adaptive: bool = True  # Hamming caps per read and window; else max_hamming everywhere
+    search_first: bool = True  # first states by search; else the observed first k-mer alone
+    rebuild: bool = True  # new first states for a read whose trellis dies
+    reverse_decode: bool = False  # decode a read whose trellis dies from its other strand
     partial_decoding: int = 0  # 1, 2: decode what a dead trellis reached
     update_quality: bool = True
     use_init_prob: bool = False
@@ -27,7 +31,8 @@ class EngineConfig:
     penalized_em: bool = True
     joint_strands: bool = False
     min_quality: float = 15.0  # of a solid k-mer's window
-    broadcast_bytes: int = 512 << 20  # largest model that is shipped to every executor
+    broadcast_bytes: int = 512 << 20  # largest model that is shipped to every executor; larger ones are read in pages
+    cache_bytes: int = 256 << 20  # pages of a larger model that a worker keeps
 
     def __post_init__(self):
         if not 4 <= self.k <= 31:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 #: The order of bases in two bits.
 BASES = "ACTG"
 LOW = 0x5555555555555555
-SHIFT_MINUS_INF = -np.inf
 
 
 def base_to_bits(c: Column) -> Column:
@@ -53,12 +52,11 @@ def kmer_string(kid: Column, k: int) -> Column:
 
 
 def rc_id(kid: Column, k: int) -> Column:
-    """The id of the reverse complement: complement all, then reverse the pairs of bits by swaps of growing width."""
-    x = kid.bitwiseXOR(F.lit(0xAAAAAAAAAAAAAAAA - (1 << 64)).cast("long"))
-    for width, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
-        m = F.lit(mask).cast("long")
-        x = F.shiftrightunsigned(x, width).bitwiseAND(m).bitwiseOR(F.shiftleft(x.bitwiseAND(m), width))
-    return F.shiftrightunsigned(x, 64 - 2 * k)
+    """The id of the reverse complement. Every base is moved by itself, so the expression grows with k alone, wherever it is inlined."""
+    terms = [F.shiftleft(F.shiftrightunsigned(kid, 2 * j).bitwiseAND(F.lit(3).cast("long")).bitwiseXOR(F.lit(2).cast("long")), 2 * (k - 1 - j)) for j in range(k)]
+    while len(terms) > 1:  # a balanced tree
+        terms = [a.bitwiseOR(b) for a, b in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) & ~1 :]
+    return terms[0]
 
 
 def successor(kid: Column, base: Column | int, k: int) -> Column:
@@ -160,19 +158,40 @@ def log_sum(values: Column) -> Column:
     return top + F.ln(F.aggregate(known, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
 
 
-def base_context(last: Column) -> Column:
-    """The emission context of a state: its last base."""
-    return last
+def normalized_emission(log_p: Column, flag: Column, observed: Column) -> Column:
+    """Log emission of ``observed`` renormalised over the admissible bases of ``flag`` and N (the fifth of the log probabilities)."""
+    admissible = F.filter(F.transform(log_p, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: (e["i"] == 4) | (F.call_function("shiftright", flag, e["i"].cast("int")).bitwiseAND(F.lit(1)) == 1))
+    return F.get(log_p, observed) - F.when(flag == 15, F.lit(0.0)).otherwise(log_sum(F.transform(admissible, lambda e: e["x"])))
+
+
+def renormalized(log_p: Column) -> Column:
+    """Log probabilities shifted so that their sum is one."""
+    whole = log_sum(log_p)
+    return F.transform(log_p, lambda x: x - whole)
+
+
+def descending_order(values: Column) -> Column:
+    """The places (from 0) of an array's values, the largest first; ties in their order."""
+    tagged = F.transform(values, lambda x, i: F.struct((-x).alias("x"), i.alias("i")))
+    return F.transform(F.array_sort(tagged), lambda e: e["i"])
+
+
+def emission_context(last: Column, distance: Column | None = None) -> Column:
+    """The emission context of a state: its last base, or with its Hamming distance 4 * (highest bit of the distance, from 1) + the base."""
+    if distance is None:
+        return last
+    return 4 * F.when(distance > 0, F.floor(F.log2(distance.cast("double"))).cast("int") + 1).otherwise(F.lit(0)) + last
 
 
-def quality_context(last: Column, observed: Column) -> Column:
-    return (last == observed).cast("int")
+def quality_context(last: Column, observed: Column, n_lowest: Column | None = None, buckets: int = 4) -> Column:
+    """Whether the bases match; with the number of qualities 2 in a window, 2 * (its bucket, the last one open) + that."""
+    match = (last == observed).cast("int")
+    return match if n_lowest is None else 2 * F.least(n_lowest, F.lit(buckets - 1)) + match
 
 
 def packed_read(seq: Column) -> Column:
-    """A whole read as binary, two bits a base, in blocks of 31."""
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest((F.length(seq) - 1) / 31, F.lit(0)).cast("int")), lambda i: kmer_id(F.substr(seq, 31 * i + 1, F.lit(31))))
-    return blocks
+    """A whole read as an array of longs, two bits a base, 31 bases each."""
+    return F.transform(F.sequence(F.lit(0), F.greatest((F.length(seq) - 1) / 31, F.lit(0)).cast("int")), lambda i: kmer_id(F.substr(seq, 31 * i + 1, F.lit(31))))
 
 
 def binomial(n: int, d: int) -> int:

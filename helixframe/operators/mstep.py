@@ -1,20 +1,25 @@
 """M-step operators: penalised transitions, reciprocal transitions, initial distribution, emission.
 
 All are grouped aggregations and equi-joins. The penalised maximum over a k-mer's
-transitions has a closed form for the small ``gamma`` the engine uses; for a large
-one ``solve_penalised`` finds the root numerically.
+transitions has a closed form for the small ``gamma`` the engine uses; above
+``SMALL_GAMMA`` the root is found numerically, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import bits
 
+#: Up to here the closed form of the penalised transitions agrees with the numerical maximum.
+SMALL_GAMMA = 1e-6
+
 
 def penalised_transitions(xi: DataFrame, rho: float, gamma: float = 1e-20) -> DataFrame:
     """kid, base, p: maximises sum xi ln p - rho sum ln(1 + p / gamma) per k-mer of ``xi`` (kid, base, xi).
@@ -22,7 +27,10 @@ def penalised_transitions(xi: DataFrame, rho: float, gamma: float = 1e-20) -> Da
     With the largest xi at rho or above: lambda = sum max(xi - rho, 0) and p the positive root of
     lambda p^2 + (gamma lambda - xi + rho) p - gamma xi, normalised; else the largest (ties alike) takes all. Exact
     zeros of the double arithmetic drop a transition, so the formula is evaluated as it stands. One transition has p = 1.
+    That holds for a small gamma; above ``SMALL_GAMMA`` the multiplier is found numerically.
     """
+    if gamma > SMALL_GAMMA:
+        return _solved_transitions(xi, rho, gamma)
     g = xi.groupBy("kid").agg(F.sort_array(F.collect_list(F.struct("base", "xi"))).alias("t"))  # at most four
     values = F.transform("t", lambda x: x["xi"])
     most = F.array_max(values)
@@ -39,30 +47,69 @@ def penalised_transitions(xi: DataFrame, rho: float, gamma: float = 1e-20) -> Da
 
 
 def solve_penalised(xi: np.ndarray, rho: float, gamma: float, steps: int = 200) -> np.ndarray:
-    """The same maximum for one k-mer and any gamma, by bisection on the multiplier."""
-    xi = np.asarray(xi, float)
-    if len(xi) == 1:
-        return np.ones(1)
-    if not xi.any():
-        return np.full(len(xi), 1 / len(xi))
-
-    def p(lam):
-        b = gamma * lam - xi + rho
-        if abs(lam) < 1e-300:
-            return np.where(b > 0, gamma * xi / np.where(b > 0, b, 1), np.inf)
-        return (np.sqrt(np.maximum(b * b + 4 * lam * gamma * xi, 0)) - b) / (2 * lam)
+    """The same maxima for any gamma. xi: k-mers x 4, NaN where there is no transition; so is the result, whose rows sum to one.
 
-    low, high = 1e-12, max(1.0, xi.sum())
-    if p(low).sum() < 1:  # the largest takes all that the penalty leaves
-        top = xi == xi.max()
-        return top / top.sum()
-    while p(high).sum() > 1:
-        high *= 2
+    p is a root of lam p^2 + (gamma lam - xi + rho) p - gamma xi, and the multiplier lam is found by bisection. Where the positive
+    roots' sum falls short of one as lam goes to 0, lam is negative and the largest xi takes the larger of its two roots if
+    the sum can reach one with it.
+    """
+    xi = np.asarray(xi, float)
+    here, x = ~np.isnan(xi), np.nan_to_num(xi)
+    n = here.sum(axis=1)
+    top = here & (x == np.where(here, x, -np.inf).max(axis=1, keepdims=True))
+
+    def sums(lam: np.ndarray, larger: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lam = lam[:, None]
+        b = gamma * lam - x + rho
+        root = np.sqrt(np.maximum(b * b + 4 * lam * gamma * x, 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # 2 c / (b + root) where b > 0 loses nothing as lam goes to 0
+            small = np.where(b > 0, 2 * gamma * x / (b + root), (root - b) / (2 * lam))
+            p = np.where(here, np.where(larger, (-b - root) / (2 * lam), small), 0.0)
+        return p.sum(axis=1), p
+
+    none = np.zeros_like(here)
+    tiny = np.full(len(x), 1e-12)
+    positive = sums(tiny, none)[0] >= 1
+    edge = -(np.sqrt(np.where(here, x, np.inf)) - np.sqrt(rho)) ** 2 / gamma  # below it a root is complex
+    edge = np.where(here, edge, -np.inf).max(axis=1) * (1 - 1e-12)
+    low = np.where(positive, tiny, edge)
+    high = np.where(positive, np.maximum(1.0, x.sum(axis=1)), -1e-12 * np.maximum(1.0, -edge))
+    lead = top & (np.cumsum(top, axis=1) == 1)  # of equal ones the first
+    take = lead & (~positive & (sums(np.where(positive, -1.0, edge), none)[0] <= 1))[:, None]
+    for _ in range(200):
+        short = positive & (sums(high, none)[0] > 1)
+        if not short.any():
+            break
+        high = np.where(short, 2 * high, high)
+    rising = take.any(axis=1)  # the larger root grows with lam, the others fall
     for _ in range(steps):
         mid = (low + high) / 2
-        low, high = (mid, high) if p(mid).sum() > 1 else (low, mid)
-    out = p(high)
-    return out / out.sum()
+        above = sums(mid, take)[0] > 1
+        up = above ^ rising
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    p = sums((low + high) / 2, take)[1]
+    p = np.where((n == 1)[:, None], here.astype(float), p)
+    p = np.where((x.sum(axis=1) == 0)[:, None], here.astype(float), p)
+    ties = (top.sum(axis=1) > 1) & rising  # equal largest ones share what one of them would take
+    p[ties] = np.where(top[ties], np.where(top[ties], p[ties], 0).sum(axis=1, keepdims=True) / top[ties].sum(axis=1, keepdims=True), p[ties])
+    whole = p.sum(axis=1, keepdims=True)
+    return np.where(here, p / np.where(whole > 0, whole, 1), np.nan)
+
+
+def _solved_transitions(xi: DataFrame, rho: float, gamma: float) -> DataFrame:
+    at = lambda b: F.max(F.when(F.col("base") == b, F.col("xi"))).alias(f"x{b}")
+    wide = xi.groupBy("kid").agg(*[at(b) for b in range(4)])
+    kind = wide.schema["kid"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(4)], axis=1)
+            p = solve_penalised(x, rho, gamma)
+            row, base = np.nonzero(np.nan_to_num(p) > 0)
+            yield pa.RecordBatch.from_arrays([b.column("kid").take(pa.array(row)), pa.array(base.astype(np.int32)), pa.array(p[row, base])], ["kid", "base", "p"])
+
+    return wide.mapInArrow(run, f"kid {kind}, base int, p double")
 
 
 def plain_transitions(xi: DataFrame) -> DataFrame:
@@ -130,23 +177,67 @@ def error_rate(expected: DataFrame) -> float:
     return r.wrong / r.whole if r.whole else 0.0
 
 
-def normal_cdf(x: float) -> float:
-    return 0.5 * (1 + math.erf(x / math.sqrt(2)))
+def normal_quantile(level: float) -> float:
+    """z with P(Z < z) = level for a standard normal Z, by bisection."""
+    low, high = -40.0, 40.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if math.erfc(-mid / math.sqrt(2)) / 2 < level else (low, mid)
+    return low
 
 
 def strand_specific(xi: DataFrame, k: int, level: float = 1e-10, most: float = 50.0) -> DataFrame:
-    """Edges whose smaller strand count is improbable for a fair coin: kid, base, own, other."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    """Edges whose smaller strand count is improbable for a fair coin: kid, base, own, other.
 
+    Of a joint count n the smaller side's tail lies below ``level`` where it is under n / 2 + quantile * sqrt(n / 4).
+    """
     u = bits.rc_id(bits.successor(F.col("kid"), F.col("base"), k), k)
     other = xi.select(u.alias("kid"), bits.complement_bits(bits.first_base(F.col("kid"))).alias("base"), F.col("xi").alias("other"))
     both = xi.withColumnRenamed("xi", "own").join(other, ["kid", "base"], "left").fillna(0.0, ["other"])
+    low, joint = F.least("own", "other"), F.col("own") + F.col("other")
+    return both.where((low < most) & (joint > 0) & (low < joint / 2 + F.lit(normal_quantile(level)) * F.sqrt(joint / 4)))
 
-    @pandas_udf("double")
-    def tail(low: pd.Series, joint: pd.Series) -> pd.Series:
-        z = (low - joint / 2) / np.sqrt(np.maximum(joint / 4, 1e-300))
-        return z.map(normal_cdf)
 
-    low = F.least("own", "other")
-    return both.where((low < most) & (F.col("own") + F.col("other") > 0)).where(tail(low, F.col("own") + F.col("other")) < level)
+def penalised_initial(mass: DataFrame, rho: float, gamma: float = 1e-20) -> DataFrame:
+    """kid, init: the initial distribution that maximises sum mass ln p - rho sum ln(1 + p / gamma) over all k-mers together.
+
+    One multiplier for the whole table: the closed form of a small gamma, lam = sum max(mass - rho, 0). K-mers that come to exactly zero are dropped.
+    Without any mass of ``rho`` the largest k-mers share all.
+    """
+    r = mass.agg(F.sum(F.greatest(F.col("mass") - rho, F.lit(0.0))).alias("lam"), F.max("mass").alias("most")).first()
+    if not r.lam:
+        top = mass.where(F.col("mass") == F.lit(r.most))
+        return top.select("kid", F.lit(1.0 / max(top.count(), 1)).alias("init"))
+    b = F.lit(gamma * r.lam) - F.col("mass") + rho
+    p = mass.select("kid", ((F.sqrt(b * b + 4 * F.lit(r.lam) * gamma * F.col("mass")) - b) / (2 * F.lit(r.lam))).alias("p")).where("p > 0")
+    whole = p.agg(F.sum("p")).first()[0]
+    return p.select("kid", (F.col("p") / F.lit(whole)).alias("init"))
+
+
+def reciprocal_penalty(xi: np.ndarray, reciprocal: np.ndarray, rho: float, gamma: float, steps: int = 200) -> np.ndarray:
+    """The second penalty for one k-mer: on the mean of a transition and its reciprocal, sum xi ln p - 2 rho sum ln(1 + (p + r) / (2 gamma)).
+
+    p is the positive root of lam p^2 + (lam (2 gamma + r) + 2 rho - xi) p - xi (2 gamma + r) with the multiplier that makes the sum one; where
+    none does, the largest of xi + r takes all.
+    """
+    xi, r = np.asarray(xi, float), np.asarray(reciprocal, float)
+    if len(xi) == 1:
+        return np.ones(1)
+    mu = 2 * gamma + r
+
+    def p(lam: float) -> np.ndarray:
+        b = lam * mu + 2 * rho - xi
+        root = np.sqrt(b * b + 4 * lam * xi * mu)
+        return np.where(b > 0, 2 * xi * mu / (b + root), (root - b) / (2 * lam))
+
+    low, high = 1e-12, max(1.0, xi.sum())
+    if p(low).sum() < 1:
+        top = xi + r == (xi + r).max()
+        return top / top.sum()
+    while p(high).sum() > 1:
+        high *= 2
+    for _ in range(steps):
+        mid = (low + high) / 2
+        low, high = (mid, high) if p(mid).sum() > 1 else (low, mid)
+    out = p(high)
+    return out / out.sum()

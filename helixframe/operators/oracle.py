@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,10 @@ def missing_kmers(reads: DataFrame, true_reads: DataFrame, k: int) -> DataFrame:
 
 
 def true_transitions(reads: DataFrame, true_reads: DataFrame, k: int) -> DataFrame:
-    """kid, base, n: transitions of the true reads within the observed spectrum, joint over the strands."""
+    """kid, base, n: transitions of the true reads within the observed spectrum, joint over the strands.
+
+    Transitions that no true read takes on either strand are dropped; a second tally over what is left would count the same.
+    """
     node_table = spectrum.nodes(spectrum.count_spectrum(reads, k)).select("kid", "flag")
     tally = spectrum.explode_kmers(true_reads, k, both_strands=False).where("nxt is not null").groupBy("kid", F.col("nxt").cast("int").alias("base")).agg(F.count(F.lit(1)).alias("n"))
     rkid = bits.rc_id(bits.successor(F.col("kid"), F.col("base"), k), k)
@@ -36,32 +40,51 @@ def true_transitions(reads: DataFrame, true_reads: DataFrame, k: int) -> DataFra
     return joint.join(node_table, "kid").where(inside).select("kid", "base", "n")
 
 
-def true_fit(reads: DataFrame, true_reads: DataFrame, config: EngineConfig) -> em.Fit:
-    """The model whose transitions are the shares of the true ones; everything else is dropped."""
-    offset, q_max, max_len = spectrum.phred_offset(reads)
-    t = stored(true_transitions(reads, true_reads, config.k), "true-transitions")
+def true_table(transitions: DataFrame, true_reads: DataFrame, k: int) -> DataFrame:
+    """The model's table of the shares of true transitions: kid, label, flag, mass, log_init, lp0..lp3, genomic (a k-mer of a true read)."""
+    t = stored(transitions, "true-transitions")
     whole = t.groupBy("kid").agg(F.sum("n").alias("mass"))
     p = t.join(whole, "kid")
     model = p.groupBy("kid").agg(F.first("mass").cast("double").alias("mass"), F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("base"))).alias("flag"), *[F.max(F.when(F.col("base") == b, F.ln(F.col("n") / F.col("mass")))).alias(f"lp{b}") for b in range(4)])
-    ends = t.select(bits.successor(F.col("kid"), F.col("base"), config.k).alias("kid")).distinct().join(model.select("kid"), "kid", "left_anti")
+    ends = t.select(bits.successor(F.col("kid"), F.col("base"), k).alias("kid")).distinct().join(model.select("kid"), "kid", "left_anti")
     model = model.unionByName(ends.select("kid", F.lit(0.0).alias("mass"), F.lit(0).alias("flag"), *[F.lit(None).cast("double").alias(f"lp{b}") for b in range(4)]))
     whole = model.agg(F.sum("mass")).first()[0] or 1.0
-    model = model.select("kid", F.lit(0).alias("label"), "flag", "mass", bits.safe_log(F.col("mass") / whole).alias("log_init"), *[f"lp{b}" for b in range(4)])
+    genomic = spectrum.explode_kmers(true_reads, k, both_strands=False).select("kid").distinct().withColumn("genomic", F.lit(True))
+    model = model.join(genomic, "kid", "left")
+    return model.select("kid", F.lit(0).alias("label"), "flag", "mass", bits.safe_log(F.col("mass") / whole).alias("log_init"), *[f"lp{b}" for b in range(4)], F.coalesce("genomic", F.lit(False)).alias("genomic"))
+
+
+def true_fit(reads: DataFrame, true_reads: DataFrame, config: EngineConfig) -> em.Fit:
+    """The model whose transitions are the shares of the true ones; everything else is dropped."""
+    offset, q_max, max_len = spectrum.phred_offset(reads)
+    table = true_table(true_transitions(reads, true_reads, config.k), true_reads, config.k)
     base, qual = kernel.first_emission(config.k, em.slots(config, max_len), q_max, config.error_rate, config.emission)
-    return em.Fit(stored(model, "true-model"), base, qual, config.eta or 0.0, offset, config.slot, [])
+    return em.Fit(stored(table, "true-model"), base, qual, config.eta or 0.0, offset, config.slot, [])
+
+
+def with_true_seq(reads: DataFrame, truth: DataFrame) -> DataFrame:
+    """read_id, identifier, seq, qual, and true_seq: the read with its listed errors undone."""
+    true = apply_truth(reads.select("read_id", "identifier", "seq"), truth).select("read_id", F.col("seq").alias("true_seq"))
+    return reads.select("read_id", "identifier", "seq", "qual").join(true, "read_id")
 
 
 def perfect_oracle(reads: DataFrame, truth: DataFrame, config: EngineConfig) -> DataFrame:
-    """Corrections by the true model for the reads with listed errors; all others are emitted as they are."""
-    true_reads = stored(apply_truth(reads, truth), "true-reads")
-    fitted = true_fit(reads, true_reads, config)
-    wrong = reads.join(truth.select("identifier").distinct(), "identifier", "left_semi")
-    fixed = em.decode(wrong, fitted, config.with_(update_quality=False), solid_all=True)
-    rest = reads.join(truth.select("identifier").distinct(), "identifier", "left_anti").select("read_id", "identifier", "seq", "qual", F.lit(0).alias("zl"), F.lit(None).cast("double").alias("score"), F.lit(0).alias("n_changed"))
+    """Corrections by the true model for the reads with listed errors; all others are emitted as they are.
+
+    The first state is the true first k-mer; every later one must be a true k-mer that differs from the read exactly at listed errors. Of
+    the paths left the one of the likeliest transitions is taken (emission counts for nothing). Qualities stay.
+    """
+    both = stored(with_true_seq(reads, truth), "true-reads")
+    fitted = true_fit(reads, both.select("read_id", F.col("true_seq").alias("seq")), config)
+    fitted = em.Fit(fitted.table, np.zeros_like(fitted.base), np.zeros_like(fitted.qual), fitted.eta, fitted.offset, fitted.window, [])
+    listed = truth.select("identifier").distinct()
+    fixed = em.decode(both.join(listed, "identifier", "left_semi"), fitted, config.with_(update_quality=False, adaptive=False, max_hamming=None, use_init_prob=False), restrict=True)
+    rest = reads.join(listed, "identifier", "left_anti").select("read_id", "identifier", "seq", "qual", F.lit(0).alias("zl"), F.lit(None).cast("double").alias("score"), F.lit(0).alias("n_changed"))
     return fixed.unionByName(rest)
 
 
 def oracle_em(reads: DataFrame, truth: DataFrame, config: EngineConfig) -> em.Fit:
-    """Expectation maximisation on the true graph: transitions stay, emission is fitted."""
-    true_reads = stored(apply_truth(reads, truth), "true-reads")
-    return em.fit(reads, config, initial=true_fit(reads, true_reads, config), transitions=False)
+    """Expectation maximisation on the true graph: the first state is the true first k-mer, transitions stay, emission is fitted."""
+    both = stored(with_true_seq(reads, truth), "true-reads")
+    initial = true_fit(reads, both.select("read_id", F.col("true_seq").alias("seq")), config)
+    return em.fit(both, config, initial=initial, transitions=False)

@@ -20,6 +20,8 @@ from helixframe.functions import bits
 #: How a k-mer was seen, and where counts saturate.
 FIRST, NORMAL, LAST = 1, 2, 4
 COUNT_MAX, COVERAGE_MAX, HISTOGRAM_MAX = 16383, 1023, 1000
+#: Steps of a weight in one unit.
+WEIGHT_STEPS = 1 << 30
 
 
 def read_arrays(b: pa.RecordBatch, seq: str = "seq") -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -157,8 +159,9 @@ def phred_offset(reads: DataFrame) -> tuple[int, int, int]:
 def weighted_transitions(reads: DataFrame, k: int, offset: int = 33) -> DataFrame:
     """kid, base, weight: transitions weighted by the probability that all their k + 1 bases are right.
 
-    A window product by prefix sums of logs; a base of quality 0 makes it zero.
+    Weights are summed in steps of 2**-30 as integers, so the sums are exact and depend on no order. A transition with a base of quality 0 has none.
     """
+    right = np.array([1 - math.pow(10, -q / 10) for q in range(128)])  # the C library's pow, as in other engines
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,19 +169,19 @@ def weighted_transitions(reads: DataFrame, k: int, offset: int = 33) -> DataFram
             for rows, letters in read_arrays(b):
                 if letters.shape[1] <= k:
                     continue
-                q = np.frombuffer("".join(quals[i] for i in rows).encode(), np.uint8).reshape(letters.shape).astype(float) - offset
-                right = 1 - 10 ** (-q / 10)
-                zero = right <= 0
-                logs = np.cumsum(np.pad(np.log(np.where(zero, 1, right)), ((0, 0), (1, 0))), axis=1)
-                zeros = np.cumsum(np.pad(zero | bits.IS_N[letters], ((0, 0), (1, 0))), axis=1)
+                q = np.frombuffer("".join(quals[i] for i in rows).encode(), np.uint8).reshape(letters.shape).astype(int) - offset
+                p, n = right[np.clip(q, 0, 127)], letters.shape[1] - k
+                w = p[:, :n].copy()
+                for j in range(1, k + 1):
+                    w *= p[:, j : j + n]
+                zeros = np.cumsum(np.pad((p <= 0) | bits.IS_N[letters], ((0, 0), (1, 0))), axis=1)
                 good = (zeros[:, k + 1 :] - zeros[:, : -(k + 1)]) == 0
-                w = np.exp(logs[:, k + 1 :] - logs[:, : -(k + 1)])[good]
                 codes = bits.CODE[letters]
                 kid = bits.rolling_ids(codes, k)[:, :-1][good]
-                yield pa.RecordBatch.from_arrays([pa.array(kid), pa.array(codes[:, k:][good].astype(np.int32)), pa.array(w)], ["kid", "base", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(kid), pa.array(codes[:, k:][good].astype(np.int32)), pa.array(np.floor(w[good] * WEIGHT_STEPS + 0.5).astype(np.int64))], ["kid", "base", "w"])
 
-    rows = reads.select("seq", "qual").mapInArrow(run, "kid long, base int, w double")
-    return rows.groupBy("kid", "base").agg(F.sum("w").alias("weight"))
+    rows = reads.select("seq", "qual").mapInArrow(run, "kid long, base int, w long")
+    return rows.groupBy("kid", "base").agg((F.sum("w") / WEIGHT_STEPS).alias("weight"))
 
 
 def select_reads(reads: DataFrame, offset: int = 33, least: float = 30.0) -> DataFrame:
@@ -199,7 +202,8 @@ def read_coverage(reads: DataFrame, node_table: DataFrame, k: int) -> DataFrame:
 
 
 def order_statistic(values: DataFrame, column: str, share: float) -> float | None:
-    """The value of rank floor(share * n) (0-based) by exact counts per value."""
+    """The value of rank floor(share * n) (0-based) by exact counts per value. The running sum over the distinct values is one task's: for
+    coverages there are at most 1,024."""
     n = values.count()
     if not n:
         return None
@@ -216,14 +220,18 @@ def reciprocal_edges(node_table: DataFrame, k: int) -> DataFrame:
 
 
 def hamming1_neighbours(node_table: DataFrame, k: int) -> DataFrame:
-    """Pairs of k-mers (kid < other) that differ in one base.
+    """Pairs of k-mers (kid < other) that differ in one base, at pos.
 
-    Every k-mer is written once per place with that base masked out; equal maskings meet in groups of at most four.
+    Every k-mer is written once per place with that base masked out. A masked k-mer and the set of its bases, four bits, are all its members, so
+    a group is a partial aggregate of its bits.
     """
-    masked = node_table.select("kid", F.posexplode(F.array(*[F.col("kid").bitwiseAND(F.lit(~(3 << (2 * i))).cast("long")) for i in range(k)])).alias("pos", "rest"))
-    groups = masked.groupBy("pos", "rest").agg(F.sort_array(F.collect_list("kid")).alias("kids")).where(F.size("kids") > 1)
-    pairs = F.flatten(F.transform("kids", lambda a, i: F.transform(F.slice("kids", i + 2, F.size("kids")), lambda b: F.struct(a.alias("kid"), b.alias("other")))))
-    return groups.select("pos", F.explode(pairs).alias("p")).select("p.kid", "p.other", "pos")
+    place = lambda i: F.shiftrightunsigned("kid", 2 * i).bitwiseAND(F.lit(3)).cast("int")
+    masked = F.array(*[F.struct(F.lit(i).alias("pos"), F.col("kid").bitwiseAND(F.lit(~(3 << (2 * i))).cast("long")).alias("rest"), F.call_function("shiftleft", F.lit(1), place(i)).alias("bit")) for i in range(k)])
+    groups = node_table.select(F.explode(masked).alias("m")).groupBy("m.pos", "m.rest").agg(F.bit_or("m.bit").alias("bases")).where(F.bit_count("bases") > 1)
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(4) for b in range(a + 1, 4)])
+    here = F.filter(pairs, lambda p: F.call_function("shiftright", F.col("bases"), p["a"]).bitwiseAND(F.call_function("shiftright", F.col("bases"), p["b"])).bitwiseAND(F.lit(1)) == 1)
+    member = lambda c: F.col("rest").bitwiseOR(F.call_function("shiftleft", F.col(f"p.{c}").cast("long"), 2 * F.col("pos")))
+    return groups.select("pos", "rest", F.explode(here).alias("p")).select(member("a").alias("kid"), member("b").alias("other"), "pos")
 
 
 def hamming_neighbours(node_table: DataFrame, ids: DataFrame, k: int, d: int) -> DataFrame:

@@ -6,6 +6,7 @@ are rounded where sums may differ in their last digits between runs.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from helixframe.config import EngineConfig
 from helixframe.functions import bits, emitexpr
 from helixframe.operators import context, em, labels, mstep, oracle, spectrum
 from helixframe.plans import sql
-from helixframe.plans.storage import stored
+from helixframe.plans.storage import new_folder, stored
 from helixframe.sources import reads as source
 from helixframe.streaming import counting
 
@@ -169,11 +170,22 @@ def reciprocal_edges(spark, sf_dir):
     return e.select(bits.kmer_string(F.col("kid"), K).alias("kmer"), base("base").alias("base"), bits.kmer_string(F.col("rkid"), K).alias("rkmer"), base("rbase").alias("rbase"))
 
 
-@query(f"""WITH {sql.spectrum()}, m AS (SELECT km, i AS pos, substr(km, 1, CAST(i AS INTEGER)) || '.' || substr(km, CAST(i AS INTEGER) + 2) AS rest, {sql.packed('km', K)} AS kid FROM nodes, range({K}) t(i))
-SELECT a.km AS kmer, b.km AS other, CAST(a.pos AS INTEGER) AS pos FROM m a JOIN m b ON a.pos = b.pos AND a.rest = b.rest AND a.kid < b.kid""")
+_PAIRS1 = f"""ids AS (SELECT {sql.packed('km', K)} AS kid, total FROM nodes),
+masked AS (SELECT CAST(i AS INTEGER) AS pos, kid - (((kid >> (2 * i)) & 3) << (2 * i)) AS rest, list(kid ORDER BY kid) AS members FROM ids, range({K}) t(i) GROUP BY ALL HAVING count(*) > 1),
+pairs1 AS (SELECT pos, a AS kid, b AS other FROM (SELECT pos, members, unnest(members) AS a FROM masked), unnest(members) u(b) WHERE a < b)"""
+
+
+@query(f"WITH {sql.spectrum()}, {_PAIRS1} SELECT kid, other, pos FROM pairs1")
 def hamming1_neighbours(spark, sf_dir):
-    d = spectrum.hamming1_neighbours(_nodes(spark, sf_dir), K)
-    return d.select(bits.kmer_string(F.col("kid"), K).alias("kmer"), bits.kmer_string(F.col("other"), K).alias("other"), "pos")
+    return spectrum.hamming1_neighbours(_nodes(spark, sf_dir), K)
+
+
+@query(f"""WITH {sql.spectrum()}, {_PAIRS1}, once AS (SELECT kid FROM ids WHERE total = 1)
+SELECT kid, other FROM (SELECT kid, other FROM pairs1 UNION ALL SELECT other, kid FROM pairs1) WHERE kid IN (SELECT kid FROM once)""")
+def hamming_probe(spark, sf_dir):
+    """Neighbours at distance one of the k-mers with one transition counted, by probing their mutations."""
+    n = stored(_nodes(spark, sf_dir).select("kid", "total"), "nodes")
+    return spectrum.hamming_neighbours(n, n.where("total = 1").select("kid"), K, 1)
 
 
 @query(f"""WITH {sql.spectrum()}, t AS (SELECT substr(q, i, {K}) AS km FROM (SELECT CASE WHEN ep < 50 THEN truth_seq ELSE seq END AS q, unnest(range(1, len - {K} + 2)) AS i FROM reads)), u AS (SELECT km, count(*) AS n FROM t WHERE instr(km, 'N') = 0 GROUP BY km)
@@ -186,7 +198,7 @@ def truth_missing_kmers(spark, sf_dir):
 # -- labels and M-step --------------------------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {sql.spectrum()}, s AS (SELECT km, substr(km, 2) AS w, {sql.rc('substr(km, 2)')} AS rw, {sql.packed('substr(km, 2)', K - 1)} AS wi, {sql.packed(sql.rc('substr(km, 2)'), K - 1)} AS ri, instr('ACTG', substr(km, 1, 1)) - 1 AS place, flag, total,
+_LABELS = f"""s AS (SELECT km, substr(km, 2) AS w, {sql.rc('substr(km, 2)')} AS rw, {sql.packed('substr(km, 2)', K - 1)} AS wi, {sql.packed(sql.rc('substr(km, 2)'), K - 1)} AS ri, instr('ACTG', substr(km, 1, 1)) - 1 AS place, flag, total,
    CAST(((flag & 1) = 1 AND cnt0 = 0) AS INTEGER) + CAST(((flag & 2) = 2 AND cnt1 = 0) AS INTEGER) + CAST(((flag & 4) = 4 AND cnt2 = 0) AS INTEGER) + CAST(((flag & 8) = 8 AND cnt3 = 0) AS INTEGER) AS phantom FROM nodes),
 g AS (SELECT *, least(wi, ri) AS grp, CASE WHEN wi = ri THEN 2 WHEN wi < ri THEN 0 ELSE 1 END AS side FROM s),
 arc AS (SELECT u.km AS a, v.km AS b FROM g u JOIN g v ON u.grp = v.grp AND u.side = 0 AND v.side = 1 AND ((u.flag >> xor(v.place, 2)) & 1 = 1 OR (v.flag >> xor(u.place, 2)) & 1 = 1)),
@@ -196,23 +208,76 @@ comp AS (SELECT km, min(r) AS c FROM reach GROUP BY km),
 j AS (SELECT c, side, sum(CAST(n_trans_own > 1 AS INTEGER)) AS many, count(*) AS n, sum(total) AS cov, sum(phantom) AS ph FROM (SELECT comp.c, g.*, bit_count(g.flag) AS n_trans_own FROM g JOIN comp USING (km)) GROUP BY c, side),
 k AS (SELECT c, coalesce(max(many) FILTER (side = 0), 0) AS mu, coalesce(max(many) FILTER (side = 1), 0) AS mv, coalesce(max(n) FILTER (side = 0), 0) AS nu, coalesce(max(n) FILTER (side = 1), 0) AS nv,
    coalesce(max(cov) FILTER (side = 0), 0) AS cu, coalesce(max(cov) FILTER (side = 1), 0) AS cv, coalesce(max(ph) FILTER (side = 0), 0) AS pu, coalesce(max(ph) FILTER (side = 1), 0) AS pv FROM j GROUP BY c),
-d AS (SELECT c, mu > 0 AND mv > 0 AS ambiguous, CASE WHEN mu <> mv THEN mu < mv WHEN nu <> nv THEN nu > nv WHEN nu = 1 AND pu <> pv THEN pu < pv ELSE cu > cv END AS first FROM k)
-SELECT g.km AS kmer, CASE WHEN side = 2 THEN 0 WHEN side = 0 THEN CAST(first AS INTEGER) ELSE 1 - CAST(first AS INTEGER) END AS label, coalesce(ambiguous, false) AS ambiguous FROM g LEFT JOIN comp ON comp.km = g.km LEFT JOIN d ON d.c = comp.c""")
+d AS (SELECT c, mu > 0 AND mv > 0 AS ambiguous, CASE WHEN mu <> mv THEN mu < mv WHEN nu <> nv THEN nu > nv WHEN nu = 1 AND pu <> pv THEN pu < pv ELSE cu > cv END AS first FROM k),
+labelled AS (SELECT g.km, CASE WHEN side = 2 THEN 0 WHEN side = 0 THEN CAST(first AS INTEGER) ELSE 1 - CAST(first AS INTEGER) END AS label, coalesce(ambiguous, false) AS ambiguous FROM g LEFT JOIN comp ON comp.km = g.km LEFT JOIN d ON d.c = comp.c)"""
+
+
+@query(f"WITH RECURSIVE {sql.spectrum()}, {_LABELS} SELECT km AS kmer, label, ambiguous FROM labelled")
 def kmer_labels(spark, sf_dir):
     return _named(labels.labels(_nodes(spark, sf_dir), K), "label", "ambiguous")
 
 
+@query(f"""WITH RECURSIVE {sql.spectrum()}, {_LABELS}, told AS (SELECT read_id, pos, coalesce(CAST(label AS VARCHAR), '.') AS l FROM (SELECT read_id, i AS pos, substr(seq, i, {K}) AS km FROM (SELECT read_id, seq, unnest(range(1, len - {K} + 2)) AS i FROM reads WHERE len > {K})) LEFT JOIN labelled USING (km))
+SELECT read_id, string_agg(l, '' ORDER BY pos) AS labels FROM told GROUP BY read_id""")
+def read_labels(spark, sf_dir):
+    r = _reads(spark, sf_dir)
+    return labels.read_labels(r, labels.labels(_nodes(spark, sf_dir), K), K)
+
+
 def _xi(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _nodes(spark, sf_dir).select("kid", F.explode(bits.flag_bases(F.col("flag"))).alias("base"))
     w = spectrum.weighted_transitions(_reads(spark, sf_dir), K).withColumn("xi", F.col("weight"))
     return n.join(w.select("kid", "base", "xi"), ["kid", "base"], "left").fillna(0.0, ["xi"])
 
 
-@query(f"WITH {sql.spectrum()}, {sql.EDGES}, {sql.WEIGHTS}, {sql.XI}, {sql.SOFT} SELECT km AS kmer, {sql.BASE} AS base, round(p, 6) AS p FROM soft WHERE p >= 1e-6")
+@query(f"WITH {sql.spectrum()}, {sql.EDGES}, {sql.WEIGHTS}, {sql.XI}, {sql.SOFT} SELECT km AS kmer, {sql.BASE} AS base, round(p, 6) AS p FROM soft")
 def mstep_soft(spark, sf_dir):
-    """Transitions of at least 1e-6: residues below depend on the last digits of the weights."""
     p = mstep.penalised_transitions(_xi(spark, sf_dir), EngineConfig().rho(26), GAMMA)
-    return _named(p.where("p >= 1e-6"), F.substr(F.lit(bits.BASES), F.col("base") + 1, F.lit(1)).alias("base"), F.round("p", 6).alias("p"))
+    return _named(p, F.substr(F.lit(bits.BASES), F.col("base") + 1, F.lit(1)).alias("base"), F.round("p", 6).alias("p"))
+
+
+@query(f"WITH {sql.spectrum()}, {sql.EDGES}, {sql.WEIGHTS}, {sql.XI} SELECT km AS kmer, round(sum(xi), 6) AS mass FROM xi GROUP BY km HAVING sum(xi) > {sql.RHO}")
+def solid_kmers(spark, sf_dir):
+    """K-mers whose weighted transitions exceed the threshold that a penalty of 26 amounts to."""
+    mass = _xi(spark, sf_dir).groupBy("kid").agg(F.sum("xi").alias("mass")).where(F.col("mass") > EngineConfig().rho(26))
+    return _named(mass, F.round("mass", 6).alias("mass"))
+
+
+@query(f"""WITH {sql.spectrum()}, {sql.EDGES}, e AS (SELECT km, {sql.BASE} AS nx, CAST(cnt AS DOUBLE) AS own FROM edges),
+both_sides AS (SELECT e.km, e.nx, e.own, coalesce(o.own, 0.0) AS other FROM e LEFT JOIN e o ON o.km = {sql.rc("substr(e.km, 2) || e.nx")} AND o.nx = translate(substr(e.km, 1, 1), 'ACGT', 'TGCA'))
+SELECT km AS kmer, nx AS base, own, other FROM both_sides WHERE least(own, other) < 50 AND own + other > 0 AND least(own, other) < (own + other) / 2 + CAST({mstep.normal_quantile(0.05)!r} AS DOUBLE) * sqrt((own + other) / 4)""")
+def strand_bias(spark, sf_dir):
+    """Transitions whose counts on the two strands have a smaller side that a fair coin gives once in twenty times."""
+    e = spectrum.transition_probabilities(stored(_nodes(spark, sf_dir), "nodes")).select("kid", "base", F.col("cnt").cast("double").alias("xi"))
+    return _named(mstep.strand_specific(e, K, level=0.05), F.substr(F.lit(bits.BASES), F.col("base") + 1, F.lit(1)).alias("base"), "own", "other")
+
+
+@query(f"""WITH {sql.spectrum()}, {sql.EDGES}, lp AS (SELECT km, list(CASE WHEN cnt > 0 THEN ln(cnt / total) END ORDER BY b) AS l, arg_max(b, (cnt, -b)) AS lead FROM edges WHERE total > 0 GROUP BY km)
+SELECT nodes.km AS kmer, (flag >> 2) | ((flag & 3) << 2) AS other_flag, CAST(bit_count(flag & 3) AS INTEGER) AS rank_of_t, CASE WHEN coverage % 3 = 0 THEN flag & 4 ELSE flag END AS admitted,
+  round(ln(list_sum(list_transform(list_filter(l, lambda x: x IS NOT NULL), lambda x: exp(x)))), 9) AS log_sum, round(1 - pow(10, -coverage / 10.0), 9) AS phred, CAST(lead AS INTEGER) AS lead
+FROM nodes JOIN lp USING (km)""")
+def flag_scalars(spark, sf_dir):
+    """Flags, ranks, admissible transitions and sums of log probabilities per k-mer (t is the observed base, a third of the k-mers is at its cap)."""
+    n = stored(_nodes(spark, sf_dir).where("total > 0"), "nodes")
+    cnt = F.array(*[F.col(f"cnt{b}") for b in range(4)])
+    lps = F.transform(cnt, lambda c: bits.safe_log(c / F.col("total")))
+    flag = F.col("flag")
+    return _named(
+        n,
+        bits.complement_flag(flag).alias("other_flag"),
+        bits.transition_rank(flag, F.lit(2)).alias("rank_of_t"),
+        bits.admissible(flag, F.when(F.col("coverage") % 3 == 0, 1).otherwise(0), 1, F.lit(2)).alias("admitted"),
+        F.round(bits.log_sum(lps), 9).alias("log_sum"),
+        F.round(bits.phred_correct(F.col("coverage")), 9).alias("phred"),
+        F.get(bits.descending_order(cnt), F.lit(0)).alias("lead"),
+    )
+
+
+@query(f"""WITH {sql.READS}, f AS (SELECT DISTINCT substr(seq, 1, {K}) AS km, substr(truth_seq, 2, {K}) AS k2 FROM reads WHERE instr(seq, 'N') = 0)
+SELECT km AS kmer, k2 AS second, CAST(list_sum(list_transform(range({K}), lambda i: CASE WHEN substr(km, i + 1, 1) <> substr(k2, i + 1, 1) THEN CAST(3 AS BIGINT) << (2 * i) ELSE 0 END)) AS BIGINT) AS mutated, {sql.packed('km', K)} AS packed_first FROM f""")
+def mutation_flags(spark, sf_dir):
+    d = _reads(spark, sf_dir).where("instr(seq, 'N') = 0").select(F.substr("seq", F.lit(1), F.lit(K)).alias("kmer"), F.substr("truth_seq", F.lit(2), F.lit(K)).alias("second")).distinct()
+    return d.select("kmer", "second", bits.mutation_flag(bits.kmer_id(F.col("kmer")), bits.kmer_id(F.col("second"))).alias("mutated"), F.get(bits.packed_read(F.col("kmer")), F.lit(0)).alias("packed_first"))
 
 
 _CANON = f"""mass AS (SELECT km, sum(xi) AS mass, CAST(sum(1 << CAST(b AS INTEGER)) AS INTEGER) AS flag FROM xi GROUP BY km),
@@ -286,12 +351,19 @@ def upstream_contexts(spark, sf_dir):
     return _named(c, bits.kmer_string(F.col("ctx"), D).alias("ctx"), "n")
 
 
-@query()
+_KEPT = f"""br AS (SELECT km, total FROM nodes WHERE n_trans > 1), s AS (SELECT km, ctx, CAST(sum(n) AS BIGINT) AS n, any_value(total) AS total FROM ctxs JOIN br USING (km) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY km ORDER BY n DESC, {sql.packed('ctx', D)}) AS rank FROM s),
+kept AS (SELECT km, ctx FROM r WHERE rank <= greatest(least(127, floor(total / 2 / {sql.RHO})), 1))"""
+_BY_CONTEXT = f"""xi AS (SELECT c.km || ':' || coalesce(k.ctx, '') AS key, instr('ACTG', nx) - 1 AS b, CAST(sum(n) AS DOUBLE) AS xi FROM ctxs c LEFT JOIN kept k ON k.km = c.km AND k.ctx = c.ctx WHERE c.km IN (SELECT km FROM kept) GROUP BY ALL),
+{sql.soft("key")}"""
+
+
+@query(f"WITH {sql.spectrum()}, {_WIDE}, {_KEPT}, {_BY_CONTEXT} SELECT substr(key, 1, {K}) AS kmer, CASE WHEN length(key) > {K + 1} THEN {sql.packed(f'substr(key, {K + 2})', D)} ELSE -1 END AS ctx, CAST(b AS INTEGER) AS base, round(p, 6) AS p FROM soft")
 def context_transitions(spark, sf_dir):
     r, rho = _reads(spark, sf_dir), EngineConfig().rho(26)
     counts = stored(context.context_counts(r, K, D), "context-counts")
     kept = stored(context.upstream_contexts(counts, _nodes(spark, sf_dir), rho), "contexts")
-    return _named(context.context_transitions(counts, kept, rho, GAMMA, D), "ctx", "base", "p")
+    return _named(context.context_transitions(counts, kept, rho, GAMMA, D), "ctx", "base", F.round("p", 6).alias("p"))
 
 
 @query(f"""WITH {sql.spectrum()}, {sql.EDGES}, pr AS (SELECT km, substr(km, 2) || {sql.BASE} AS nx, cnt / total AS p FROM edges WHERE total > 0 AND cnt > 0),
@@ -311,7 +383,7 @@ def low_coverage_runs(spark, sf_dir):
     return spectrum.low_coverage_runs(r, _nodes(spark, sf_dir), K, 5).select("read_id", "start", "n")
 
 
-# -- fitting and decoding (not expressible in SQL) ----------------------------------------------------------
+# -- fitting and decoding (SQL where it does not iterate) ----------------------------------------------------------
 
 
 CONFIG = EngineConfig(k=K)
@@ -335,7 +407,7 @@ def correct_reads(spark, sf_dir):
 
 
 @query()
-def oracle_gain(spark, sf_dir):
+def correction_gain(spark, sf_dir):
     r, f = _fitted(spark, sf_dir)
     return em.gain(r, em.decode(r, f, CONFIG.with_(update_quality=False)), r.select("read_id", "truth_seq"))
 
@@ -346,17 +418,133 @@ def read_loglik(spark, sf_dir):
     return em.read_scores(r, em.start(r, CONFIG), CONFIG)
 
 
-@query()
+_TRUE = f"""true_reads AS (SELECT read_id, CASE WHEN ep < 50 THEN truth_seq ELSE seq END AS q, len FROM reads),
+true_places AS (SELECT substr(q, i, {K}) AS km, substr(q, i + {K}, 1) AS nx FROM (SELECT q, unnest(range(1, len - {K} + 2)) AS i FROM true_reads WHERE len > {K})),
+genomic AS (SELECT DISTINCT km FROM true_places WHERE instr(km, 'N') = 0),
+tally AS (SELECT km, nx, count(*) AS n FROM true_places WHERE instr(km, 'N') = 0 AND nx NOT IN ('', 'N') GROUP BY ALL),
+joint AS (SELECT km, nx, sum(n) AS n FROM (SELECT * FROM tally UNION ALL SELECT {sql.rc("substr(km, 2) || nx")}, translate(substr(km, 1, 1), 'ACGT', 'TGCA'), n FROM tally) GROUP BY ALL),
+kept AS (SELECT joint.km, nx, CAST(joint.n AS DOUBLE) AS n FROM joint JOIN nodes USING (km) WHERE (flag >> (instr('ACTG', nx) - 1)) & 1 = 1),
+trues AS (SELECT km, nx, n / sum(n) OVER (PARTITION BY km) AS p, sum(n) OVER (PARTITION BY km) AS mass FROM kept)"""
+
+
+@query(f"""WITH {sql.spectrum()}, {_TRUE}, k AS (SELECT km, any_value(mass) AS mass, CAST(bit_or(1 << (instr('ACTG', nx) - 1)) AS INTEGER) AS flag, {", ".join(f"round(max(CASE WHEN nx = '{c}' THEN ln(p) END), 9) AS lp{i}" for i, c in enumerate("ACTG"))} FROM trues GROUP BY km),
+ends AS (SELECT DISTINCT substr(km, 2) || nx AS km FROM trues WHERE substr(km, 2) || nx NOT IN (SELECT km FROM k)),
+every AS (SELECT * FROM k UNION ALL SELECT km, 0.0, 0, NULL, NULL, NULL, NULL FROM ends)
+SELECT km AS kmer, mass, flag, round(CASE WHEN mass > 0 THEN ln(mass / (SELECT sum(mass) FROM k)) END, 9) AS log_init, lp0, lp1, lp2, lp3, km IN (SELECT km FROM genomic) AS genomic FROM every""")
+def true_model(spark, sf_dir):
+    """The oracles' model: shares of the true transitions that the observed spectrum holds."""
+    r = stored(_reads(spark, sf_dir), "reads")
+    t = oracle.true_fit(r, oracle.apply_truth(r, source.truth(r)), CONFIG).table
+    return _named(t, "mass", "flag", F.round("log_init", 9).alias("log_init"), *[F.round(f"lp{b}", 9).alias(f"lp{b}") for b in range(4)], "genomic")
+
+
+_PERFECT = f"""{_TRUE},
+cand AS (SELECT read_id, len, b, substr(truth_seq, 1, ep) || b || substr(truth_seq, ep + 2) AS c FROM reads, (SELECT unnest(['A', 'C', 'T', 'G']) AS b) WHERE ep < 50 AND CASE WHEN ep < {K} THEN b = substr(truth_seq, ep + 1, 1) ELSE b <> substr(seq, ep + 1, 1) END),
+taken AS (SELECT read_id, b, c, len, substr(c, i, {K}) AS km, substr(c, i + {K}, 1) AS nx FROM (SELECT *, unnest(range(1, len - {K} + 1)) AS i FROM cand)),
+whole AS (SELECT read_id, b, c, sum(ln(p)) AS score FROM taken JOIN trues USING (km, nx) JOIN genomic g ON g.km = substr(taken.km, 2) || taken.nx GROUP BY read_id, b, c, len HAVING count(*) = len - {K}),
+best AS (SELECT read_id, c, score, row_number() OVER (PARTITION BY read_id ORDER BY round(score, 9) DESC, instr('ACTG', b)) AS place FROM whole),
+done AS (SELECT read_id, identifier, CASE WHEN ep < 50 THEN coalesce(c, seq) ELSE seq END AS seq, qual, CAST(ep < 50 AND c IS NULL AS INTEGER) AS zl, score, seq AS was, truth_seq, CAST(coalesce(c <> seq, false) AS INTEGER) AS n_changed FROM reads LEFT JOIN (SELECT * FROM best WHERE place = 1) USING (read_id))"""
+
+
+@query(f"WITH {sql.spectrum()}, {_PERFECT} SELECT read_id, identifier, seq, qual, zl, round(score, 6) AS score, n_changed FROM done")
 def perfect_oracle(spark, sf_dir):
     r = stored(_reads(spark, sf_dir), "reads")
-    return oracle.perfect_oracle(r, source.truth(r), CONFIG)
+    return oracle.perfect_oracle(r, source.truth(r), CONFIG).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {sql.spectrum()}, {_PERFECT}, p AS (SELECT substr(was, i, 1) AS w, substr(seq, i, 1) AS n, substr(truth_seq, i, 1) AS t FROM (SELECT *, unnest(range(1, 51)) AS i FROM done)),
+c AS (SELECT count(*) FILTER (w <> t AND n = t) AS tp, count(*) FILTER (n <> t AND n <> w) AS fp, count(*) FILTER (w <> t AND n <> t) AS fn FROM p)
+SELECT tp, fp, fn, round(tp / (tp + fn), 9) AS sensitivity, round(tp / (tp + fp), 9) AS precision, round((tp - fp) / (tp + fn), 9) AS gain FROM c""")
+def oracle_gain(spark, sf_dir):
+    """What a perfect oracle recovers of the errors."""
+    r = stored(_reads(spark, sf_dir), "reads")
+    g = em.gain(r, stored(oracle.perfect_oracle(r, source.truth(r), CONFIG), "oracle"), r.select("read_id", "truth_seq"))
+    return g.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("sensitivity", "precision", "gain")])
 
 
 @query()
 def oracle_em(spark, sf_dir):
+    """Emission fitted on the true graph: kind, slot, ctx, obs, log_p."""
     r = stored(_reads(spark, sf_dir), "reads")
     f = oracle.oracle_em(r, source.truth(r), CONFIG)
-    return _named(f.table, "mass", "flag", "log_init", "lp0", "lp1", "lp2", "lp3")
+    rows = [(kind, int(i), int(j), int(x), float(a[i, j, x])) for kind, a in (("base", f.base), ("qual", f.qual)) for i, j, x in zip(*np.nonzero(np.isfinite(a)), strict=True)]
+    return spark.createDataFrame(rows, "kind string, slot int, ctx int, obs int, log_p double")
+
+
+CHAIN = CONFIG.with_(search_first=False, adaptive=False, max_hamming=1)
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, em.Fit]:
+    """Reads, and the model of counted shares with even emission."""
+    r = stored(_reads(spark, sf_dir), "reads")
+    return r, em.counted(r, CHAIN)
+
+
+_CHAIN = f"{sql.spectrum()}, {sql.EDGES}, {sql.SHARES}, {sql.chain(41, 0.99, 1, 50)}"
+_LAST = 50 - K
+
+
+@query(f"WITH {_CHAIN} SELECT read_id, round(ln(sum(s.p)), 6) AS loglik, round(ln(max(s.b)), 6) AS best FROM reads LEFT JOIN s{_LAST} s USING (read_id) GROUP BY read_id")
+def chain_scores(spark, sf_dir):
+    """Log likelihood and best path's log probability of every read, from the observed first k-mer with a Hamming cap of one."""
+    r, f = _chained(spark, sf_dir)
+    all_ = em.read_scores(r, f, CHAIN).select("read_id", F.round("loglik", 6).alias("loglik"))
+    return all_.join(em.read_scores(r, f, CHAIN, best=True).select("read_id", F.round("loglik", 6).alias("best")), "read_id")
+
+
+_BACK = ",\n".join(
+    [f"z{_LAST} AS MATERIALIZED (SELECT read_id, km, CAST(1 AS DOUBLE) AS z FROM s{_LAST})"]
+    + [f"z{t - 1} AS MATERIALIZED (SELECT w.read_id, u AS km, sum(w * z) AS z FROM w{t} w JOIN z{t} z ON z.read_id = w.read_id AND z.km = w.v GROUP BY ALL)" for t in range(_LAST, 0, -1)]
+)
+_PASSED = " UNION ALL ".join(f"SELECT w.read_id, u, nx, up * w * coalesce(z, 0) AS x FROM w{t} w LEFT JOIN z{t} z ON z.read_id = w.read_id AND z.km = w.v" for t in range(1, _LAST + 1))
+
+
+@query(f"WITH {_CHAIN}, {_BACK}, whole AS (SELECT read_id, sum(p) AS p FROM s{_LAST} GROUP BY read_id), passed AS ({_PASSED}) SELECT u AS kmer, nx AS base, round(sum(coalesce(x / p, 0)), 3) AS xi FROM passed LEFT JOIN whole USING (read_id) GROUP BY u, nx")
+def chain_expected(spark, sf_dir):
+    """Expected transition counts by forward and backward sums over the same trellises."""
+    r, f = _chained(spark, sf_dir)
+    return _named(em.expected_transitions(r, f, CHAIN), F.substr(F.lit(bits.BASES), F.col("base") + 1, F.lit(1)).alias("base"), F.round("xi", 3).alias("xi"))
+
+
+# -- files --------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {sql.READS}, n AS (SELECT *, row_number() OVER (ORDER BY read_id) - 1 AS ordinal FROM reads) SELECT ordinal AS read_id, identifier, seq, qual, CAST(len AS INTEGER) AS len FROM n")
+def fastq_scan(spark, sf_dir):
+    """The reads as a FASTQ file in the order of read_id, read back."""
+    path = new_folder(spark, "fastq")
+    source.write_fastq(_reads(spark, sf_dir), path, tag=None)
+    return source.read_fastq(spark, path)
+
+
+@query(f"WITH {sql.spectrum()}, {_PERFECT} SELECT '@' || identifier || ' ZL:' || zl AS head, seq, qual FROM done")
+def corrected_fastq(spark, sf_dir):
+    """What the sink writes of a perfect oracle's corrections."""
+    r, path = stored(_reads(spark, sf_dir), "reads"), new_folder(spark, "corrected")
+    source.write_fastq(oracle.perfect_oracle(r, source.truth(r), CONFIG), path)
+    lines = spark.read.text(path, lineSep="\n@").select(F.split("value", "\n").alias("f"))
+    head = F.get("f", F.lit(0))
+    return lines.select(F.when(F.startswith(head, F.lit("@")), head).otherwise(F.concat(F.lit("@"), head)).alias("head"), F.get("f", F.lit(1)).alias("seq"), F.get("f", F.lit(3)).alias("qual"))
+
+
+@query(f"WITH {sql.READS} SELECT identifier, CAST(ep + 1 AS INTEGER) AS pos, substr(truth_seq, ep + 1, 1) AS base FROM reads WHERE ep < 50")
+def truth_scan(spark, sf_dir):
+    """The known errors as a truth file, read back."""
+    path = new_folder(spark, "truth")
+    source.write_truth(source.truth(_reads(spark, sf_dir)), path)
+    return source.read_truth(spark, path)
+
+
+@query(f"""WITH {sql.spectrum()}, {sql.EDGES}, {sql.SHARES} SELECT {sql.packed('nodes.km', K)} AS kid, 0 AS label, CAST(NULL AS DOUBLE) AS log_init, {", ".join(f"round(max(CASE WHEN nx = '{c}' THEN ln(p) END), 9) AS lp{i}" for i, c in enumerate("ACTG"))} FROM nodes LEFT JOIN pr USING (km) GROUP BY nodes.km""")
+def model_dump(spark, sf_dir):
+    """The model of counted shares as text, read back."""
+    r, path = stored(_reads(spark, sf_dir), "reads"), new_folder(spark, "model-text")
+    source.write_model(em.counted(r, CHAIN).table.withColumn("log_init", F.lit(None).cast("double")), path, K)
+    m = source.read_model(spark, path)
+    return m.select("kid", "label", "log_init", *[F.round(f"lp{b}", 9).alias(f"lp{b}") for b in range(4)])
+
+
+# -- searches and streams -----------------------------------------------------------------------------------
 
 
 @query()

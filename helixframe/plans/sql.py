@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from helixframe.config import EngineConfig
+from helixframe.operators.spectrum import WEIGHT_STEPS
 from helixframe.sources.reads import reads_sql
 
 K = 15
@@ -54,7 +56,7 @@ WEIGHTS = f"""quals AS (SELECT read_id, seq, len, qual, unnest(range(1, len - {K
 weighted AS (SELECT substr(seq, i, {K}) AS km, substr(seq, i + {K}, 1) AS nx,
     list_reduce(list_transform(range({K + 1}), lambda j: 1 - pow(10, -(ascii(substr(qual, i + j, 1)) - 33) / 10.0)), lambda a, x: a * x) AS w
   FROM quals WHERE instr(substr(seq, i, {K + 1}), 'N') = 0),
-weights AS (SELECT km, nx, sum(w) AS weight FROM weighted GROUP BY ALL)"""
+weights AS (SELECT km, nx, CAST(sum(CAST(floor(w * {WEIGHT_STEPS}.0 + 0.5) AS BIGINT)) AS DOUBLE) / {WEIGHT_STEPS}.0 AS weight FROM weighted GROUP BY ALL)"""
 ETA = """g AS (SELECT i AS bin, coalesce(n, 0) AS n FROM range(1001) t(i) LEFT JOIN hist ON bin = i),
 valley AS (SELECT coalesce(min(a.bin), 1000) AS v FROM g a JOIN g b ON b.bin = a.bin + 1 WHERE a.bin >= 1 AND b.n > a.n),
 peak AS (SELECT arg_max(bin, n * 2000 - bin) AS p, max(n) AS pn FROM g, valley WHERE bin >= v),
@@ -65,10 +67,35 @@ thr AS (SELECT CASE WHEN p = 1000 OR pn - vn < 1000 OR v = 1 THEN 1.0 ELSE v / 2
 #: 1 / gamma = 1e20; eta = ceil((thr + 0.1) * ln(1 + 1 / gamma) + 0.5).
 LOG_GAMMA = "ln(1 + 1e20)"
 XI = f"xi AS (SELECT e.km, e.b, coalesce(weight, 0.0) AS xi FROM edges e LEFT JOIN weights w ON w.km = e.km AND w.nx = {BASE})"
-#: Penalised transitions at rho = 26 / ln(1 + 1e20), gamma = 1e-20.
-RHO = f"(26 / {LOG_GAMMA})"
-SOFT = f"""grp AS (SELECT km, max(xi) AS most, count(*) AS n, list_sum(list_transform(list(xi ORDER BY b), lambda x: greatest(x - {RHO}, 0.0))) AS lam FROM xi GROUP BY km),
-rooted AS (SELECT x.km, b, xi, CASE WHEN n = 1 THEN 1.0 WHEN most >= {RHO} AND lam > 0 THEN
+#: Penalised transitions at rho for eta = 26, gamma = 1e-20.
+RHO = f"CAST({EngineConfig().rho(26)!r} AS DOUBLE)"
+
+
+def soft(key: str = "km") -> str:
+    """``grp``, ``rooted`` and ``soft`` (key, b, p) from ``xi`` (key, b, xi)."""
+    return f"""grp AS (SELECT {key}, max(xi) AS most, count(*) AS n, list_sum(list_transform(list(xi ORDER BY b), lambda x: greatest(x - {RHO}, 0.0))) AS lam FROM xi GROUP BY {key}),
+rooted AS (SELECT {key}, b, xi, CASE WHEN n = 1 THEN 1.0 WHEN most >= {RHO} AND lam > 0 THEN
      (sqrt((1e-20 * lam - xi + {RHO}) * (1e-20 * lam - xi + {RHO}) + 4 * lam * 1e-20 * xi) - (1e-20 * lam - xi + {RHO})) / (2 * lam)
-     WHEN xi = most THEN 1.0 ELSE 0.0 END AS p FROM xi x JOIN grp USING (km)),
-soft AS (SELECT km, b, p / sum(p) OVER (PARTITION BY km) AS p FROM rooted WHERE p > 0)"""
+     WHEN xi = most THEN 1.0 ELSE 0.0 END AS p FROM xi JOIN grp USING ({key})),
+soft AS (SELECT {key}, b, p / sum(p) OVER (PARTITION BY {key}) AS p FROM rooted WHERE p > 0)"""
+
+
+SOFT = soft()
+#: Transitions by counted shares: ``pr`` (km, nx, p).
+SHARES = f"pr AS MATERIALIZED (SELECT km, {BASE} AS nx, cnt / total AS p FROM edges WHERE total > 0 AND cnt > 0)"
+
+
+def chain(first_qualities: int, right: float, cap: int, length: int) -> str:
+    """``s0``..: the states of every read's trellis (read_id, km, hd, p: the sum over paths, b: the best path), and ``w1``..: its edges (read_id, u, nx, v, w, hd).
+
+    First states are the observed k-mers; probabilities stay far above the smallest double for short reads. ``right``: the probability that a
+    base is emitted right, qualities are even; cap: mismatches that a state may have after its first base.
+    """
+    q, wrong = 1 / first_qualities, (1 - right) / 3
+    start = (right * q) ** K
+    out = [f"s0 AS MATERIALIZED (SELECT read_id, substr(seq, 1, {K}) AS km, 0 AS hd, CAST({start!r} AS DOUBLE) AS p, CAST({start!r} AS DOUBLE) AS b FROM reads WHERE len > {K} AND substr(seq, 1, {K}) IN (SELECT km FROM pr))"]
+    for t in range(1, length - K + 1):
+        out.append(f"""w{t} AS MATERIALIZED (SELECT x.read_id, x.km AS u, pr.nx, substr(x.km, 2) || pr.nx AS v, x.p AS up, x.b AS ub, pr.p * CASE WHEN pr.nx = x.seen THEN {right!r} ELSE {wrong!r} END * {q!r} AS w, x.rest + CAST(pr.nx <> x.seen AS INTEGER) AS hd
+  FROM (SELECT s.*, substr(r.seq, {t + K}, 1) AS seen, s.hd - CAST(substr(s.km, 1, 1) <> substr(r.seq, {t}, 1) AS INTEGER) AS rest FROM s{t - 1} s JOIN reads r USING (read_id)) x JOIN pr ON pr.km = x.km AND (x.rest < {cap} OR pr.nx = x.seen))""")
+        out.append(f"s{t} AS MATERIALIZED (SELECT read_id, v AS km, any_value(hd) AS hd, sum(up * w) AS p, max(ub * w) AS b FROM w{t} GROUP BY read_id, v)")
+    return ",\n".join(out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (as in tests), a temporary folder of this machine."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary folder if driver and executors are one process, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="helixframe-core-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back: it cuts the lineage and survives lost executors."""
-    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """``df`` written once and read back: it cuts the lineage and survives lost executors.
+
+    ``done``: tables that this function wrote and that nothing reads from now on; they are deleted.
+    """
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in done:
+        delete(df.sparkSession, old.stored_path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder below the shared root."""
+    if not path.startswith(shared_root(spark) + "/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from datetime import datetime
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.plans.storage import stored
+
+#: File splits whose first line numbers are broadcast; more are joined.
+MOST_SPLITS = 1_000_000
+RECORD_NAMES = ["read_id", "head", "seq", "qual", "whole"]
+RECORD_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+
 
 def reads_sql(dialect: str) -> str:
     """The CTEs of the synthetic reads (``reads``: read_id, identifier, seq, qual, len, truth_seq, ep), for "spark" or "duckdb".
@@ -57,21 +68,47 @@ def truth(reads: DataFrame) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """Records of four lines of FASTQ text: read_id (0-based ordinal), identifier, seq, qual, len.
 
-    Files are split anywhere: lines are numbered by their place in a split and the sum of the splits before,
-    of which only the line counts reach the driver. The last record counts with or without a final newline.
+    Files are split anywhere. The splits' line counts, one small row each, give every split its first line's number; a split then assembles its
+    records by itself, and only the one that goes on in the next split is shuffled. The reads are written once. The last record counts with or
+    without a final newline.
     """
-    lines = spark.read.text(path).select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
-    before, offsets = 0, []
-    for r in lines.groupBy("part").count().orderBy("part").collect():
-        offsets.append((r.part, before))
-        before += r["count"]
-    if not offsets:
-        return spark.createDataFrame([], "read_id long, identifier string, seq string, qual string, len int")
-    start = F.element_at(F.create_map(*[x for p, o in offsets for x in (F.lit(p), F.lit(o))]), F.col("part"))
-    numbered = lines.select("value", (start + F.col("at")).alias("line")).select("value", F.shiftright("line", 2).alias("read_id"), (F.col("line") % 4).alias("row"))
-    field = lambda i: F.max(F.when(F.col("row") == i, F.col("value")))
-    records = numbered.groupBy("read_id").agg(field(0).alias("head"), F.upper(field(1)).alias("seq"), field(3).alias("qual"))
-    return records.select("read_id", F.split(F.substr("head", F.lit(2)), "[ \t]", 2)[0].alias("identifier"), "seq", "qual", F.length("seq").alias("len"))
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("start"))
+    counts = stored(lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n")), "fastq-splits")
+    in_file = Window.partitionBy("file").orderBy("start")
+    files = counts.groupBy("file").agg(F.sum("n").alias("all"))
+    files = files.select("file", (F.sum("all").over(Window.orderBy("file")) - F.col("all")).alias("before"))  # a row per file
+    first = counts.withColumn("upto", F.sum("n").over(in_file) - F.col("n")).join(files, "file").select("file", "start", (F.col("upto") + F.col("before")).alias("line"))
+    first = stored(first, "fastq-lines", counts)
+    placed = lines.join(F.broadcast(first) if first.count() <= MOST_SPLITS else first, ["file", "start"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, open_record = None, 0, {}
+
+        def row(no: int, fields: dict) -> tuple:
+            return (no, fields.get(0), fields.get(1), fields.get(3), len(fields) == 4)
+
+        for b in batches:
+            out = []
+            for file, start, value, line in zip(*(b.column(c).to_pylist() for c in ("file", "start", "value", "line")), strict=True):
+                if (file, start) != now:
+                    if open_record:
+                        out.append(row(at // 4, open_record))
+                    now, at, open_record = (file, start), line - 1, {}
+                if open_record and (at + 1) % 4 == 0:
+                    out.append(row(at // 4, open_record))
+                    open_record = {}
+                at += 1
+                open_record[at % 4] = value
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, RECORD_TYPES, strict=True)], RECORD_NAMES)
+        if open_record:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row(at // 4, open_record), RECORD_TYPES, strict=True)], RECORD_NAMES)
+
+    found = stored(placed.select("file", "start", "value", "line").mapInArrow(run, "read_id long, head string, seq string, qual string, whole boolean"), "fastq-records")
+    parts = found.where("not whole").groupBy("read_id").agg(F.max("head").alias("head"), F.max("seq").alias("seq"), F.max("qual").alias("qual"))
+    records = found.where("whole").drop("whole").unionByName(parts)
+    seq = F.upper("seq")
+    return records.select("read_id", F.split(F.substr("head", F.lit(2)), "[ \t]", 2)[0].alias("identifier"), seq.alias("seq"), "qual", F.length(seq).alias("len"))
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
@@ -89,6 +126,20 @@ def write_fastq(reads: DataFrame, path: str, *, tag: str | None = "zl", repeat_i
     reads.repartitionByRange(n, "read_id").sortWithinPartitions("read_id").select(F.concat_ws("\n", head, "seq", plus, "qual").alias("value")).write.text(path)
 
 
+def write_truth(truth: DataFrame, path: str) -> None:
+    """Truth lines ``identifier pos base pos base ...``, one per identifier."""
+    edits = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda e: F.concat_ws(" ", e["pos"].cast("string"), e["base"])), " ")
+    truth.groupBy("identifier").agg(edits.alias("edits")).select(F.concat_ws(" ", "identifier", "edits").alias("value")).write.text(path)
+
+
+def output_name(prefix: str, config, suffix: str = "", extension: str = "txt", *, parameters: bool = True, at: datetime | None = None) -> str:
+    """A file name of the options: prefix, month, day and time if ``at`` is given, K, D, E (penalty, or auto), G and R, suffix, extension."""
+    when = at.strftime("_%m%d_%H%M") if at else ""
+    eta = "auto" if config.eta is None else f"{config.eta:.0f}"
+    options = f"_K{config.k}D{config.hamming}_E{eta}G{config.gamma:.0e}R{config.rel_tol:.0e}" if parameters else ""
+    return f"{prefix}{when}{options}{suffix}.{extension}"
+
+
 def write_model(model: DataFrame, path: str, k: int) -> None:
     """The model as text: k-mer, label, log initial probability, log transition probabilities of A C T G ("nan" where absent)."""
     from helixframe.functions.bits import kmer_string

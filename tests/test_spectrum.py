@@ -1,5 +1,8 @@
 from collections import Counter, defaultdict
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,12 +181,16 @@ def test_label_groups_against_plain_search():
             if rng.random() < 0.5:
                 group.append(g)
                 members.append((slot // 4, slot % 4, int(rng.integers(0, 16)), int(rng.integers(0, 3)), float(rng.integers(0, 4))))
-    cols = [np.array(c) for c in zip(*members, strict=True)]
-    label, ambiguous = labels.label_groups(np.array(group), 400, *cols)
+    tables = [np.zeros((400, 8), kind) for kind in (bool, np.int64, np.int64, float)]
+    for g, (side, place, flag, odd, weight) in zip(group, members, strict=True):
+        for t, v in zip(tables, (True, flag, odd, weight), strict=True):
+            t[g, 4 * side + place] = v
+    label, ambiguous = labels.label_groups(*tables)
     for g in range(400):
         own = [i for i, x in enumerate(group) if x == g]
         want = label_group(*[[members[i][j] for i in own] for j in range(5)])
-        assert (label[own].tolist(), ambiguous[own].tolist()) == want
+        at = [4 * members[i][0] + members[i][1] for i in own]
+        assert (label[g, at].tolist(), ambiguous[g, at].tolist()) == want
 
 
 @pytest.mark.parametrize("k", [4, 5])
@@ -216,20 +223,51 @@ def test_soft_threshold_drops_and_keeps(spark):
     lam = 40 - rho + 1.5 - rho
     assert got[6][0] == pytest.approx((40 - rho) / lam)
     for x in ([40.0, 1.5], [10.0, 9.0, 3.0]):
-        want = mstep.solve_penalised(x, rho, 1e-20)
+        want = mstep.solve_penalised(np.array([x]), rho, 1e-20)[0]
         d = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)], "kid long, base int, xi double")
         assert {r.base: r.p for r in mstep.penalised_transitions(d, rho).collect()} == {i: pytest.approx(p, abs=1e-9) for i, p in enumerate(want) if p > 1e-12}
 
 
-def test_solver_for_large_gamma():
-    import numpy as np
+@pytest.mark.parametrize("rho,gamma", [(1.0, 0.5), (2.0, 0.1), (1.0, 0.01), (6.0, 0.3), (3.0, 2.0), (12.0, 1e-3)])
+def test_solver_for_large_gamma(rho, gamma):
+    rows = [[5.0, 2.0, 0.5], [10.0, 4.0, 3.0], [1.0, 0.9, 0.2], [0.5, 0.1, 0.05], [3.0, 3.0, 1.0], [8.0, 0.0, 0.0]]
+    got = mstep.solve_penalised(np.array([[*r, np.nan] for r in rows]), rho, gamma)
+    grid = [(a, b, 1 - a - b) for a in np.linspace(1e-9, 1, 401) for b in np.linspace(1e-9, 1, 401) if a + b < 1]
+    q = np.maximum(np.array(grid), 1e-12)
+    for xi, p in zip(rows, got, strict=True):
+        f = lambda q, x=np.array(xi): (x * np.log(q)).sum(axis=-1) - rho * np.log1p(q / gamma).sum(axis=-1)
+        assert np.isnan(p[3]) and p[:3].sum() == pytest.approx(1)
+        if xi[0] != xi[1]:
+            assert f(np.maximum(p[:3], 1e-12)) >= f(q).max() - 0.02 * abs(f(q).max())
+    one = mstep.solve_penalised(np.array([[np.nan, 3.0, np.nan, np.nan], [0.0, 0.0, np.nan, np.nan]]), rho, gamma)
+    assert one[0, 1] == 1 and one[1, :2].tolist() == [0.5, 0.5]
+
+
+def test_large_gamma_takes_the_solver(spark):
+    xi = [(1, 0, 10.0), (1, 1, 4.0), (1, 2, 3.0), (2, 3, 2.0)]
+    d = spark.createDataFrame(xi, "kid long, base int, xi double")
+    p = {(r.kid, r.base): r.p for r in mstep.penalised_transitions(d, 2.0, 0.1).collect()}
+    assert [round(p[1, b], 3) for b in range(3)] == [0.649, 0.208, 0.143] and p[2, 3] == 1
+
 
-    rho, gamma, xi = 1.0, 0.5, np.array([5.0, 2.0, 0.5])
-    p = mstep.solve_penalised(xi, rho, gamma)
-    f = lambda q: (xi * np.log(q)).sum() - rho * np.log1p(q / gamma).sum()
+def test_second_penalty_and_penalised_initial(spark):
+    p = mstep.reciprocal_penalty([5.0, 2.0, 0.5], [0.2, 0.5, 0.1], 0.4, 0.5)
+    f = lambda q: (np.array([5.0, 2.0, 0.5]) * np.log(q)).sum() - 0.8 * np.log1p((q + np.array([0.2, 0.5, 0.1])) / 1.0).sum()
     rng = np.random.default_rng(1)
-    assert p.sum() == pytest.approx(1)
-    assert all(f(p) >= f(q) - 1e-9 for q in rng.dirichlet(np.ones(3), 5000))
+    assert p.sum() == pytest.approx(1) and all(f(p) >= f(q) - 1e-9 for q in rng.dirichlet(np.ones(3), 5000))
+    assert mstep.reciprocal_penalty([0.1, 0.2], [0.0, 0.0], 5.0, 0.01).tolist() == [0, 1]
+    mass = spark.createDataFrame([(1, 10.0), (2, 4.0), (3, 0.5), (4, 0.0)], "kid long, mass double")
+    got = {r.kid: r.init for r in mstep.penalised_initial(mass, 1.0).collect()}
+    assert got == {1: pytest.approx(9 / 12), 2: pytest.approx(3 / 12)}
+    assert {r.kid: r.init for r in mstep.penalised_initial(mass.where("kid > 2"), 1.0).collect()} == {3: 1.0}
+
+
+def test_strand_tail_is_a_constant_quantile(spark):
+    import math
+
+    for level in (1e-16, 1e-10, 1e-4, 0.3):
+        z = mstep.normal_quantile(level)
+        assert math.erfc(-z / math.sqrt(2)) / 2 == pytest.approx(level, rel=1e-6)
 
 
 def test_initial_distribution(spark):
@@ -263,10 +301,41 @@ def test_fastq_round_trip(spark, tmp_path):
         assert [(r.read_id, r.identifier, r.seq, r.qual, r.len) for r in got] == [(0, "r1", "ACGTACGT", "IIIIIIII", 8), (1, "r2", "AAAAA", "@@@@@", 5)]
 
 
+def test_fastq_across_splits_and_files(spark, tmp_path):
+    rng = random.Random(2)
+    records = [(f"r{i}", "".join(rng.choice("ACGTN") for _ in range(rng.randint(1, 90)))) for i in range(500)]
+    text = ["".join(f"@{n} x\n{s}\n+\n{'@' * len(s)}\n" for n, s in part) for part in (records[:300], records[300:])]
+    for i, t in enumerate(text):
+        (tmp_path / f"{i}.fastq").write_text(t)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700b", "5000b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = sorted((r.read_id, r.identifier, r.seq, r.qual) for r in source.read_fastq(spark, str(tmp_path)).collect())
+            assert got == [(i, n, s, "@" * len(s)) for i, (n, s) in enumerate(records)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.fastq").write_text("")
+    assert source.read_fastq(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_output_names():
+    from datetime import datetime
+
+    from helixframe.config import EngineConfig
+
+    assert source.output_name("run", EngineConfig(k=15)) == "run_K15D7_EautoG1e-20R1e-04.txt"
+    assert source.output_name("run", EngineConfig(k=9, eta=52.4), "_params", "csv", parameters=False, at=datetime(2026, 3, 4, 5, 6)) == "run_0304_0506_params.csv"
+
+
 def test_truth_file(spark, tmp_path):
     f = tmp_path / "truth.txt"
     f.write_text("# errors\nr1 3 A 7 C\n\nr2 1 G\n")
-    assert sorted(tuple(r) for r in source.read_truth(spark, str(f)).collect()) == [("r1", 3, "A"), ("r1", 7, "C"), ("r2", 1, "G")]
+    want = [("r1", 3, "A"), ("r1", 7, "C"), ("r2", 1, "G")]
+    assert sorted(tuple(r) for r in source.read_truth(spark, str(f)).collect()) == want
+    source.write_truth(spark.createDataFrame(want, "identifier string, pos int, base string"), str(tmp_path / "t"))
+    assert sorted(tuple(r) for r in source.read_truth(spark, str(tmp_path / "t")).collect()) == want
 
 
 def test_model_round_trip(spark, tmp_path):
