@@ -71,21 +71,30 @@ def _passes(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str) -> Column:
+#: Spans that are gathered before they join the others: appending to one long array would copy it each time.
+CHUNK = 128
+
+
+def matches(text: Column, pattern: Column | str) -> Column:
     """array<struct<start, end, value>> of a pattern's leftmost matches, in code points.
 
     What lies between matches is split off by the same pattern, so lengths add up to positions.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1)
     lengths = F.transform(found, lambda v, i: F.struct(v.alias("value"), F.length(v).alias("n"), F.length(F.get(gaps, i)).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
+    kind = "array<struct<start:int,end:int,value:string>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("now"), F.array().cast(f"array<{kind}>").alias("done"))
 
     def step(acc: Column, m: Column) -> Column:
         first = acc["at"] + m["gap"]
-        one = F.struct(first.alias("start"), (first + m["n"]).alias("end"), m["value"].alias("value"))
-        return F.struct((first + m["n"]).alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+        one = F.array(F.struct(first.alias("start"), (first + m["n"]).alias("end"), m["value"].alias("value")))
+        full = F.size(acc["now"]) >= CHUNK
+        now = F.when(full, one).otherwise(F.concat(acc["now"], one))
+        done = F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
+        return F.struct((first + m["n"]).alias("at"), now.alias("now"), done.alias("done"))
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["spans"])
+    return F.aggregate(lengths, start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["now"]))
 
 
 def _checked(text: Column, no: int, kind: str) -> Column:
@@ -134,7 +143,7 @@ def found_spans(docs: DataFrame, *, term_chars: int = 4) -> DataFrame:
     return d.select("doc_id", "tag", "spans", F.when(F.col("words").isNotNull(), F.array(*[_least_hash(F.col("words"), i) for i in range(SKETCH)])).alias("sketch"))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, *, term_chars: int = 4, support: int = 2, disclosure: float = 0.8) -> DataFrame | None:
+def disclosing_terms(found: DataFrame, docs: DataFrame, *, term_chars: int = 4, support: int = 2, disclosure: float = 0.95) -> DataFrame | None:
     """The pairs that are scored: entity, term, n_e, n_t, n_et, pmi and discloses. None where no identifier has two documents that are no copies.
 
     Counts are of rows of the whole table. Only texts with such identifiers are moved, and only words that are a candidate with one are counted.
@@ -173,16 +182,18 @@ def term_spans(found: DataFrame, docs: DataFrame, *, term_chars: int = 4, **opti
     telling = shared.written(scored.where("discloses").select(F.col("term").alias("_term")).distinct(), "pii-terms")
     if telling.isEmpty():
         return None
-    words = _texts(docs).select("doc_id", "tag", F.explode(_terms(F.col("text"), term_chars)).alias("term"))
+    own = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(_term_pattern(term_chars)), F.lit(0)))
+    words = _texts(docs).select("doc_id", "tag", F.explode(own).alias("word")).withColumn("term", F.lower("word"))
     uses = shared.divided(words, F.col("term"), telling)[0].join(telling, F.col("term") == F.col("_term"), "left_semi")
-    uses = uses.groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_set("term").alias("_uses"))
+    uses = uses.groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_set("word").alias("_uses"))
     uses = shared.written(uses, "pii-uses")
-    some = shared.divided(_texts(docs).distinct(), F.col("tag"), uses.select("_tag").distinct())[0]
+    some = shared.divided(_texts(docs), F.col("tag"), uses.select("_tag").distinct())[0]
     some = some.join(uses, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")))
-    spans = F.filter(matches(F.col("text"), _term_pattern(term_chars)), lambda m: F.array_contains("_uses", F.lower(m["value"])))
+    # a text is searched for its own few words, which are letters alone
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("_uses", "|"), F.lit(r")(?!\p{L})"))
     no = F.lit(len(PATTERNS))
-    spans = F.transform(spans, lambda m: F.struct(m["start"].alias("start"), no.alias("kind_no"), m["end"].alias("end")))
-    return shared.written(some.select("_doc", "_tag", spans.alias("_terms")), "pii-term-spans", uses)
+    spans = F.transform(matches(F.col("text"), pattern), lambda m: F.struct(m["start"].alias("start"), no.alias("kind_no"), m["end"].alias("end")))
+    return shared.written(some.select("_doc", "_tag", spans.alias("_terms")).dropDuplicates(["_doc", "_tag"]), "pii-term-spans", uses)
 
 
 def _all_spans(base: Column, terms: Column) -> Column:

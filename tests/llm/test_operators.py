@@ -582,7 +582,7 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def brute_terms(rows, support=2, disclosure=0.8):
+def brute_terms(rows, support=2, disclosure=0.95):
     """entity, term -> (n_e, n_t, n_et, pmi, discloses) of (doc_id, text) rows, by plain counting."""
     words = [list(dict.fromkeys(w.lower() for w in regex.findall(r"\p{L}{4,}+", t or ""))) for _, t in rows]
     held = []
