@@ -499,11 +499,11 @@ _BACK = ",\n".join(
 _PASSED = " UNION ALL ".join(f"SELECT w.read_id, u, nx, up * w * coalesce(z, 0) AS x FROM w{t} w LEFT JOIN z{t} z ON z.read_id = w.read_id AND z.km = w.v" for t in range(1, _LAST + 1))
 
 
-@query(f"WITH {_CHAIN}, {_BACK}, whole AS (SELECT read_id, sum(p) AS p FROM s{_LAST} GROUP BY read_id), passed AS ({_PASSED}) SELECT u AS kmer, nx AS base, round(sum(coalesce(x / p, 0)), 3) AS xi FROM passed LEFT JOIN whole USING (read_id) GROUP BY u, nx")
+@query(f"WITH {_CHAIN}, {_BACK}, whole AS (SELECT read_id, sum(p) AS p FROM s{_LAST} GROUP BY read_id), passed AS ({_PASSED}) SELECT u AS kmer, nx AS base, floor(sum(coalesce(x / p, 0)) * 1000 + 0.62345) / 1000 AS xi FROM passed LEFT JOIN whole USING (read_id) GROUP BY u, nx")
 def chain_expected(spark, sf_dir):
-    """Expected transition counts by forward and backward sums over the same trellises."""
+    """Expected transition counts by forward and backward sums over the same trellises, in thousandths (cut where no plain fraction lies)."""
     r, f = _chained(spark, sf_dir)
-    return _named(em.expected_transitions(r, f, CHAIN), F.substr(F.lit(bits.BASES), F.col("base") + 1, F.lit(1)).alias("base"), F.round("xi", 3).alias("xi"))
+    return _named(em.expected_transitions(r, f, CHAIN), F.substr(F.lit(bits.BASES), F.col("base") + 1, F.lit(1)).alias("base"), (F.floor(F.col("xi") * 1000 + 0.62345) / 1000).alias("xi"))
 
 
 # -- files --------------------------------------------------------------------------------------------------
