@@ -687,6 +687,55 @@ def test_passages(docs, texts):
     assert substring.remove_passages(docs).count() == len(texts) and substring.remove_passages(docs).columns == docs.columns
 
 
+def brute_passages(rows, shingle=5, least_words=50, similarity=0.8):
+    """(later doc, words of it in near-duplicate passages) by comparing every text with every earlier one, on the shingles themselves."""
+    number, cover = {}, collections.defaultdict(set)
+    arrays = []
+    for _, t in rows:
+        w = [x.lower() for x in WORD.findall(t or "")]
+        arrays.append(np.array([number.setdefault(tuple(w[i : i + shingle]), len(number)) for i in range(len(w) - shingle + 1)], np.int64))
+    for i, (d, _) in enumerate(rows):
+        for j, (e, _) in enumerate(rows):
+            if e < d:
+                for s, end, _, _, _ in substring.verified(arrays[i], arrays[j], least_words - shingle + 1, similarity, 2 * shingle):
+                    cover[d] |= set(range(s, end + shingle - 1))
+    return cover
+
+
+def edited(passage, n, rng):
+    out = list(passage)
+    for _ in range(n):
+        at = rng.randrange(len(out))
+        kind = rng.random()
+        if kind < 0.6:
+            out[at] = f"e{rng.randrange(10**6)}"
+        elif kind < 0.8:
+            del out[at]
+        else:
+            out.insert(at, f"e{rng.randrange(10**6)}")
+    return out
+
+
+def test_edited_passages_against_all_pairs(spark):
+    rng = random.Random(31)
+    vocab = [f"{rng.choice('bcdfghk')}{rng.randrange(3000)}" for _ in range(1500)]
+    filler = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passages = [filler(rng.choice([60, 80, 120, 250])) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        p = passages[i % 12]
+        rows.append((i, " ".join(filler(rng.randint(5, 60)) + edited(p, 0 if i < 12 else rng.randint(0, len(p) // 60), rng) + filler(rng.randint(5, 60)))))
+    want = brute_passages(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.defaultdict(set)
+    for r in substring.duplicate_passages(d).where("doc_id <> source_doc_id").collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    wanted, found = sum(map(len, want.values())), sum(len(got[i] & want[i]) for i in want)
+    assert len(want) >= 40 and found >= 0.9 * wanted, (found, wanted)
+    assert sum(len(got[i] - want[i]) for i in got) <= 0.02 * wanted
+    print(f"words of near-duplicate passages found: {found} of {wanted}")
+
+
 def test_repeated_passage_in_many_texts(spark):
     rng = random.Random(9)
     passage, line = words(60, rng), words(8, rng)
