@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from helixframe.config import EngineConfig
 from helixframe.functions import bits, emitexpr
-from helixframe.operators import context, em, labels, mstep, oracle, spectrum
+from helixframe.operators import context, em, labels, mstep, oracle, spectrum, split
 from helixframe.plans import sql
 from helixframe.plans.storage import new_folder, stored
 from helixframe.sources import reads as source
@@ -506,6 +506,24 @@ def chain_expected(spark, sf_dir):
     return _named(em.expected_transitions(r, f, CHAIN), F.substr(F.lit(bits.BASES), F.col("base") + 1, F.lit(1)).alias("base"), (F.floor(F.col("xi") * 1000 + 0.62345) / 1000).alias("xi"))
 
 
+_UP = f"""graph AS (SELECT DISTINCT n.km, substr(a.km, 1, 1) || substr(b.km, 1, 1) AS ctx FROM nodes n JOIN edges b ON substr(b.km, 2) || {sql.BASE.replace("b +", "b.b +")} = n.km JOIN edges a ON substr(a.km, 2) || {sql.BASE.replace("b +", "a.b +")} = b.km WHERE n.n_trans > 1)"""
+
+
+@query(f"WITH {sql.spectrum()}, {sql.EDGES}, {_WIDE}, {_UP} SELECT km AS kmer, ctx, (km, ctx) IN (SELECT (km, ctx) FROM ctxs) AS supported FROM graph")
+def graph_contexts(spark, sf_dir):
+    """Contexts of branching k-mers by walking the graph upstream, and whether a read shows them."""
+    r = _reads(spark, sf_dir)
+    c = split.graph_contexts(stored(_nodes(spark, sf_dir), "nodes"), context.context_counts(r, K, D), K, D)
+    return _named(c, bits.kmer_string(F.col("ctx"), D).alias("ctx"), "supported")
+
+
+@query()
+def split_corrections(spark, sf_dir):
+    """Reads corrected by the context-split model, from the initial model."""
+    r = stored(_reads(spark, sf_dir), "reads")
+    return split.decode(r, split.fit(r, em.start(r, CONFIG), CONFIG, D), CONFIG)
+
+
 # -- files --------------------------------------------------------------------------------------------------
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from helixframe.config import EngineConfig
 from helixframe.functions import emitexpr
-from helixframe.operators import em, oracle
+from helixframe.operators import context, em, oracle, spectrum, split
 from helixframe.plans import catalog
 
 CONFIG = EngineConfig(k=11, max_iterations=3)
-SLOW = {"em_fit", "correct_reads", "correction_gain", "read_loglik", "oracle_em", "auto_k", "stream_kmer_count"}
+SLOW = {"em_fit", "correct_reads", "correction_gain", "read_loglik", "split_corrections", "oracle_em", "auto_k", "stream_kmer_count"}
 
 
 @pytest.fixture(scope="module")
@@ -130,6 +130,35 @@ def test_paths_and_reverse_decoding(spark, reads):
     assert both <= alone
 
 
+def test_contexts_decide_after_a_repeat(spark):
+    """Both copies of a repeat occur in the genome; what follows depends on the bases before it."""
+    rng = np.random.default_rng(8)
+    part = lambda n: "".join(rng.choice(list("ACGT"), n))
+    repeat = part(7)
+    genome = part(60) + "CA" + repeat + "A" + part(60) + "GT" + repeat + "C" + part(60)
+    rows = []
+    for i in range(0, len(genome) - 30):
+        other = genome[i : i + 30][::-1].translate(str.maketrans("ACGT", "TGCA"))
+        rows += [(10 * i + j, other if j % 2 else genome[i : i + 30], "I" * 30) for j in range(4)]
+    ends = [genome.index("CA" + repeat), genome.index("GT" + repeat)]
+    wrong = []
+    for n, at in enumerate(ends):  # a read that ends with the base after the repeat, and that base is wrong
+        true = genome[at + 2 + 8 - 30 : at + 2 + 8]
+        wrong.append((90000 + n, true[:-1] + {"A": "C", "C": "A"}[true[-1]], "I" * 29 + "#", true))
+    reads = spark.createDataFrame([(i, f"r{i}", s, q) for i, s, q in rows] + [(i, f"r{i}", s, q) for i, s, q, _ in wrong], "read_id long, identifier string, seq string, qual string")
+    c = EngineConfig(k=7)
+    fitted = em.start(reads, c)
+    for config in (c, c.with_(broadcast_bytes=0)):
+        s = split.fit(reads, fitted, config, 2)
+        assert len(s.fit.loglik) == split.ITERATIONS and s.fit.loglik[-1] >= s.fit.loglik[0]
+        done = {r.read_id: r for r in split.decode(reads, s, config).where("read_id >= 90000").collect()}
+        assert [done[i].seq for i, *_ in wrong] == [t for *_, t in wrong]
+    counts = context.context_counts(reads, 7, 2)
+    graph = {(r.kid, r.ctx) for r in split.graph_contexts(spectrum.nodes(spectrum.count_spectrum(reads, 7)), counts, 7, 2).where("supported").collect()}
+    pack = lambda x: sum("ACTG".index(b) << (2 * i) for i, b in enumerate(x))
+    assert {(pack(repeat), pack("CA")), (pack(repeat), pack("GT"))} <= graph
+
+
 def test_context_language(spark):
     d = spark.createDataFrame([([1, 2, 3, 4], [0, 2, 3, 1], [2, 30, 40, 2])], "x array<int>, s array<int>, y array<int>")
     names = {"x": "x", "s": "s", "y": "y"}
