@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass, replace
 
 
+def log_to(path: str | None = None, level: int = logging.INFO) -> logging.Logger:
+    """The engine's messages with their time on the standard error stream, and in a file too if a path is given."""
+    log = logging.getLogger("helixframe")
+    log.setLevel(level)
+    for handler in (logging.StreamHandler(), *([logging.FileHandler(path)] if path else [])):
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(handler)
+    return log
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     k: int = 15

@@ -246,6 +246,26 @@ def hamming_neighbours(node_table: DataFrame, ids: DataFrame, k: int, d: int) ->
     return probes.join(node_table.select(F.col("kid").alias("other")), "other", "left_semi").select("kid", "other")
 
 
+def _observed_mass(reads: DataFrame, mass: DataFrame, k: int) -> DataFrame:
+    """read_id, pos, mass (kid, mass) of the reads' k-mers; those with N or outside the table are left out."""
+    seen = explode_kmers(reads, k, both_strands=False, places=True).select("read_id", "pos", "kid")
+    return seen.join(mass.select("kid", "mass"), "kid").select("read_id", "pos", "mass")
+
+
+def starting_positions(reads: DataFrame, mass: DataFrame, k: int, rho: float) -> DataFrame:
+    """read_id, start: the first place whose k-mer has a mass above ``rho``; the number of places where none has."""
+    first = _observed_mass(reads, mass, k).where(F.col("mass") > rho).groupBy("read_id").agg(F.min("pos").alias("start"))
+    return reads.where(F.length("seq") > k).select("read_id", (F.length("seq") - k + 1).alias("none")).join(first, "read_id", "left").select("read_id", F.coalesce("start", "none").alias("start"))
+
+
+def coverage_caps(reads: DataFrame, mass: DataFrame, k: int, rho: float, high: float, most: int) -> DataFrame:
+    """read_id, cap: a Hamming cap by coverage: ``most``; half of it where every k-mer's mass exceeds ``rho``, a quarter where their mean also exceeds ``high``."""
+    seen = _observed_mass(reads, mass, k).groupBy("read_id").agg(F.avg("mass").alias("mean"), F.min("mass").alias("least"), F.count(F.lit(1)).alias("n"))
+    d = reads.where(F.length("seq") > k).select("read_id", (F.length("seq") - k + 1).alias("places")).join(seen, "read_id", "left")
+    covered = (F.col("n") == F.col("places")) & (F.col("least") > rho)
+    return d.select("read_id", F.when(covered & (F.col("mean") > high), most // 4).when(covered, most // 2).otherwise(most).alias("cap"))
+
+
 def low_coverage_runs(reads: DataFrame, node_table: DataFrame, k: int, least: int) -> DataFrame:
     """read_id, start, n: maximal runs of places whose k-mers have a coverage below ``least`` (absent ones count as 0)."""
     seen = explode_kmers(reads, k, both_strands=False, places=True).select("read_id", "pos", "kid")

@@ -383,6 +383,23 @@ def low_coverage_runs(spark, sf_dir):
     return spectrum.low_coverage_runs(r, _nodes(spark, sf_dir), K, 5).select("read_id", "start", "n")
 
 
+_PLACES = f"seen_mass AS (SELECT read_id, pos - 1 AS pos, total FROM fwd JOIN nodes USING (km))"
+
+
+@query(f"WITH {sql.spectrum()}, {_PLACES}, f AS (SELECT read_id, min(pos) AS start FROM seen_mass WHERE total > 5 GROUP BY read_id) SELECT reads.read_id, CAST(coalesce(start, len - {K} + 1) AS INTEGER) AS start FROM reads LEFT JOIN f USING (read_id) WHERE len > {K}")
+def start_positions(spark, sf_dir):
+    """Where decoding may begin: the first k-mer counted more than five times."""
+    r = _reads(spark, sf_dir)
+    return spectrum.starting_positions(r, _nodes(spark, sf_dir).select("kid", F.col("total").alias("mass")), K, 5)
+
+
+@query(f"""WITH {sql.spectrum()}, {_PLACES}, c AS (SELECT read_id, avg(total) AS mean, min(total) AS least, count(*) AS n FROM seen_mass GROUP BY read_id)
+SELECT reads.read_id, CAST(CASE WHEN n = len - {K} + 1 AND least > 2 AND mean > 20 THEN 1 WHEN n = len - {K} + 1 AND least > 2 THEN 3 ELSE 7 END AS INTEGER) AS cap FROM reads LEFT JOIN c USING (read_id) WHERE len > {K}""")
+def coverage_caps(spark, sf_dir):
+    r = _reads(spark, sf_dir)
+    return spectrum.coverage_caps(r, _nodes(spark, sf_dir).select("kid", F.col("total").alias("mass")), K, 2, 20, 7)
+
+
 # -- fitting and decoding (SQL where it does not iterate) ----------------------------------------------------------
 
 

@@ -68,3 +68,38 @@ def test_logs(spark):
 def test_generators():
     assert len(bits.error_masks(6, 2)) == bits.binomial(6, 2) == 15
     assert len(bits.error_patterns(2)) == 16
+
+
+def test_messages_are_teed(tmp_path):
+    import logging
+
+    from helixframe.config import log_to
+
+    log = log_to(str(tmp_path / "log"))
+    try:
+        log.info("iteration %d", 3)
+        for h in log.handlers:
+            h.flush()
+        assert (tmp_path / "log").read_text().endswith("INFO iteration 3\n")
+    finally:
+        log.handlers.clear()
+        log.setLevel(logging.NOTSET)
+
+
+def test_emission_helpers(spark):
+    import math
+
+    lp = [math.log(x) for x in (0.9, 0.04, 0.03, 0.02, 0.01)]
+    d = spark.createDataFrame([(lp, 3, 2, [3.0, 5.0, 5.0, 1.0])], "lp array<double>, flag int, hd int, v array<double>")
+    r = d.select(
+        bits.normalized_emission(F.col("lp"), F.col("flag"), F.lit(0)).alias("a"),
+        bits.normalized_emission(F.col("lp"), F.lit(15), F.lit(1)).alias("b"),
+        bits.renormalized(F.transform("lp", lambda x: x + 1)).alias("c"),
+        bits.descending_order(F.col("v")).alias("o"),
+        bits.emission_context(F.lit(3), F.col("hd")).alias("e"),
+        bits.emission_context(F.lit(3)).alias("f"),
+        bits.quality_context(F.lit(1), F.lit(1), F.lit(9)).alias("q"),
+        bits.quality_context(F.lit(1), F.lit(2)).alias("p"),
+    ).first()
+    assert r.a == pytest.approx(math.log(0.9 / (0.9 + 0.04 + 0.01))) and r.b == pytest.approx(lp[1])
+    assert r.c == pytest.approx(lp) and r.o == [1, 2, 0, 3] and (r.e, r.f, r.q, r.p) == (11, 3, 7, 0)
