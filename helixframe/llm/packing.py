@@ -99,8 +99,9 @@ def pack(
     capacity: int = 2048,
     linear: float = 1.0,
     quadratic: float = 1.0 / 1024,
-    block_tokens: int = 4_000_000,
+    block_tokens: int = 1_000_000,
     keep_ids: bool = False,
+    table_rows: int = textids.TABLE_ROWS,
 ) -> DataFrame:
     """Packs the texts of ``docs`` (doc_id, text) with the word vocabulary at ``tokenizer_path``.
 
@@ -110,13 +111,13 @@ def pack(
 
     A null text counts as empty, which gives the end id alone. A null or repeated
     doc_id is kept: every row is packed for itself. An empty table gives no rows.
-    Other columns are ignored. Memory: one block (``block_tokens`` ids) and one batch.
+    Other columns are ignored. Memory: one block (``block_tokens`` ids), one batch, and the table of distinct chunks (``table_rows``).
     """
     shared.small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = textids.library_table(tokenizer_path, False)
+        table = textids.library_table(tokenizer_path, False, table_rows)
         packer = _Packer(TaskContext.get().partitionId() << 40, capacity, block_tokens, linear, quadratic, keep_ids)
         end = np.array([end_id], "<u4").tobytes()
         for b in shared.sliced(batches):
