@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates (five-word shingles, a similarity of 0.8) the document with the smallest doc_id stays."""
     return simhash.keep_one(docs)
 
 
@@ -35,8 +35,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of sequences of 2048 tokens; a smaller table of chunks, as the workers of all stages share the executors."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), table_rows=60_000)
 
 
 STAGES = [
