@@ -35,8 +35,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens; a smaller table of chunks, as the workers of all stages share the executors."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), table_rows=60_000)
+    """Pieces of sequences of 2048 tokens; a smaller table of chunks and no vocabulary that outlasts a task, as the
+    workers of all stages share the executors."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), table_rows=60_000, keep_vocabulary=False)
 
 
 STAGES = [
