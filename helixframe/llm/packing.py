@@ -102,6 +102,7 @@ def pack(
     block_tokens: int = 1_000_000,
     keep_ids: bool = False,
     table_rows: int = textids.TABLE_ROWS,
+    keep_vocabulary: bool = True,
 ) -> DataFrame:
     """Packs the texts of ``docs`` (doc_id, text) with the word vocabulary at ``tokenizer_path``.
 
@@ -112,6 +113,7 @@ def pack(
     A null text counts as empty, which gives the end id alone. A null or repeated
     doc_id is kept: every row is packed for itself. An empty table gives no rows.
     Other columns are ignored. Memory: one block (``block_tokens`` ids), one batch, and the table of distinct chunks (``table_rows``).
+    Without ``keep_vocabulary`` a worker loads the vocabulary for every task and gives its memory back.
     """
     shared.small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -125,7 +127,8 @@ def pack(
                 packer.add(doc_id, ids + end)
             yield packer.batch()
         packer.flush()
-        textids.forget()  # other operators' stages share the worker's memory
+        del table
+        textids.forget(not keep_vocabulary)  # other operators' stages share the worker's memory
         yield packer.batch()
 
     out = source.mapInArrow(shared.releasing(run), SCHEMA)

@@ -248,8 +248,10 @@ def ends_in_letter(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> np.
 _tables: dict = {}
 
 
-def forget() -> None:
-    """Gives the tables' memory back; the next task starts with empty ones."""
+def forget(vocabulary: bool = False) -> None:
+    """Gives the tables' memory back; the next task starts with empty ones. vocabulary: the tokenizers go too, and are loaded again."""
+    if vocabulary:
+        _tables.clear()
     for t in _tables.values():
         for g in (t.first, t.rest):
             g.new, g.old = {}, {}
