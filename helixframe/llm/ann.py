@@ -135,10 +135,9 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
     return part.groupBy("vector").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
 
 
-def blocks_of(rows: int, least: int, most: int, parallel: int) -> int:
-    """Into how many blocks ``rows`` go: enough for ``parallel`` tasks, of at least ``least`` and at most ``most`` rows."""
-    size = min(max(-(-rows // max(parallel, 1)), least), most)
-    return max(1, -(-rows // size))
+def blocks_of(n: int, most: int, parallel: int = 1, least: int = 64) -> int:
+    """Into how many blocks of at most ``most`` ``n`` go: ``parallel`` if these hold at least ``least`` each."""
+    return max(1, -(-n // most), min(parallel, n // least))
 
 
 def search(
@@ -151,7 +150,6 @@ def search(
     rerank: int = 100,
     query_block: int = 4096,
     row_block: int = 262_144,
-    least_rows: int = 2048,
     train_rows: int = 10_000,
     train_rounds: int = 4,
     seed: int = 7,
@@ -165,6 +163,7 @@ def search(
 
     The quantiser is fitted to at most ``train_rows`` distinct vectors; all rows are encoded and searched. A cell holds at most
     ``row_block`` codes and ``query_block`` queries, a block for reranking ``query_block / 4`` queries with the vectors they ask for.
+    Tasks come from blocks of queries, which copy codes, rather than from blocks of rows, each of which finds ``rerank`` rows a query.
     """
     spark = table.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -180,7 +179,8 @@ def search(
         sample = own.orderBy(F.xxhash64("vector")).limit(train_rows).select("vector").toArrow().column(0)
         x = np.stack([np.asarray(v, np.float32) for v in sample.to_pylist()])
         quantiser = spark.sparkContext.broadcast(Quantiser(size, sub_dims, eta).train(x, train_rounds, seed))  # 16 centres a subspace
-        row_blocks, query_blocks = blocks_of(own.count(), least_rows, row_block, 2 * n), max(1, -(-query.count() // query_block))
+        n_query, parallel = query.count(), max(1, n // 2)
+        row_blocks, query_blocks = blocks_of(own.count(), row_block), blocks_of(n_query, query_block, parallel)
         code = own.select("row", "vector").mapInArrow(_encoder(quantiser), "row long, code binary")
         left = code.select(F.pmod(F.xxhash64("row"), F.lit(row_blocks)).cast("int").alias("rb"), F.explode(numbers(query_blocks)).alias("qb"), F.col("row").alias("id"), "code", none.cast("array<double>").alias("vector"))
         right = query.select(F.explode(numbers(row_blocks)).alias("rb"), F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int").alias("qb"), F.col("query").alias("id"), none.cast("binary").alias("code"), "vector")
@@ -188,7 +188,7 @@ def search(
         near = cells.mapInArrow(_grouped(2, lambda t, q=quantiser: scan_cell(t, q.value, rerank)), "query long, row long, about float")
         best = Window.partitionBy("query").orderBy(F.desc("about"), "row")
         near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query", "row")
-        groups = max(1, -(-4 * query.count() // query_block), min(2 * n, query.count() // 64))
+        groups = blocks_of(n_query, max(1, query_block // 4), parallel)
         near = shared.written(near.withColumn("group", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")), "ann-near")
         wanted = near.groupBy("group", "row").agg(F.lit(1).alias("one")).join(own, "row").select("group", "row", "vector", "ids", none.cast("long").alias("query"), none.cast("long").alias("query_id"), none.cast("array<long>").alias("near"))
         lists = near.groupBy("query").agg(F.sort_array(F.collect_list("row")).alias("near"))  # at most rerank
