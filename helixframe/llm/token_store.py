@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared, textids
@@ -33,7 +33,7 @@ FOOT = struct.Struct("<Q8s")
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n_ids", "<u4")])
 DICTIONARY = "dictionary-0.zdict"
 #: Distinct chunks in one generation of a worker's table.
-TABLE_ROWS = 450_000
+TABLE_ROWS = 300_000
 
 
 def train_dictionary(source: DataFrame, tokenizer_path: str, *, sample_docs: int = 2000, sample_chars: int = 20_000, dict_bytes: int = 112_640) -> bytes:
@@ -136,13 +136,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2,
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """Reads the shards of ``manifest`` back: doc_id, start (ids of all documents before it), n_ids, ids_crc32, ids.
 
-    The manifest has one small row per file; its running sum is made on the driver.
+    The manifest has one small row per file; its running sum is one task's.
     """
-    rows, start, listed = sorted(manifest.select("shard", "part", "file", "n_ids").collect()), 0, []
-    for r in rows:
-        listed.append((r.file, start))
-        start += r.n_ids
-    plan = spark.createDataFrame(listed, "file string, start long").repartition(max(1, len(listed)))
+    before = F.sum("n_ids").over(Window.orderBy("shard", "part")) - F.col("n_ids")
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    plan = manifest.withColumn("start", before).repartition(n_tasks, "shard", "part").select("file", "start")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = shared.filesystem(folder)
