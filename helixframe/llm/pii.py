@@ -146,8 +146,10 @@ def found_spans(docs: DataFrame, *, term_chars: int = 4) -> DataFrame:
 def disclosing_terms(found: DataFrame, docs: DataFrame, *, term_chars: int = 4, support: int = 2, disclosure: float = 0.95) -> DataFrame | None:
     """The pairs that are scored: entity, term, n_e, n_t, n_et, pmi and discloses. None where no identifier has two documents that are no copies.
 
-    Counts are of rows of the whole table. Only texts with such identifiers are moved, and only words that are a candidate with one are counted.
+    Counts are of rows of the whole table; the terms of all texts are counted once, whatever identifiers there are. Only texts with such identifiers are moved.
     """
+    words = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")), term_chars)).alias("term"))
+    counts = shared.written(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= support), "pii-words")
     entities = F.array_distinct(F.transform("spans", lambda s: _entity(s["kind_no"], s["value"])))
     mention = found.where(F.size("spans") > 0).select("doc_id", "tag", "sketch", F.explode(entities).alias("entity"))
     # the typical document of an identifier is one with the commonest first hash
@@ -166,8 +168,6 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, *, term_chars: int = 4,
     both = some.select("held", F.explode(_terms(F.col("text"), term_chars)).alias("term")).select("term", F.explode("held").alias("h")).select("term", "h.*")
     pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.max("other").alias("other"), F.first("n_e").alias("n_e")).where((F.col("n_et") >= support) & F.col("other")).drop("other")
     pairs = shared.written(pairs, "pii-pairs")
-    words = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")), term_chars)).alias("term"))
-    counts = shared.divided(words, F.col("term"), pairs.select("term").distinct())[0].groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     rows, n_pairs = docs.count(), pairs.count()
     scored = pairs.join(counts, "term").withColumn("pmi", F.ln(F.col("n_et") * F.lit(float(rows)) / F.col("n_e") / F.col("n_t")))
     tells = (F.col("n_e") < rows) & (F.col("pmi") >= disclosure * F.ln(F.lit(float(rows)) / F.col("n_e"))) & (F.col("n_et") * F.col("pmi") >= F.lit(math.log(max(n_pairs, 1))))
