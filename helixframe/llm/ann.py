@@ -147,7 +147,7 @@ def search(
     k: int = 20,
     sub_dims: int = 2,
     eta: float = 4.0,
-    rerank: int = 100,
+    rerank: int = 400,
     query_block: int = 4096,
     row_block: int = 262_144,
     train_rows: int = 10_000,
