@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import bits
-from helixframe.operators import mstep
-from helixframe.operators.spectrum import explode_kmers
+from helixframe.operators import mstep, packed
 
 #: Fixed value: contexts kept per k-mer at most.
 MOST_CONTEXTS = 127
@@ -20,8 +19,7 @@ MOST_CONTEXTS = 127
 
 def context_counts(reads: DataFrame, k: int, d: int) -> DataFrame:
     """kid, ctx (packed bases before it), base, n over the reads' forward strand; k + d must not exceed 31."""
-    wide = explode_kmers(reads, k + d, both_strands=False).where("nxt is not null")
-    return wide.groupBy("kid", F.col("nxt").cast("int").alias("base")).agg(F.count(F.lit(1)).alias("n")).select(F.shiftrightunsigned("kid", 2 * d).alias("kid"), F.col("kid").bitwiseAND(F.lit((1 << (2 * d)) - 1)).alias("ctx"), "base", "n")
+    return packed.transitions_of(reads, k + d).select(F.shiftrightunsigned("kid", 2 * d).alias("kid"), F.col("kid").bitwiseAND(F.lit((1 << (2 * d)) - 1)).alias("ctx"), "base", "n")
 
 
 def upstream_contexts(counts: DataFrame, node_table: DataFrame, rho: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.config import EngineConfig
 from helixframe.functions import bits
-from helixframe.operators import em, kernel, spectrum
+from helixframe.operators import em, kernel, packed, spectrum
 from helixframe.plans.storage import stored
 
 
@@ -22,8 +22,8 @@ def apply_truth(reads: DataFrame, truth: DataFrame) -> DataFrame:
 
 def missing_kmers(reads: DataFrame, true_reads: DataFrame, k: int) -> DataFrame:
     """kid, n: k-mers of the true reads that the observed reads never show."""
-    seen = spectrum.explode_kmers(reads, k).select("kid").distinct()
-    return spectrum.explode_kmers(true_reads, k, both_strands=False).groupBy("kid").agg(F.count(F.lit(1)).alias("n")).join(seen, "kid", "left_anti")
+    seen = spectrum.count_spectrum(reads, k).select("kid")
+    return packed.sightings_of(true_reads, k).join(seen, "kid", "left_anti")
 
 
 def true_transitions(reads: DataFrame, true_reads: DataFrame, k: int) -> DataFrame:
@@ -32,7 +32,7 @@ def true_transitions(reads: DataFrame, true_reads: DataFrame, k: int) -> DataFra
     Transitions that no true read takes on either strand are dropped; a second tally over what is left would count the same.
     """
     node_table = spectrum.nodes(spectrum.count_spectrum(reads, k)).select("kid", "flag")
-    tally = spectrum.explode_kmers(true_reads, k, both_strands=False).where("nxt is not null").groupBy("kid", F.col("nxt").cast("int").alias("base")).agg(F.count(F.lit(1)).alias("n"))
+    tally = packed.transitions_of(true_reads, k)
     rkid = bits.rc_id(bits.successor(F.col("kid"), F.col("base"), k), k)
     back = tally.select(rkid.alias("kid"), bits.complement_bits(bits.first_base(F.col("kid"))).alias("base"), "n")
     joint = tally.unionByName(back).groupBy("kid", "base").agg(F.sum("n").alias("n"))
@@ -49,7 +49,7 @@ def true_table(transitions: DataFrame, true_reads: DataFrame, k: int) -> DataFra
     ends = t.select(bits.successor(F.col("kid"), F.col("base"), k).alias("kid")).distinct().join(model.select("kid"), "kid", "left_anti")
     model = model.unionByName(ends.select("kid", F.lit(0.0).alias("mass"), F.lit(0).alias("flag"), *[F.lit(None).cast("double").alias(f"lp{b}") for b in range(4)]))
     whole = model.agg(F.sum("mass")).first()[0] or 1.0
-    genomic = spectrum.explode_kmers(true_reads, k, both_strands=False).select("kid").distinct().withColumn("genomic", F.lit(True))
+    genomic = packed.sightings_of(true_reads, k).select("kid").withColumn("genomic", F.lit(True))
     model = model.join(genomic, "kid", "left")
     return model.select("kid", F.lit(0).alias("label"), "flag", "mass", bits.safe_log(F.col("mass") / whole).alias("log_init"), *[f"lp{b}" for b in range(4)], F.coalesce("genomic", F.lit(False)).alias("genomic"))
 
