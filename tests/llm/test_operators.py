@@ -736,6 +736,32 @@ def test_edited_passages_against_all_pairs(spark):
     print(f"words of near-duplicate passages found: {found} of {wanted}")
 
 
+def test_cut_copies_with_an_edit_each_find_every_earlier_one(spark):
+    # 28 texts with a piece of one passage each, every piece edited once: few pairs share enough, and mostly not with a group's first
+    rng = random.Random(6)
+    filler = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    passage, rows = filler(140), []
+    for i in range(28):
+        at = rng.randrange(80)
+        rows.append((i, " ".join(filler(15) + edited(passage[at : at + rng.randint(52, 60)], 1, rng) + filler(15))))
+    want, got = brute_passages(rows), collections.defaultdict(set)
+    for r in substring.duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    assert sum(map(len, want.values())) > 300
+    assert not {i: want[i] - got[i] for i in want if want[i] - got[i]}
+
+
+def test_rows_of_a_small_key_are_linked_each_to_each():
+    rng = np.random.default_rng(2)
+    sizes = [1, 2, substring.EACH_ROWS, substring.EACH_ROWS + 1]
+    key = np.repeat(np.arange(4), sizes)
+    left, right = (rng.integers(-(2**63), 2**63 - 1, len(key)) for _ in range(2))
+    a, b, _ = substring._links_within(key, left, right, np.arange(len(key)) << 40)
+    assert (key[a] == key[b]).all() and (a > b).all() and len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(a)
+    assert [int((key[a] == i).sum()) for i in range(3)] == [n * (n - 1) // 2 for n in sizes[:3]]
+    assert set(a[key[a] == 3].tolist()) | set(b[key[a] == 3].tolist()) == set(np.flatnonzero(key == 3).tolist())
+
+
 def test_repeated_passage_in_many_texts(spark):
     rng = random.Random(9)
     passage, line = words(60, rng), words(8, rng)
