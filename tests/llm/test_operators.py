@@ -775,6 +775,16 @@ def test_repeated_passage_in_many_texts(spark):
     assert sum(len(found[i]) >= 55 for i in wanted) >= 0.95 * len(wanted)
 
 
+def test_texts_of_a_batch_look_their_chunks_up_together(monkeypatch):
+    path, looked = public_tokenizers.path("byte_bpe_50k.json"), []
+    get = textids.Generations.get
+    monkeypatch.setattr(textids.Generations, "get", lambda self, keys: looked.append(len(keys)) or get(self, keys))
+    table, texts = textids.LibraryTable(path, True), ["alpha beta gamma " * 50_000 + "end"] * 3
+    ids = list(table.ids(texts))
+    assert sum(looked) <= 6  # alpha with and without a space before it, beta, gamma, end
+    assert ids[0] == ids[1] == ids[2] == table.whole(texts[0])
+
+
 def test_compact_windows_cover_all_subsequences():
     rng = np.random.default_rng(1)
     for least in (3, 6):
