@@ -199,3 +199,14 @@ def test_queries_match_sql(spark, tables, name, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_scores_of_all_paths_and_of_the_best_come_from_one_trellis(spark, reads):
+    c = CONFIG.with_(search_first=False, adaptive=False, max_hamming=1)
+    some = reads.limit(200)
+    f = em.counted(reads, c)
+    both = {x.read_id: (x.loglik, x.best) for x in em.read_scores(some, f, c, best=True).collect()}
+    assert {i: x[0] for i, x in both.items()} == {x.read_id: x.loglik for x in em.read_scores(some, f, c).collect()}
+    scored = [x for x in both.values() if x[0] is not None]
+    assert scored and all(best is not None and best <= ll + 1e-9 for ll, best in scored)
+    assert any(best < ll - 1e-6 for ll, best in scored)
