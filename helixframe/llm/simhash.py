@@ -239,8 +239,8 @@ def partitions_for(n: int, tau: int, row_cost: float, block: int) -> int:
 
 
 STORED, PROBE = 1, 2
-#: Rows whose buckets are compared together.
-VERIFY_ROWS = 16_384
+#: Rows whose buckets are compared together; a bucket's rows up to which all of them meet; comparisons that are held at once.
+VERIFY_ROWS, SMALL_GROUP, TABLE = 16_384, 32, 1 << 17
 
 
 def _probes(fp: np.ndarray, plan: Plan, block: int) -> tuple[np.ndarray, ...]:
@@ -295,41 +295,60 @@ def forest(group: np.ndarray, fp: np.ndarray, role: np.ndarray, tau: int, fp2: n
             x = parent[x]
         return x
 
-    links, label = [], np.arange(n)
+    linked, label = set(), np.arange(n)
 
-    def stars():
-        """Every row to the first one of its tree: paths of the forest would take more rounds to contract."""
-        return [(x, root(x)) for x in sorted({y for pair in links for y in pair}) if root(x) != x]
-
-    ends = np.searchsorted(group, group, side="right")
-    at, shift, work, stale = np.arange(n), 1, 0, False
-    while True:
-        at = at[ends[at] > at + shift]
-        if not len(at):
-            return stars()
-        other = at + shift
-        bits = np.bitwise_count(fp[at] ^ fp[other])
-        near = bits <= tau
-        if fp2 is not None:
-            near &= bits + np.bitwise_count(fp2[at] ^ fp2[other]) <= tau_all
-        near &= label[at] != label[other]
-        a, b = at[near], other[near]
-        meet = ((role[a] & PROBE) != 0) & ((role[b] & STORED) != 0) | ((role[a] & STORED) != 0) & ((role[b] & PROBE) != 0)
-        for x, y in zip(a[meet].tolist(), b[meet].tolist(), strict=True):
+    def join(a, b):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
             rx, ry = root(x), root(y)
             if rx != ry:
                 parent[max(rx, ry)] = min(rx, ry)
-                links.append((x, y))
-                stale = True
-        work += int(meet.sum())
-        if stale and work > n:  # joined rows need no further look
-            label, work, stale = np.array(parent), 0, False
-            while (label != label[label]).any():
-                label = label[label]
-        shift += 1
+                linked.update((x, y))
 
+    def near(a, b):
+        bits = np.bitwise_count(fp[a] ^ fp[b])
+        return (bits <= tau) if fp2 is None else (bits <= tau) & (bits + np.bitwise_count(fp2[a] ^ fp2[b]) <= tau_all)
 
-def links(classes: DataFrame, *, tau: int = 3, tau_all: int | None = None, partitions: int | None = None, coarse: int = 16, row_cost: float = 200.0, block: int = 4096) -> DataFrame:
+    starts = np.flatnonzero(np.diff(group, prepend=group[:1] - 1)) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, n))
+    # small groups: all rows meet the next one, then the one after, and so on
+    ends, at, shift = np.repeat(starts + sizes, sizes), np.flatnonzero(np.repeat(sizes <= SMALL_GROUP, sizes)), 1
+    while len(at := at[ends[at] > at + shift]):
+        other = at + shift
+        meet = ((role[at] & PROBE) != 0) & ((role[other] & STORED) != 0) | ((role[at] & STORED) != 0) & ((role[other] & PROBE) != 0)
+        a, b = at[meet], other[meet]
+        hit = near(a, b)
+        join(a[hit], b[hit])
+        shift += 1
+    # large groups: tables of stored rows by probes
+    for lo, size in zip(starts[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist(), strict=True):
+        own = role[lo : lo + size]
+        stored, probes = lo + np.flatnonzero(own & STORED), lo + np.flatnonzero(own & PROBE)
+        if not len(stored) or not len(probes):
+            continue
+        step, sought = max(1, TABLE // len(probes)), fp[probes]
+        for i in range(0, len(stored), step):
+            part = stored[i : i + step]
+            a, b = np.divmod(np.flatnonzero(np.bitwise_count(fp[part][:, None] ^ sought) <= tau), len(probes))
+            a, b = part[a], probes[b]
+            left = label[a] != label[b]  # joined rows need no further look
+            if fp2 is not None:
+                left &= near(a, b)
+            while len(a := a[left]):
+                b = b[left]
+                first = np.zeros(n, np.int64)
+                for x in (a, b):  # each row's first link of those left: components that have one at least halve
+                    first[x[::-1]] = np.arange(len(x))[::-1]
+                    take = np.flatnonzero(first[x] == np.arange(len(x)))
+                    join(a[take], b[take])
+                mine = np.array(parent[lo : lo + size])
+                while (mine != mine[mine - lo]).any():
+                    mine = mine[mine - lo]
+                label[lo : lo + size] = mine
+                left = label[a] != label[b]
+    return [(x, root(x)) for x in sorted(linked) if root(x) != x]  # stars: paths of the forest would take more rounds to contract
+
+
+def links(classes: DataFrame, *, tau: int = 3, tau_all: int | None = None, partitions: int | None = None, coarse: int = 16, row_cost: float = 1500.0, block: int = 4096) -> DataFrame:
     """(u, v): links that have the same components as all links between the distinct fingerprints ``classes``.
 
     classes (fp): links within ``tau`` of fp; u and v are fingerprints. classes (fp, fp2, node): links within ``tau`` of fp and
@@ -346,17 +365,19 @@ def links(classes: DataFrame, *, tau: int = 3, tau_all: int | None = None, parti
         for b in shared.sliced(batches):
             key, blk, role, row = _probes(b.column(0).to_numpy().view("u8"), shipped.value, block)
             taken = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(blk.astype("i4")), pa.array(role), *[b.column(i).take(taken) for i in range(len(own))]], ["key", "block", "role", *own])
+            # one number, so Spark sorts by it without comparing rows; blocks that chance gives the same one only meet in addition
+            bucket = _mix(key + blk.astype("u8") * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.view("i8")), pa.array(role), *[b.column(i).take(taken) for i in range(len(own))]], ["bucket", "role", *own])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            held.append([b.column(i).to_numpy() for i in range(3 + len(own))])
+            held.append([b.column(i).to_numpy() for i in range(2 + len(own))])
             n += b.num_rows
             if n < VERIFY_ROWS:
                 continue
             rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            last = np.flatnonzero(rows[0] != rows[0][-1])
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 yield found([x[:cut] for x in rows])
@@ -365,16 +386,16 @@ def links(classes: DataFrame, *, tau: int = 3, tau_all: int | None = None, parti
             yield found([np.concatenate(x) for x in zip(*held, strict=True)])
 
     def found(rows):
-        key, blk, role, fp, *more = rows
-        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (blk[1:] != blk[:-1])]))
+        bucket, role, fp, *more = rows
+        group = np.cumsum(np.concatenate([[0], bucket[1:] != bucket[:-1]]))
         fp2 = more[0].view("u8") if wide else None
         pairs = np.array(forest(group, fp.view("u8"), role, tau, fp2, tau_all or 0), dtype=np.int64).reshape(-1, 2)
         name = more[1] if wide else fp
         return pa.RecordBatch.from_arrays([pa.array(name[pairs[:, k]]) for k in (0, 1)], ["u", "v"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = classes.select(*own).mapInArrow(shared.releasing(deal), "key long, block int, role byte, " + ", ".join(f"{c} long" for c in own))
-    return dealt.repartition(n, "key", "block").sortWithinPartitions("key", "block", "fp").mapInArrow(shared.releasing(verify), "u long, v long")
+    dealt = classes.select(*own).mapInArrow(shared.releasing(deal), "bucket long, role byte, " + ", ".join(f"{c} long" for c in own))
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.releasing(verify), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, **linking) -> DataFrame:

@@ -123,6 +123,37 @@ def similar_pair(rng, n, share):
         b[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
 
 
+def test_rows_of_a_bucket_meet_only_what_they_probe(monkeypatch):
+    rng, count, compared = np.random.default_rng(3), np.bitwise_count, []
+    monkeypatch.setattr(np, "bitwise_count", lambda x: (compared.append(np.size(x)), count(x))[1])
+    fp = rng.integers(0, 1 << 63, 3000).astype("u8")
+    fp[1500] = fp[10] ^ np.uint64(7)
+    fp[2500] = fp[1500] ^ np.uint64(1 << 40)
+    role = np.full(3000, simhash.PROBE, np.int8)
+    role[[10, 20, 1500]] = simhash.STORED, simhash.STORED | simhash.PROBE, simhash.STORED | simhash.PROBE
+    assert simhash.forest(np.zeros(3000, int), fp, role, 10) == [(1500, 10), (2500, 10)]
+    assert sum(compared) < 4 * 3 * 3000  # all pairs before: 4.5 million
+
+
+def test_forests_join_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    for n, tau in [(0, 2), (1, 2), (300, 2), (300, 4), (900, 3)]:
+        group, fp, fp2 = np.sort(rng.integers(0, 5, n)), rng.integers(0, 1 << 12, n).astype("u8"), rng.integers(0, 1 << 6, n).astype("u8")
+        role = rng.choice(np.array([simhash.STORED, simhash.PROBE, simhash.PROBE, simhash.STORED | simhash.PROBE], np.int8), n)
+        least, bits = np.arange(n), lambda i, j, x: np.bitwise_count(x[i] ^ x[j])  # noqa: B023
+        pairs = [(i, j) for i in range(n) for j in range(i) if group[i] == group[j] and bits(i, j, fp) <= tau and bits(i, j, fp) + bits(i, j, fp2) <= tau + 1 and (role[i] & 1 and role[j] & 2 or role[i] & 2 and role[j] & 1)]
+        for links in (pairs, simhash.forest(group, fp, role, tau, fp2, tau + 1)):
+            own = np.arange(n)
+            for _ in range(n):
+                before = own.copy()
+                for i, j in links:
+                    own[i] = own[j] = min(own[i], own[j])
+                if (own == before).all():
+                    break
+            assert links is pairs or (own == least).all()
+            least = own
+
+
 def test_similar_groups_equal_brute_force(spark):
     rng = random.Random(21)
     rows = []
