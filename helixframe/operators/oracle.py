@@ -26,40 +26,47 @@ def missing_kmers(reads: DataFrame, true_reads: DataFrame, k: int) -> DataFrame:
     return packed.sightings_of(true_reads, k).join(seen, "kid", "left_anti")
 
 
-def true_transitions(reads: DataFrame, true_reads: DataFrame, k: int) -> DataFrame:
-    """kid, base, n: transitions of the true reads within the observed spectrum, joint over the strands.
+def true_table(both: DataFrame, k: int) -> DataFrame:
+    """The model's table of the shares of true transitions: kid, label, flag, mass, log_init, lp0..lp3, genomic (a k-mer of a true read).
 
-    Transitions that no true read takes on either strand are dropped; a second tally over what is left would count the same.
+    both: seq and true_seq. Transitions of the true reads count jointly over the strands, within the observed spectrum; those that no true read takes on
+    either strand are dropped. A bucket of pieces has a k-mer's sightings on both strands, so it also shows which k-mers a path may end in without a
+    transition of their own: those whose reverse complements have one. Only the sum of masses needs all buckets; both passes read one shuffle.
     """
-    node_table = spectrum.nodes(spectrum.count_spectrum(reads, k)).select("kid", "flag")
-    tally = packed.transitions_of(true_reads, k)
-    rkid = bits.rc_id(bits.successor(F.col("kid"), F.col("base"), k), k)
-    back = tally.select(rkid.alias("kid"), bits.complement_bits(bits.first_base(F.col("kid"))).alias("base"), "n")
-    joint = tally.unionByName(back).groupBy("kid", "base").agg(F.sum("n").alias("n"))
-    inside = (F.call_function("shiftright", F.col("flag"), F.col("base")).bitwiseAND(F.lit(1))) == 1
-    return joint.join(node_table, "kid").where(inside).select("kid", "base", "n")
-
-
-def true_table(transitions: DataFrame, true_reads: DataFrame, k: int) -> DataFrame:
-    """The model's table of the shares of true transitions: kid, label, flag, mass, log_init, lp0..lp3, genomic (a k-mer of a true read)."""
-    t = stored(transitions, "true-transitions")
-    whole = t.groupBy("kid").agg(F.sum("n").alias("mass"))
-    p = t.join(whole, "kid")
-    model = p.groupBy("kid").agg(F.first("mass").cast("double").alias("mass"), F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("base"))).alias("flag"), *[F.max(F.when(F.col("base") == b, F.ln(F.col("n") / F.col("mass")))).alias(f"lp{b}") for b in range(4)])
-    ends = t.select(bits.successor(F.col("kid"), F.col("base"), k).alias("kid")).distinct().join(model.select("kid"), "kid", "left_anti")
-    model = model.unionByName(ends.select("kid", F.lit(0.0).alias("mass"), F.lit(0).alias("flag"), *[F.lit(None).cast("double").alias(f"lp{b}") for b in range(4)]))
-    whole = model.agg(F.sum("mass")).first()[0] or 1.0
-    genomic = packed.sightings_of(true_reads, k).select("kid").withColumn("genomic", F.lit(True))
-    model = model.join(genomic, "kid", "left")
-    return model.select("kid", F.lit(0).alias("label"), "flag", "mass", bits.safe_log(F.col("mass") / whole).alias("log_init"), *[f"lp{b}" for b in range(4)], F.coalesce("genomic", F.lit(False)).alias("genomic"))
-
-
-def true_fit(reads: DataFrame, true_reads: DataFrame, config: EngineConfig) -> em.Fit:
-    """The model whose transitions are the shares of the true ones; everything else is dropped."""
-    offset, q_max, max_len = spectrum.phred_offset(reads)
-    table = true_table(true_transitions(reads, true_reads, config.k), true_reads, config.k)
+    reads = F.when(F.col("seq") == F.col("true_seq"), F.array(F.struct("seq", F.lit(3).alias("mark")))).otherwise(F.array(F.struct("seq", F.lit(1).alias("mark")), F.struct(F.col("true_seq").alias("seq"), F.lit(2).alias("mark"))))
+    found = packed.pieces(both.select(F.explode(reads).alias("r")).select("r.*"), k, marked=True)
+
+    def kept(observed: packed.Tally, true: packed.Tally) -> tuple[np.ndarray, np.ndarray]:
+        """(k-mers of the true reads and their reverse complements, counts of their transitions that the spectrum holds)."""
+        own, (back, taken) = true.kid.view(np.int64), true.other_strand()
+        every = np.unique(np.concatenate([own, back]))
+        joint, seen = np.zeros((4, len(every)), np.int64), np.zeros((4, len(every)), bool)
+        joint[:, np.searchsorted(every, own)] = true.sums[:4]
+        joint[:, np.searchsorted(every, back)] += taken
+        for ids, counts in ((observed.kid.view(np.int64), observed.sums[:4]), observed.other_strand()):
+            here = np.isin(ids, every)
+            seen[:, np.searchsorted(every, ids[here])] |= counts[:, here] > 0
+        return every, np.where(seen, joint, 0)
+
+    def model(observed: packed.Tally, true: packed.Tally) -> list[np.ndarray]:
+        every, n = kept(observed, true)
+        mass, other = n.sum(axis=0), np.searchsorted(every, bits.rc_ids(every, k))
+        inside = (mass > 0) | (mass[other] > 0)
+        genomic = np.isin(every, true.kid.view(np.int64))
+        return [x[inside] for x in (every, mass, *n, genomic)]
+
+    whole = packed.marked_tallies(found, k, lambda *x: [kept(*x)[1].sum(keepdims=True).ravel()], "mass long").agg(F.coalesce(F.sum("mass"), F.lit(0)).alias("whole"))
+    rows = packed.marked_tallies(found, k, model, "kid long, mass long, " + ", ".join(f"n{b} long" for b in range(4)) + ", genomic boolean").crossJoin(F.broadcast(whole))
+    flag = sum((F.when(F.col(f"n{b}") > 0, 1 << b).otherwise(0) for b in range(1, 4)), F.when(F.col("n0") > 0, 1).otherwise(0))
+    lp = [F.when(F.col(f"n{b}") > 0, F.ln(F.col(f"n{b}") / F.col("mass"))).alias(f"lp{b}") for b in range(4)]
+    return rows.select("kid", F.lit(0).alias("label"), flag.alias("flag"), F.col("mass").cast("double").alias("mass"), F.when(F.col("mass") > 0, F.ln(F.col("mass") / F.col("whole"))).alias("log_init"), *lp, "genomic")
+
+
+def true_fit(both: DataFrame, config: EngineConfig) -> em.Fit:
+    """The model of reads (seq, qual, true_seq) whose transitions are the shares of the true ones; everything else is dropped."""
+    offset, q_max, max_len = spectrum.phred_offset(both)
     base, qual = kernel.first_emission(config.k, em.slots(config, max_len), q_max, config.error_rate, config.emission)
-    return em.Fit(stored(table, "true-model"), base, qual, config.eta or 0.0, offset, config.slot, [])
+    return em.Fit(stored(true_table(both, config.k), "true-model"), base, qual, config.eta or 0.0, offset, config.slot, [])
 
 
 def with_true_seq(reads: DataFrame, truth: DataFrame) -> DataFrame:
@@ -75,7 +82,7 @@ def perfect_oracle(reads: DataFrame, truth: DataFrame, config: EngineConfig) ->
     the paths left the one of the likeliest transitions is taken (emission counts for nothing). Qualities stay.
     """
     both = stored(with_true_seq(reads, truth), "true-reads")
-    fitted = true_fit(reads, both.select("read_id", F.col("true_seq").alias("seq")), config)
+    fitted = true_fit(both, config)
     fitted = em.Fit(fitted.table, np.zeros_like(fitted.base), np.zeros_like(fitted.qual), fitted.eta, fitted.offset, fitted.window, [])
     listed = truth.select("identifier").distinct()
     fixed = em.decode(both.join(listed, "identifier", "left_semi"), fitted, config.with_(update_quality=False, adaptive=False, max_hamming=None, use_init_prob=False), restrict=True)
@@ -86,5 +93,5 @@ def perfect_oracle(reads: DataFrame, truth: DataFrame, config: EngineConfig) ->
 def oracle_em(reads: DataFrame, truth: DataFrame, config: EngineConfig) -> em.Fit:
     """Expectation maximisation on the true graph: the first state is the true first k-mer, transitions stay, emission is fitted."""
     both = stored(with_true_seq(reads, truth), "true-reads")
-    initial = true_fit(reads, both.select("read_id", F.col("true_seq").alias("seq")), config)
+    initial = true_fit(both, config)
     return em.fit(both, config, initial=initial, transitions=False)
