@@ -7,11 +7,12 @@ to the same bases are merged again.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import bits
-from helixframe.operators import mstep, packed
+from helixframe.operators import mstep, packed, spectrum
 
 #: Fixed value: contexts kept per k-mer at most.
 MOST_CONTEXTS = 127
@@ -40,6 +41,40 @@ def context_transitions(counts: DataFrame, contexts: DataFrame, rho: float, gamm
     return p.select("kid.kid", "kid.ctx", "base", "p")
 
 
+def counted_context_transitions(reads: DataFrame, k: int, d: int, rho: float, gamma: float) -> DataFrame:
+    """``context_transitions`` of the contexts that ``upstream_contexts`` keeps, from one shuffle: kid, ctx, base, p.
+
+    A bucket of pieces with ``d`` bases before them has all sightings of its k-mers on both strands and in all contexts. d is 2 to 7, gamma at most 1e-6.
+    """
+    low = np.uint64(2 * d + 2)
+
+    def counts(tally: packed.ContextTally) -> list[np.ndarray]:
+        kid, total = tally.branching(spectrum.COUNT_MAX)
+        inside = np.isin((tally.key >> low).view(np.int64), kid)
+        key, n = tally.key[inside], tally.n[inside]
+        pair, seen = packed._summed(key >> np.uint64(2), n[None])  # (k-mer, context)
+        own = np.searchsorted(kid, (pair >> np.uint64(2 * d)).view(np.int64))
+        order = np.lexsort((pair, -seen[0], own))
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        rank = np.empty(len(own), np.int64)
+        rank[order] = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+        limit = np.maximum(np.minimum(MOST_CONTEXTS, np.floor(total / 2 / rho)), 1)
+        kept = rank < limit[own]
+        at = np.searchsorted(pair, key >> np.uint64(2))
+        context = np.where(kept[at], key >> np.uint64(2) & np.uint64((1 << 2 * d) - 1), 1 << 2 * d)  # the last one: all others
+        group = (own[at].astype(np.uint64) << np.uint64(2 * d + 1) | context.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
+        xi = np.zeros((4, len(at)), np.int64)
+        xi[(key & np.uint64(3)).astype(np.int64), np.arange(len(at))] = n
+        group, xi = packed._summed(group, xi)
+        context = (group & np.uint64((1 << 2 * d + 1) - 1)).astype(np.int64)
+        return [kid[(group >> np.uint64(2 * d + 1)).astype(np.int64)], np.where(context == 1 << 2 * d, -1, context), *xi]
+
+    rows = packed.context_tallies(reads, k, d, counts, "kid long, ctx long, x0 long, x1 long, x2 long, x3 long")
+    own = F.array(*[F.struct(F.lit(b).alias("base"), F.col(f"x{b}").cast("double").alias("xi")) for b in range(4)])
+    p = mstep.penalised_rows(rows.select(F.struct("kid", "ctx").alias("kid"), F.filter(own, lambda x: x["xi"] > 0).alias("t")), rho, gamma)
+    return p.select("kid.kid", "kid.ctx", "base", "p")
+
+
 def merged_contexts(p: DataFrame) -> DataFrame:
     """kid, bases (the transitions that stay, as a flag), contexts: contexts of a k-mer with equal transitions are one."""
     flag = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("base")))
