@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from helixframe.config import EngineConfig
 from helixframe.functions import bits
-from helixframe.operators import context, em, kernel, mstep, spectrum
+from helixframe.operators import context, em, kernel, mstep, packed, spectrum
 from helixframe.plans.storage import stored
 
 #: Fixed value: rounds of expectation and maximisation.
@@ -91,6 +91,40 @@ def graph_contexts(node_table: DataFrame, counts: DataFrame, k: int, d: int) ->
     return now.select("kid", "ctx").distinct().join(seen, ["kid", "ctx"], "left").select("kid", "ctx", F.coalesce("supported", F.lit(False)).alias("supported"))
 
 
+def counted_graph_contexts(reads: DataFrame, k: int) -> DataFrame:
+    """``graph_contexts`` of two bases from one shuffle: kid, ctx, supported. k is 5 to 23.
+
+    A k-mer, the two before it on a path and its own transitions all hold its first k - 1 bases, so the bucket of these shows, on both strands,
+    every edge that is needed.
+    """
+    core = k - 1
+
+    def walk(w: np.ndarray, front: np.ndarray, tail: np.ndarray, before: np.ndarray, after: np.ndarray, _: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        b2, b1, x, y = front & np.uint64(3), front >> np.uint64(2), tail & np.uint64(3), tail >> np.uint64(2)
+        two = np.uint64(2)
+        bit = lambda needs, place: np.where(needs, np.uint64(1) << place, np.uint64(0))
+        seen = [
+            bit(after == 2, x << two | y),  # transitions of the k-mer
+            bit((before >= 1) & (after >= 1), b1 << two | x),  # into it
+            bit(before == 2, b1 << two | b2),  # into the one before
+            bit(own & (before == 2) & (after == 2), b1 << np.uint64(4) | b2 << two | x),
+        ]
+        at = packed._firsts(w)
+        out, into, before_it, shown = (np.bitwise_or.reduceat(z, at) for z in seen)
+        w, rows = w[at], []
+        has = lambda z, i: z >> np.uint64(i) & np.uint64(1) == 1
+        for i in range(4):
+            several = np.bitwise_count(out >> np.uint64(4 * i) & np.uint64(15)) > 1
+            for j in range(4):
+                for h in range(4):
+                    here = several & has(into, j << 2 | i) & has(before_it, j << 2 | h)
+                    kid = (w[here] | np.uint64(i << 2 * core)).view(np.int64)
+                    rows.append((kid, np.full(len(kid), h | j << 2), has(shown, j << 4 | h << 2 | i)[here]))
+        return [np.concatenate(z) for z in zip(*rows, strict=True)]
+
+    return packed.surrounding_tallies(reads, core, 2, 2, walk, "kid long, ctx long, supported boolean", shortest=k + 1, both=True)
+
+
 def _wide(column: Column, d: int) -> Column:
     return F.shiftleft(column, 2 * d).bitwiseOR(F.col("ctx"))
 
