@@ -95,3 +95,35 @@ def extension_probability(p: DataFrame, k: int, levels: int = 5) -> DataFrame:
         ahead = now.select(F.col("kid").alias("next"), F.col("p_ext").alias("ahead"))
         now = edges.join(ahead, "next", "left").groupBy("kid").agg(F.sum(F.col("p") * F.coalesce("ahead", F.lit(0.0))).alias("p_ext"))
     return now
+
+
+def counted_extension_probability(reads: DataFrame, k: int) -> DataFrame:
+    """``extension_probability`` of three levels from the counted shares, from one shuffle: kid, p_ext. k is 7 to 24.
+
+    A path's three transitions all hold the k-mer's last k - 2 bases, so the bucket of these has every count that they need.
+    """
+    core = k - 2
+
+    def extend(w: np.ndarray, front: np.ndarray, tail: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray, _: np.ndarray) -> list[np.ndarray]:
+        bases = front | w << np.uint64(4) | tail << np.uint64(2 * k)
+
+        def counted(at: int, needs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """k + 1 bases from ``at``, and their counts."""
+            key = bases[needs] >> np.uint64(2 * at) & np.uint64((1 << 2 * k + 2) - 1)
+            key, c = packed._summed(key, n[needs][None])
+            return key, np.minimum(c[0], spectrum.COUNT_MAX)
+
+        def shares(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """(k-mers, rows of the transitions' k-mers, transitions' shares, next k-mers)."""
+            kid, row = np.unique(key & np.uint64((1 << 2 * k) - 1), return_inverse=True)
+            return kid, row, c / np.bincount(row, c, len(kid))[row] if len(kid) else np.zeros(0), key >> np.uint64(2)
+
+        goes_on = np.unique(bases[after == 3] >> np.uint64(4) & np.uint64((1 << 2 * k) - 1))
+        kid2, row2, p2, next2 = shares(*counted(1, (before >= 1) & (after >= 2)))
+        ahead2 = np.bincount(row2, np.where(np.isin(next2, goes_on), p2, 0), len(kid2))
+        kid1, row1, p1, next1 = shares(*counted(0, (before == 2) & (after >= 1)))
+        at = np.minimum(np.searchsorted(kid2, next1), max(len(kid2) - 1, 0))
+        ahead = np.where(kid2[at] == next1, ahead2[at], 0) if len(kid2) else np.zeros(len(next1))
+        return [kid1.view(np.int64), np.bincount(row1, p1 * ahead, len(kid1))]
+
+    return packed.surrounding_tallies(reads, core, 2, 3, extend, "kid long, p_ext double", shortest=k + 1)
