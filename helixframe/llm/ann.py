@@ -4,14 +4,16 @@ Codebooks: the dimensions are cut into subspaces of ``sub_dims``, each with 16
 centres. Training weighs the residual's part parallel to a vector by ``eta``
 against the orthogonal part, since for the queries that score a vector highly the
 parallel part is what changes the score: codes are assigned by coordinate descent
-on that loss and centres solve its weighted least squares. Every row is encoded
-to four-bit codes.
-
-Search: queries in blocks meet the codes of rows in blocks, never their vectors;
-in a cell a table of the queries' inner products with all pairs of centres is
-scanned by the code bytes and the best ``rerank`` rows of each query go on. The
-best ``rerank`` of all cells are then scored exactly: a block of queries gets each
-vector that any of its queries asks for once.
+on that loss and centres solve its weighted least squares. Every row's direction
+is encoded to four-bit codes, what they leave of it to 16-bit steps, and what
+these leave is kept as a length.
+
+Search: queries in blocks meet the codes of rows in blocks, never their vectors.
+The inner product with what the codes restore is off by at most the length that
+they leave, so a cell knows bounds of every score, and a row goes on unless ``k``
+others are surely better. The rows of all cells are then scored exactly: a block
+of queries gets each vector that any of its queries asks for once. So the result
+is that of comparing all pairs, whatever the vectors.
 """
 
 from __future__ import annotations
@@ -89,10 +91,33 @@ class Quantiser:
     def decoded(self, codes: np.ndarray) -> np.ndarray:
         return np.stack([self.centres[s][codes[:, s]] for s in range(self.n_sub)], axis=1)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """bytes x 256 x queries: the inner products of the two centres that a code byte names."""
-        each = np.einsum("qsd,skd->skq", self.parts(q), self.centres)
-        return (each[0::2, :, None, :] + each[1::2, None, :, :]).reshape(self.n_sub // 2, 256, len(q))
+    def layout(self) -> np.dtype:
+        """What is kept of a row: codes, steps from what they name, a step's length, what is left, and the vector's length."""
+        return np.dtype([("code", np.uint8, (self.n_sub // 2,)), ("fine", "<i2", (self.dims,)), ("step", "<f4"), ("left", "<f4"), ("norm", "<f8")])
+
+    def encoded(self, x: np.ndarray) -> np.ndarray:
+        unit, norm = directions(x)
+        out = np.zeros(len(x), self.layout())
+        out["code"], out["norm"] = packed(self.assign(unit.astype(np.float32))), norm
+        rest = unit - self.restored(out)
+        out["step"] = np.abs(rest).max(axis=1) / 32_000
+        out["fine"] = np.rint(rest / np.where(out["step"] > 0, out["step"], 1)[:, None])
+        out["left"] = np.sqrt(((unit - self.restored(out)) ** 2).sum(axis=1)) * (1 + 1e-6)
+        return out
+
+    def restored(self, rows: np.ndarray) -> np.ndarray:
+        """rows x dims, in single precision: the directions as far as they are kept."""
+        codes = np.stack([rows["code"] >> 4, rows["code"] & 15], axis=2).reshape(len(rows), self.n_sub)
+        return self.decoded(codes).reshape(len(rows), -1)[:, : self.dims] + rows["fine"] * rows["step"][:, None]
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one, and the vectors' lengths, in double precision (no square over- or underflows)."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    unit = x / most
+    length = np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    with np.errstate(over="ignore"):
+        return unit / length, np.minimum(most * length, np.finfo(float).max)[:, 0]
 
 
 def packed(codes: np.ndarray) -> np.ndarray:
@@ -163,7 +188,8 @@ def search(
 
     The quantiser is fitted to at most ``train_rows`` distinct vectors; all rows are encoded and searched. A cell holds at most
     ``row_block`` codes and ``query_block`` queries, a block for reranking ``query_block / 4`` queries with the vectors they ask for.
-    Tasks come from blocks of queries, which copy codes, rather than from blocks of rows, each of which finds ``rerank`` rows a query.
+    Tasks come from blocks of queries, which copy codes, rather than from blocks of rows, each of which finds ``k`` rows a query or more.
+    A scan thins what it holds when that is over ``rerank`` rows a query; all rows that the bounds leave are scored exactly, however many.
     """
     spark = table.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -177,21 +203,32 @@ def search(
     for size in sorted(r.dims for r in rows.select("dims").distinct().collect()):
         own, query = rows.where(F.col("dims") == size), asked.where(F.col("dims") == size)
         sample = own.orderBy(F.xxhash64("vector")).limit(train_rows).select("vector").toArrow().column(0)
-        x = np.stack([np.asarray(v, np.float32) for v in sample.to_pylist()])
+        x = directions(np.array(sample.to_pylist()))[0].astype(np.float32)
         quantiser = spark.sparkContext.broadcast(Quantiser(size, sub_dims, eta).train(x, train_rounds, seed))  # 16 centres a subspace
         n_query, parallel = query.count(), max(1, n // 2)
-        row_blocks, query_blocks = blocks_of(own.count(), row_block), blocks_of(n_query, query_block, parallel)
+        first_id = F.element_at("ids", 1)
+        n_row, n_first = own.agg(F.count(F.lit(1)), F.countDistinct(first_id)).first()
+        row_blocks, query_blocks = blocks_of(n_row, row_block), blocks_of(n_query, query_block, parallel)
         code = own.select("row", "vector").mapInArrow(_encoder(quantiser), "row long, code binary")
-        left = code.select(F.pmod(F.xxhash64("row"), F.lit(row_blocks)).cast("int").alias("rb"), F.explode(numbers(query_blocks)).alias("qb"), F.col("row").alias("id"), "code", none.cast("array<double>").alias("vector"))
-        right = query.select(F.explode(numbers(row_blocks)).alias("rb"), F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int").alias("qb"), F.col("query").alias("id"), none.cast("binary").alias("code"), "vector")
+        if n_first < n_row:  # some vec_ids have several vectors: only one of them counts towards the k that are surely better
+            firsts = own.groupBy(first_id.alias("first")).agg(F.min("row").alias("row")).select("row", F.lit(True).alias("counts"))
+            code = code.join(firsts, "row", "left")
+        else:
+            code = code.withColumn("counts", F.lit(True))
+        left = code.select(F.pmod(F.xxhash64("row"), F.lit(row_blocks)).cast("int").alias("rb"), F.explode(numbers(query_blocks)).alias("qb"), F.col("row").alias("id"), "code", F.coalesce("counts", F.lit(False)).alias("counts"), none.cast("array<double>").alias("vector"))
+        right = query.select(F.explode(numbers(row_blocks)).alias("rb"), F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int").alias("qb"), F.col("query").alias("id"), none.cast("binary").alias("code"), F.lit(False).alias("counts"), "vector")
         cells = left.unionByName(right).repartition(min(4 * n, row_blocks * query_blocks), "rb", "qb").sortWithinPartitions("rb", "qb", "id")
-        near = cells.mapInArrow(_grouped(2, lambda t, q=quantiser: scan_cell(t, q.value, rerank)), "query long, row long, about float")
-        best = Window.partitionBy("query").orderBy(F.desc("about"), "row")
-        near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query", "row")
+        near = cells.mapInArrow(_grouped(2, lambda t, q=quantiser: scan_cell(t, q.value, k + 1, rerank)), "query long, row long, low double, high double, counts boolean")
+        if row_blocks > 1:
+            best = Window.partitionBy("query").orderBy(F.desc("counts"), F.desc("low"))
+            near = near.withColumn("place", F.row_number().over(best))
+            sure = F.max(F.when(F.col("counts") & (F.col("place") == k + 1), F.col("low"))).over(Window.partitionBy("query"))
+            near = near.withColumn("sure", sure).where(F.col("sure").isNull() | (F.col("high") >= F.col("sure")))
+        near = near.select("query", "row")
         groups = blocks_of(n_query, max(1, query_block // 4), parallel)
         near = shared.written(near.withColumn("group", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")), "ann-near")
         wanted = near.groupBy("group", "row").agg(F.lit(1).alias("one")).join(own, "row").select("group", "row", "vector", "ids", none.cast("long").alias("query"), none.cast("long").alias("query_id"), none.cast("array<long>").alias("near"))
-        lists = near.groupBy("query").agg(F.sort_array(F.collect_list("row")).alias("near"))  # at most rerank
+        lists = near.groupBy("query").agg(F.sort_array(F.collect_list("row")).alias("near"))
         asking = query.join(lists, "query").select(F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int").alias("group"), none.cast("long").alias("row"), "vector", none.cast("array<long>").alias("ids"), "query", "query_id", "near")
         meeting = wanted.unionByName(asking).repartition(min(4 * n, groups), "group").sortWithinPartitions("group", "row", "query")
         parts.append(meeting.mapInArrow(_grouped(1, lambda t, k=k: rerank_group(t, k)), "query_id long, rank int, vec_id long, score double"))
@@ -202,7 +239,8 @@ def search(
         found = found.unionByName(p)
     if len(parts) == 1 and not asked.groupBy("query_id").count().where("count > 1").limit(1).count():
         return found
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # a query_id with several vectors
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a query_id with several vectors
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -218,7 +256,7 @@ def _encoder(quantiser):
             if not b.num_rows:
                 continue
             x = _vectors(b.column("vector"))
-            codes = np.concatenate([packed(quantiser.value.assign(x[i : i + 2048].astype(np.float32))) for i in range(0, len(x), 2048)])
+            codes = np.concatenate([quantiser.value.encoded(x[i : i + 2048]) for i in range(0, len(x), 2048)])
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([c.tobytes() for c in codes], pa.binary())], ["row", "code"])
 
     return shared.releasing(run)
@@ -250,33 +288,52 @@ def _grouped(keys: int, of):
 SCAN_SCORES = 4_000_000
 
 
-def scan_cell(t: pa.Table, quantiser: Quantiser, rerank: int, group: int = 128) -> Iterator[pa.RecordBatch]:
-    """(query, row, approximate score) of the ``rerank`` rows with the largest table sums, per query of the cell."""
+def scan_cell(t: pa.Table, quantiser: Quantiser, most: int, rerank: int, group: int = 128) -> Iterator[pa.RecordBatch]:
+    """(query, row, bounds of the score, whether it counts): per query of the cell the rows that fewer than ``most`` rows that count surely exceed.
+
+    Scores are of queries of length one.
+    """
     is_query = np.asarray(t.column("vector").is_valid())
     rows, queries = t.filter(pa.array(~is_query)), t.filter(pa.array(is_query))
     if not rows.num_rows or not queries.num_rows:
         return
-    codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1).T.copy()
-    row_ids, query_ids = rows.column("id").to_numpy(), queries.column("id").to_numpy()
-    q, step = _vectors(queries.column("vector")), max(rerank, SCAN_SCORES // group)
-    for i in range(0, len(q), group):
-        tables = quantiser.tables(q[i : i + group].astype(np.float32))
-        who = query_ids[i : i + group]
-        best = np.full((0, len(who)), 0, np.float32)
-        best_row = np.zeros((0, len(who)), np.int64)
-        for at in range(0, codes.shape[1], step):  # blocks of rows: what a scan holds does not grow with the cell
-            part = codes[:, at : at + step]
-            score = np.zeros((part.shape[1], len(who)), np.float32)
-            for byte in range(len(part)):
-                score += tables[byte][part[byte]]
-            most = min(rerank, len(score))
-            near = np.argpartition(-score, most - 1, axis=0)[:most] if most < len(score) else np.tile(np.arange(len(score))[:, None], len(who))
-            best = np.concatenate([best, np.take_along_axis(score, near, 0)])
-            best_row = np.concatenate([best_row, row_ids[at + near]])
-            if len(best) > rerank:
-                keep = np.argpartition(-best, rerank - 1, axis=0)[:rerank]
-                best, best_row = np.take_along_axis(best, keep, 0), np.take_along_axis(best_row, keep, 0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, len(best))), pa.array(best_row.T.ravel()), pa.array(best.T.ravel())], ["query", "row", "about"])
+    kept = np.frombuffer(b"".join(rows.column("code").to_pylist()), quantiser.layout())
+    row_ids, query_ids, counts = rows.column("id").to_numpy(), queries.column("id").to_numpy(), np.asarray(rows.column("counts"))
+    q, step = directions(_vectors(queries.column("vector")))[0].astype(np.float32), max(1, SCAN_SCORES // group)
+    rounding = (quantiser.dims + 16) * 2.0**-23  # of sums of products in single precision
+    whole = kept["norm"].max()
+    norm, off = (kept["norm"] / whole).astype(np.float32), (kept["left"] + rounding).astype(np.float32)
+    sure = np.full(len(q), -np.inf, np.float32)  # the ``most``-th best lower bound so far
+    held: list[list] = [[] for _ in range(-(-len(q) // group))]
+
+    def thinned(parts: list, first: int) -> list:
+        who, row, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own = np.flatnonzero(counts[row])
+        own = own[np.lexsort((-low[own], who[own]))]
+        start = np.searchsorted(who[own], np.arange(group + 1))
+        for i in np.flatnonzero(np.diff(start) >= most).tolist():
+            sure[first + i] = max(sure[first + i], low[own[start[i] + most - 1]])
+        keep = high >= sure[first + who]
+        return [(who[keep], row[keep], low[keep], high[keep])]
+
+    for at in range(0, len(kept), step):  # blocks of rows: what a scan holds does not grow with the cell
+        here = slice(at, at + step)
+        x, counted = quantiser.restored(kept[here]), np.flatnonzero(counts[here])
+        for g, parts in enumerate(held):
+            first = g * group
+            score = x @ q[first : first + group].T
+            low, high = (score - off[here, None]) * norm[here, None], (score + off[here, None]) * norm[here, None]
+            if len(counted) >= most:
+                best = np.partition(low if len(counted) == len(low) else low[counted], len(counted) - most, axis=0)[len(counted) - most]
+                sure[first : first + group] = np.maximum(sure[first : first + group], best)
+            row, who = np.nonzero(high >= sure[first : first + group])
+            parts.append((who, at + row, low[row, who], high[row, who]))
+            if sum(len(p[0]) for p in parts) > rerank * group:
+                parts[:] = thinned(parts, first)
+    for g, parts in enumerate(held):
+        ((who, row, low, high),) = thinned(parts, g * group)
+        columns = [query_ids[g * group + who], row_ids[row], low.astype(float) * whole, high.astype(float) * whole, counts[row]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "row", "low", "high", "counts"])
 
 
 def rerank_group(t: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
@@ -291,17 +348,18 @@ def rerank_group(t: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
     for vector, name, near in zip(q, queries.column("query_id").to_pylist(), queries.column("near").to_pylist(), strict=True):
         chosen = np.searchsorted(row_ids, near)
         exact = (x[chosen] * vector).sum(axis=1)
-        found, last = [], None
+        found, last = {}, None  # a vec_id with several vectors counts with its best
         for o in np.argsort(-exact, kind="stable").tolist():
             if len(found) >= k and exact[o] != last:
                 break
-            found += [(-float(exact[o]), v) for v in ids[chosen[o]] if v != name]
             last = exact[o]
-        best = list(dict.fromkeys(v for _, v in sorted(found)))[:k]
-        score = {v: -s for s, v in sorted(found, reverse=True)}  # a vec_id with several vectors counts with its best
+            for v in ids[chosen[o]]:
+                if v != name:
+                    found.setdefault(v, float(last))
+        best = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]
         out[0] += [name] * len(best)
         out[1] += range(1, len(best) + 1)
-        out[2] += best
-        out[3] += [score[v] for v in best]
+        out[2] += [v for v, _ in best]
+        out[3] += [score for _, score in best]
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], ["query_id", "rank", "vec_id", "score"])

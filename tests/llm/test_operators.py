@@ -403,6 +403,31 @@ def test_search(spark):
     assert ann.search(d.where("false"), d).count() == 0 and ann.search(d, d.where("false")).count() == 0
 
 
+def test_search_finds_all_nearest_of_other_vectors(spark):
+    """Tight clusters larger than what is reranked, lengths over many orders, one dimension that outweighs the others, vec_ids with several vectors."""
+    rng = np.random.default_rng(5)
+    tight = np.repeat(rng.normal(size=(4, 16)), 400, axis=0) + 0.01 * rng.normal(size=(1600, 16))
+    tables = {
+        "tight": tight,
+        "lengths": rng.normal(size=(1600, 16)) * 10.0 ** rng.uniform(-30, 30, size=(1600, 1)),
+        "outweighed": rng.normal(size=(1600, 16)) * np.array([1000.0] + [1.0] * 15),
+        "shared": tight[rng.permutation(1600)],
+    }
+    for name, x in tables.items():
+        ids = np.arange(1600) % 400 if name == "shared" else np.arange(1600)
+        d = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id long, embedding array<double>")
+        asked = [(int(i), x[i].tolist()) for i in range(0, 400, 20)]
+        got = collections.defaultdict(list)
+        found = ann.search(d, spark.createDataFrame(asked, d.schema), k=20, row_block=500, query_block=30, rerank=80)
+        for r in found.orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        for q, v in asked:
+            score = np.full(ids.max() + 1, -np.inf)
+            np.maximum.at(score, ids, (x * np.array(v)).sum(axis=1))
+            score[q] = -np.inf
+            assert got[q] == np.lexsort((np.arange(len(score)), -score))[:20].tolist(), (name, q)
+
+
 def test_anisotropic_training_lowers_its_loss():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 8)).astype(np.float32)
