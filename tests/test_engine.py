@@ -1,5 +1,7 @@
 """Fitting, correction and the registered queries on a small synthetic genome."""
 
+import pickle
+
 import duckdb
 import numpy as np
 import pytest
@@ -118,6 +120,25 @@ def test_pages_hold_every_kmer(spark):
     assert (m.usable(row) == np.where(there, np.isin(ask, kid[np.arange(len(kid)) % 3 > 0]), False)).all()
 
 
+def test_mapped_models_hold_every_kmer(spark, reads, monkeypatch):
+    """A whole model comes to workers as the place of its files, with every row and transition of the one in memory; an empty one too."""
+    f = em.counted(reads, CONFIG)
+    m = em.model_of(f, CONFIG)
+    sent = pickle.dumps(m)
+    assert len(sent) < m.base.nbytes + m.qual.nbytes + 4096 and m.bytes() > 4 * len(sent) > 0
+    n = pickle.loads(sent)
+    monkeypatch.setattr(em.mapped, "possible", lambda _: False)
+    held = em.model_of(f, CONFIG)
+    assert type(held) is em.kernel.Model and type(n) is em.mapped.MappedModel
+    for x in ("kid", "logp", "log_init", "solid"):
+        assert np.array_equal(getattr(n, x), getattr(held, x)), x
+    row, base = np.divmod(np.arange(4 * n.size), 4)
+    after = n.kid[row] >> 2 | base << 2 * (CONFIG.k - 1)
+    assert np.array_equal(n.rows_after(row, base, after), held.rows(after)) and (n.rows(after) >= 0).any()
+    none = em.mapped.MappedModel(*em.mapped.write(f.table.where("false").withColumn("solid", F.lit(True)), CONFIG.k), CONFIG.k, m.base, m.qual, m.window, m.offset)
+    assert none.size == 0 and none.rows(after[:5]).tolist() == [-1] * 5
+
+
 def test_paths_and_reverse_decoding(spark, reads):
     f = em.start(reads, CONFIG)
     few = reads.where("read_id < 60")
